@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding
+from . import decontamination, langid, sharding, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
+    "op6_language_id": langid.op6_language_id,
     "op8_sharding": sharding.op8_sharding,
     "op9_decontamination": decontamination.op9_decontamination,
 }
