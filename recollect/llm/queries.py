@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, langid, sharding, simhash
+from . import decontamination, langid, sharding, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_language_id": langid.op6_language_id,
     "op8_sharding": sharding.op8_sharding,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 SQL = {
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
 }
