@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontamination, langid, sharding, simhash, substring_dedup, suffix_dedup
+from . import decontamination, hamming_search, html_extract, langid, mixing, sharding, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_hamming_search": hamming_search.op2_hamming_search,
     "op3_simhash": simhash.op3_simhash,
+    "op4_mixing": mixing.op4_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_language_id": langid.op6_language_id,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_sharding": sharding.op8_sharding,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 SQL = {
+    "op1_warc": warc.OP1_SQL,
+    "op2_hamming_search": hamming_search.OP2_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
 }
