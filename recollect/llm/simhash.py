@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, text_key
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -46,7 +46,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         texts = b.column("text")
         fp = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), b.column("th")], ["doc_id", "fp", "th"])
 
 
 def masks(segments: int = SEGMENTS, kept: int = KEPT) -> list[int]:
@@ -189,7 +189,7 @@ def linked(fps: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64-bit fingerprint as a long) and component_id (the smallest doc_id reachable) of every row.
+    """doc_id, fp (the 64-bit fingerprint as a long), component_id (the smallest doc_id reachable) and th (the text's key) of every row.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat an id are one document of that
     component; null ids take part, and a component of null ids alone has a null component_id. Equal fingerprints are
@@ -197,14 +197,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    fp = scratch.write(src.mapInArrow(_fingerprints, "doc_id long, fp long"), "fp")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), text_key(F.col(text_col)).alias("th"))
+    fp = scratch.write(src.mapInArrow(_fingerprints, "doc_id long, fp long, th long"), "fp")
     distinct = scratch.write(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(linked(distinct.select("fp"), scratch), scratch)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     label = scratch.write(named.join(least, "root").select("fp", "component_id"), "label")
-    return fp.join(label, "fp").select("doc_id", "fp", "component_id")
+    return fp.join(label, "fp").select("doc_id", "fp", "component_id", "th")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
