@@ -3,7 +3,9 @@
 A window is `win` consecutive tokens of one text. Each window has one anchor, the k-gram of the smallest hash in it
 (the last of equal ones), so equal windows have equal anchors at equal places. The windows of one anchor form its span.
 Occurrences of an anchor are joined on its hash; where whole spans agree, the match extends over every window of the
-span at once, and only where spans of one anchor differ are their windows compared one by one.
+span at once. Where spans of one anchor differ, the match is first extended by half of what a window has beside its
+anchor: two equal windows agree in that half to the left or to the right of it, so only windows on a side that agrees
+are compared one by one.
 """
 
 from __future__ import annotations
@@ -70,11 +72,14 @@ def byte_tokens(text: bytes) -> np.ndarray:
 
 
 def anchors(x: np.ndarray, end: np.ndarray, win: int, k: int) -> tuple[np.ndarray, ...]:
-    """(lo, n, anchor, span) of a chunk of tokens; end[i] is where token i's text ends in the chunk."""
+    """(lo, n, anchor, span, place, left, right) of a chunk of tokens; end[i] is where token i's text ends in the chunk.
+
+    place is where the anchor stands from lo on; left and right are 16-bit hashes of the half windows beside it, 0 where
+    no window of the span reaches so far.
+    """
     n, w = len(x), win - k + 1
     if n < win:
-        z = np.empty(0, np.int64)
-        return z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return _nothing()
     p = prefix(x)
     i = np.arange(n - k + 1)
     h = span_hash(p, i, i + k)
@@ -91,11 +96,22 @@ def anchors(x: np.ndarray, end: np.ndarray, win: int, k: int) -> tuple[np.ndarra
     count = np.diff(np.r_[first, len(s)])
     lo, at = s[first], at[first]
     sp = mix(span_hash(p, lo, lo + count - 1 + win) + (at - lo).astype(np.uint64) * np.uint64(M2) + count.astype(np.uint64))
-    return lo, count, h[at], sp
+    half = (win - k + 1) // 2
+    left, right = np.zeros(len(lo), np.uint16), np.zeros(len(lo), np.uint16)
+    i = np.flatnonzero(at - lo >= half)
+    left[i] = (span_hash(p, at[i] - half, at[i]) >> np.uint64(48)).astype(np.uint16) | 1
+    i = np.flatnonzero(lo + count - 1 + win - at - k >= half)
+    right[i] = (span_hash(p, at[i] + k, at[i] + k + half) >> np.uint64(48)).astype(np.uint16) | 1
+    return lo, count, h[at], sp, at - lo, left, right
+
+
+def _nothing() -> tuple[np.ndarray, ...]:
+    z = np.empty(0, np.int64)
+    return z, z, z.astype(np.uint64), z.astype(np.uint64), z, z.astype(np.uint16), z.astype(np.uint16)
 
 
 def sketch(texts: list[bytes], tokens: Callable[[bytes], np.ndarray], win: int, k: int) -> tuple[np.ndarray, ...]:
-    """(doc, lo, n, anchor, span) of a batch, chunk by chunk; a long text is cut into chunks that overlap by a window."""
+    """doc and what `anchors` gives of a batch, chunk by chunk; a long text is cut into chunks that overlap by a window."""
     out, xs, docs, offs, size = [], [], [], [], 0
 
     def flush() -> None:
@@ -103,9 +119,9 @@ def sketch(texts: list[bytes], tokens: Callable[[bytes], np.ndarray], win: int,
         if xs:
             lens = np.array([len(x) for x in xs])
             ends = np.cumsum(lens)
-            lo, n, a, sp = anchors(np.concatenate(xs), np.repeat(ends, lens), win, k)
+            lo, *rest = anchors(np.concatenate(xs), np.repeat(ends, lens), win, k)
             piece = np.searchsorted(ends, lo, side="right")
-            out.append((np.array(docs)[piece], lo - (ends - lens)[piece] + np.array(offs)[piece], n, a, sp))
+            out.append((np.array(docs)[piece], lo - (ends - lens)[piece] + np.array(offs)[piece], *rest))
         xs.clear()
         docs.clear()
         offs.clear()
@@ -123,26 +139,31 @@ def sketch(texts: list[bytes], tokens: Callable[[bytes], np.ndarray], win: int,
             size += len(part)
     flush()
     if not out:
-        z = np.empty(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return (np.empty(0, np.int64), *_nothing())
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _pack(dk, th, doc, lo, n, a, sp, flag) -> bytes:
+#: The columns of a packed occurrence after its document's dk and th, as they are stored.
+PACKED = (np.uint64, np.uint64, np.int32, np.int32, np.int16, np.int8, np.int16, np.uint16, np.uint16)
+
+
+def _pack(dk: np.ndarray, th: np.ndarray, doc: np.ndarray, cols: tuple[np.ndarray, ...]) -> bytes:
+    """cols: a, sp, lo, n, flag, place, left, right."""
     used, inv = np.unique(doc, return_inverse=True)
+    a, sp, lo, n, flag, place, left, right = cols
     head = np.array([len(used), len(doc)], np.int64)
-    cols = (head, dk[used], th[used], a, sp, lo.astype(np.int32), inv.astype(np.int32), n.astype(np.int16), flag.astype(np.int8))
-    return b"".join(x.tobytes() for x in cols)
+    rows = zip((a, sp, lo, inv, n, flag, place, left, right), PACKED, strict=True)
+    return b"".join(x.tobytes() for x in (head, dk[used], th[used], *(c.astype(t) for c, t in rows)))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     u, m = np.frombuffer(blob, np.int64, 2)
     at, out = 16, []
-    for kind, size in ((np.int64, u), (np.int64, u), (np.uint64, m), (np.uint64, m), (np.int32, m), (np.int32, m), (np.int16, m), (np.int8, m)):
+    for kind, size in ((np.int64, u), (np.int64, u), *((t, m) for t in PACKED)):
         out.append(np.frombuffer(blob, kind, size, at))
         at += out[-1].nbytes
-    dk, th, a, sp, lo, inv, n, flag = out
-    return dk[inv], th[inv], lo, n, a, sp, flag
+    dk, th, a, sp, lo, inv, *rest = out
+    return dk[inv], th[inv], a, sp, lo, *rest
 
 
 def _starts(*cols: np.ndarray) -> np.ndarray:
@@ -153,31 +174,49 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
     return new
 
 
-def judge(dk, a, sp, flag, earlier: bool) -> np.ndarray:
-    """What is known of each occurrence, -1 for nothing to do; rows are sorted by (anchor, span, dk).
+def _shared(a: np.ndarray, side: np.ndarray, dk: np.ndarray, weight: np.ndarray, earlier: bool) -> np.ndarray:
+    """Whether a row's half window beside the anchor is another's too (`earlier`: of another dk)."""
+    order = np.lexsort((side, a))
+    at = np.flatnonzero(_starts(a[order], side[order]))
+    group = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(a)]))
+    if earlier:
+        more = (np.minimum.reduceat(dk[order], at) < np.maximum.reduceat(dk[order], at))[group]
+    else:
+        more = (np.add.reduceat(weight[order], at) > 1)[group]
+    out = np.empty(len(a), bool)
+    out[order] = more
+    return out & (side > 0)
+
+
+def judge(dk, a, sp, flag, left, right, earlier: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is known of each occurrence, -1 for nothing to do, and whether its left and right half windows are shared.
 
-    flag is 2 for an occurrence that stands for several. `earlier`: repeats count only of a smaller dk.
+    Rows are sorted by (anchor, span, dk); flag is 2 for one that stands for several. `earlier`: repeats count only of
+    a smaller dk.
     """
     n = len(a)
-    kind = np.full(n, -1, np.int8)
+    kind, near = np.full(n, -1, np.int8), (np.zeros(n, bool), np.zeros(n, bool))
     if not n:
-        return kind
+        return kind, *near
     new_a, new_s = _starts(a), _starts(a, sp)
     ia, is_ = np.flatnonzero(new_a), np.flatnonzero(new_s)
     group_a, group_s = np.cumsum(new_a) - 1, np.cumsum(new_s) - 1
-    spans = np.add.reduceat(new_s.astype(np.int64), ia)[group_a]  # different spans of the anchor
-    if earlier:
-        least_a, least_s = np.minimum.reduceat(dk, ia)[group_a], dk[is_][group_s]
-        kind[dk > least_s] = FULL
-        most_a = np.maximum.reduceat(dk, ia)[group_a]
-        kind[(dk == least_s) & (spans > 1) & (most_a > least_a)] = CHECK
-        return kind
+    mixed = np.add.reduceat(new_s.astype(np.int64), ia)[group_a] > 1  # the anchor has several spans
     weight = np.add.reduceat(flag.astype(np.int64), is_)[group_s]
-    kind[weight > 1] = FULL
-    alone = np.bitwise_or.reduceat((weight == 1).astype(np.int8), ia)[group_a] > 0  # the anchor has a span seen once
-    kind[(weight == 1) & (spans > 1)] = CHECK
-    kind[new_s & (weight > 1) & alone & (spans > 1)] = CHECK_TWICE  # also full
-    return kind
+    if earlier:
+        first = dk == dk[is_][group_s]
+        kind[~first] = FULL
+        ask = first & mixed & (np.minimum.reduceat(dk, ia) < np.maximum.reduceat(dk, ia))[group_a]
+    else:
+        kind[weight > 1] = FULL
+        ask = new_s & mixed & (np.minimum.reduceat(weight, ia) == 1)[group_a]  # one row of each span, if any is seen once
+    i = np.flatnonzero(ask)
+    if len(i):
+        for side, at in zip((left, right), near, strict=True):
+            at[i] = _shared(a[i], side[i], dk[i], np.ones(len(i), np.int64), earlier)
+        i = i[near[0][i] | near[1][i]]
+        kind[i] = np.where((weight[i] > 1) & (not earlier), CHECK_TWICE, CHECK)  # the former are also full
+    return kind, *near
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, *, tokens: Callable[[bytes], np.ndarray], win: int, k: int, earlier: bool, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -193,12 +232,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, tokens: Callable[[byt
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dk, th = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            doc, lo, n, a, sp = sketch([t or b"" for t in b.column(2).to_pylist()], tokens, win, k)
+            doc, lo, n, a, sp, *rest = sketch([t or b"" for t in b.column(2).to_pylist()], tokens, win, k)
             if not len(doc):
                 continue
             # Decide inside the batch: of equal (anchor, span) the first goes on for all, the rest are done.
             order = np.lexsort((lo, dk[doc], sp, a))
-            doc, lo, n, a, sp = (x[order] for x in (doc, lo, n, a, sp))
+            doc, lo, n, a, sp, *rest = (x[order] for x in (doc, lo, n, a, sp, *rest))
             new = _starts(a, sp)
             size = np.diff(np.r_[np.flatnonzero(new), len(a)])
             flag = np.where(new, np.minimum(np.repeat(size, size), 2), 0)
@@ -212,30 +251,35 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, tokens: Callable[[byt
             for p in np.flatnonzero(np.diff(cut)):
                 r = order[cut[p] : cut[p + 1]]
                 ids.append(p)
-                blobs.append(_pack(dk, th, doc[r], lo[r], n[r], a[r], sp[r], flag[r]))
+                blobs.append(_pack(dk, th, doc[r], tuple(x[r] for x in (a, sp, lo, n, flag, *rest))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(x) for b in batches for x in b.column(1).to_pylist()]
         if not parts:
             return
-        dk, th, lo, n, a, sp, flag = (np.concatenate(x) for x in zip(*parts, strict=True))
+        dk, th, a, sp, lo, n, flag, place, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
 
-        def rows(i: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(i: np.ndarray, lo: np.ndarray, n: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
             for c in range(0, len(i), 200_000):
-                j = i[c : c + 200_000]
-                cols = (dk[j], th[j], lo[j].astype(np.int32), n[j].astype(np.int32), kind[c : c + 200_000].astype(np.int32))
+                j = slice(c, c + 200_000)
+                cols = (dk[i[j]], th[i[j]], lo[j].astype(np.int32), n[j].astype(np.int32), kind[j].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["dk", "th", "lo", "n", "kind"])
 
         done = np.flatnonzero(flag == 0)
-        yield from rows(done, np.zeros(len(done), np.int8))
         i = np.flatnonzero(flag > 0)
         i = i[np.lexsort((lo[i], dk[i], sp[i], a[i]))]
-        kind = judge(dk[i], a[i], sp[i], flag[i], earlier)
-        yield from rows(i[kind >= 0], kind[kind >= 0])
-        twice = i[kind == CHECK_TWICE]
-        yield from rows(twice, np.zeros(len(twice), np.int8))
+        kind, by_left, by_right = judge(dk[i], a[i], sp[i], flag[i], left[i], right[i], earlier)
+        done = np.r_[done, i[(kind == FULL) | (kind == CHECK_TWICE)]]
+        yield from rows(done, lo[done], n[done], np.zeros(len(done), np.int8))
+        # A shared left half asks for the windows that start before it, a shared right half for those that end after it.
+        ask = kind > 0
+        i, kind, by_left, by_right = i[ask], kind[ask], by_left[ask], by_right[ask]
+        half, at = (win - k + 1) // 2, lo[i] + place[i]
+        first = np.where(by_left, lo[i], np.maximum(lo[i], at + k + half - win))
+        last = np.where(by_right, lo[i] + n[i] - 1, np.minimum(lo[i] + n[i] - 1, at - half))
+        yield from rows(i, first, last - first + 1, kind)
 
     packed = docs.select("dk", "th", "text").mapInArrow(emit, "bucket int, blob binary")
     known = scratch.write(packed.repartitionById(buckets, "bucket").mapInArrow(decide, "dk long, th long, lo int, n int, kind int"), "known", rows=ROWS)
