@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import retrieval
+
+QUERIES: dict = {**retrieval.QUERIES}
+SQL: dict = {**retrieval.SQL}
