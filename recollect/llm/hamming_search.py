@@ -66,8 +66,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
         for s in range(SEGMENTS):
             d = F.bit_count(_segment(diff, s))
             first &= (d > radius) | ((d == radius) & (F.lit(s) >= F.col("segment")))
-        hit = index.join(probe, ["segment", "value"]).filter(first).select("query_id", "query_code", "code", F.bit_count(diff).alias("distance"))
-        found = hit.join(few, "code").select("query_id", "query_code", "distance", F.explode("ids").alias("x")).select("query_id", "query_code", "distance", "x.neighbour_id", "x.tie")
+        hit = index.join(probe.hint("merge"), ["segment", "value"]).filter(first).select("query_id", "query_code", "code", F.bit_count(diff).alias("distance"))
+        found = hit.join(few.hint("merge"), "code").select("query_id", "query_code", "distance", F.explode("ids").alias("x")).select("query_id", "query_code", "distance", "x.neighbour_id", "x.tie")
         if best is not None:
             keys = ["query_id", "query_code"]
             left = active.select(F.col("query_id").alias("q"), F.col("query_code").alias("c"))
