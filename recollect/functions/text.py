@@ -93,7 +93,14 @@ SECRET = r"(gsk_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16})"
 
 def extract_entities(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, entity, entity_type, ordinal): each entity of a text once, whatever its case; the first pattern and place win."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)), lambda x, kind=kind: F.struct(strip(x).alias("entity"), F.lit(kind).alias("entity_type"))) for p, kind in ENTITY_PATTERNS]))
+    def of(pattern: str, kind: str) -> Column:
+        # A word boundary by Unicode letters, whatever the Java version takes for one.
+        head, tail = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+        if pattern.startswith(r"\b"):
+            pattern = head + pattern[2:-2] + tail
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), lambda x: F.struct(strip(x).alias("entity"), F.lit(kind).alias("entity_type")))
+
+    found = F.flatten(F.array(*[of(p, kind) for p, kind in ENTITY_PATTERNS]))
     e = df.select(*key, F.posexplode(found).alias("ordinal", "e")).select(*key, "ordinal", "e.entity", "e.entity_type").filter(F.length("entity") > 1)
     return e.groupBy(*key, F.lower("entity").alias("_l")).agg(F.min(F.struct("ordinal", "entity", "entity_type")).alias("e")).select(*key, "e.entity", "e.entity_type", "e.ordinal")
 

@@ -139,7 +139,7 @@ def boot_text(identity: DataFrame, relationships: DataFrame, rules: DataFrame, m
     """
     m = F.col("ocean_scores")
     g = lambda k: F.try_element_at(m, F.lit(k))
-    scores = F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], "0.000"))), ", ")
+    scores = F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.3f", e["value"]))), ", ")
     base = identity.withColumn("_ocean", F.when(F.size(m) > 0, F.concat(F.lit("OCEAN Profile: "), scores, F.lit("\nOCEAN Narrative: "), ocean_narrative(g("O"), g("C"), g("E"), g("A"), g("N")))))
     rel = relationships_ranked(relationships).withColumn("_t", F.concat(F.lit("- "), "person", F.lit(": trust="), F.col("trust_level").cast("string"), F.lit(", style="), "style"))
     rel = rel.groupBy("agent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_t"))), lambda x: x["_t"]), "\n").alias("_rel"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import retrieval, shapes, upkeep
 
-QUERIES: dict = {**retrieval.QUERIES}
-SQL: dict = {**retrieval.SQL}
+QUERIES: dict = {**retrieval.QUERIES, **upkeep.QUERIES, **shapes.QUERIES}
+SQL: dict = {**retrieval.SQL, **upkeep.SQL, **shapes.SQL}
