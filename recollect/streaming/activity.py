@@ -14,16 +14,21 @@ def read_events(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.withWatermark("ts", late) if e.isStreaming else e
+
+
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
     """(event_type, window_start, n, total) by tumbling or sliding windows; as a stream, events later than `late` are dropped."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = _timed(events, late)
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     g = e.groupBy("event_type", w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return g.select("event_type", F.unix_seconds(F.col("w.start").cast("timestamp")).alias("window_start"), "n", F.round("total", 4).alias("total"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = _timed(events, late)
     return e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
