@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+from .components import connected_components
 from .memory import live
 from .vectors import cosine, similar_pairs
 
@@ -50,13 +52,16 @@ def merge_decisions(df: DataFrame, pairs: DataFrame, *, compat: bool = True) ->
 
     Pairs are replayed by (a, b): the more important, then more relevant, then earlier row survives with relevance
     +0.05 of what it had at the start; victims take no further part as b. With `compat` a row that has lost still
-    judges its later pairs, as the sequential loop does; without, it stops. Pairs of one connected group depend on
-    each other and are replayed together; only pairs above the threshold get here.
+    judges its later pairs, as the sequential loop does; without, it stops. Only pairs of one connected group depend on
+    each other, so each group is replayed by itself, whatever the size of its agent.
     """
+    scratch = Scratch(df.sparkSession)
+    pairs = scratch.write(pairs.select("agent", "a", "b"), "pairs")
+    groups = connected_components(pairs, scratch).select(F.col("node").alias("id_a"), F.col("root").alias("_group"))
     side = live(df).select("agent", "id", "importance", _or_default("relevance_score", 1.0).alias("rel"))
     a = side.select("agent", *[F.col(c).alias(f"{c}_a") for c in ("id", "importance", "rel")])
     b = side.select("agent", *[F.col(c).alias(f"{c}_b") for c in ("id", "importance", "rel")])
-    p = pairs.select("agent", F.col("a").alias("id_a"), F.col("b").alias("id_b")).join(a, ["agent", "id_a"]).join(b, ["agent", "id_b"])
+    p = pairs.select("agent", F.col("a").alias("id_a"), F.col("b").alias("id_b")).join(groups, "id_a").join(a, ["agent", "id_a"]).join(b, ["agent", "id_b"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lost: set[int] = set()
@@ -78,7 +83,7 @@ def merge_decisions(df: DataFrame, pairs: DataFrame, *, compat: bool = True) ->
                     break
         return pd.DataFrame([(pdf["agent"].iloc[0], int(i), v[0], v[1], v[2]) for i, v in out.items()], columns=["agent", "id", "invalidated", "relevance_score", "merges"])
 
-    return p.groupBy("agent").applyInPandas(run, "agent string, id long, invalidated boolean, relevance_score double, merges long")
+    return p.groupBy("agent", "_group").applyInPandas(run, "agent string, id long, invalidated boolean, relevance_score double, merges long")
 
 
 def consolidate(df: DataFrame, as_of: Column, threshold: float = MERGE_AT, *, compat: bool = True) -> DataFrame:
