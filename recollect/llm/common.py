@@ -1,72 +1,15 @@
-"""What the operators share: the folder that all executors see, written intermediate tables, row keys."""
+"""What the operators share: intermediate tables in the shared folder, and row keys."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text rows that travel to Python in one Arrow batch; bounds a worker's memory with long texts.
-ARROW_ROWS = 500
-MAX_LONG = 2**63 - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder under spark.checkpoint.dir. Only a local session without that setting gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="recollect-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/recollect-{uuid.uuid4().hex}"
-
-
-@contextlib.contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings (dots written as __) for the eager actions inside the block."""
-    conf = {k.replace("__", "."): v for k, v in values.items()}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+from ..sources.scratch import ARROW_ROWS, Scratch, settings, shared_dir
 
+__all__ = ["ARROW_ROWS", "MAX_LONG", "Scratch", "keyed", "settings", "shared_dir", "table", "text_key"]
 
-class Scratch:
-    """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive lost executors.
-
-    Shuffle files of a write are removed when it ends, and a table that is no longer needed can be dropped, so the
-    disk in use is that of one step. Tables that a returned DataFrame still reads are left to the cluster's clean-up
-    of the shared folder.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, shared_dir(spark), {}
-
-    def write(self, df: DataFrame, name: str, *, rows: int = ARROW_ROWS) -> DataFrame:
-        path = f"{self.root}/{name}"
-        conf = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true", "spark__sql__execution__arrow__maxRecordsPerBatch": str(rows)}
-        with settings(self.spark, **conf):
-            df.write.option("compression", "zstd").mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[name] = path
-        return out
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+MAX_LONG = 2**63 - 1
 
 
 def text_key(text: Column) -> Column:

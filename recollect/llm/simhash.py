@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import Scratch, table, text_key
-from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

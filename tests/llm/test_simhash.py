@@ -53,7 +53,7 @@ def test_large_cells_are_split_without_losing_links(spark, monkeypatch):
     fps = {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.choice([2, 3, 5, 8]))) for _ in range(400)} | {rnd.getrandbits(64) for _ in range(200)}
     ids = dict(enumerate(sorted(fps)))
     from recollect.llm.common import Scratch
-    from recollect.llm.components import connected_components
+    from recollect.operators.components import connected_components
 
     df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long")
     sc = Scratch(spark)
