@@ -46,7 +46,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     Codes are indexed under each of their segments. Round r probes the segment values at exactly r flipped bits and
     verifies what it finds. After round r every code within SEGMENTS * (r + 1) - 1 bits has been seen, as a farther
     one differs in more than r bits in each segment; a query whose kth distance is within that is finished, the rest
-    go on. A code counts in the first round and segment that find it, so nothing is verified twice. Equal codes are one entry
+    go on, and of what they find only codes at most as far as their kth so far are kept. A code counts in the first round
+    and segment that find it, so nothing is verified twice. Equal codes are one entry
     with its k smallest ids, which is all that any answer can use.
     """
     spark = codes.sparkSession
@@ -56,13 +57,13 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     few = rows.withColumn("i", F.row_number().over(own)).filter(F.col("i") <= k)
     few = scratch.write(few.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("neighbour_id", F.col("i").alias("tie")))).alias("ids")), "codes")
     index = scratch.write(few.select("code", _segments(F.col("code"))).sort("segment", "value"), "index")
-    active = scratch.write(queries.filter(F.col("code").isNotNull()).select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct(), "queries")
+    active = scratch.write(queries.filter(F.col("code").isNotNull()).select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), F.lit(64).alias("bound")).distinct(), "queries")
     done = best = None
     for radius in range(WIDTH + 1):
-        probe = active.select("query_id", "query_code", _segments(F.col("query_code"))).withColumn("flip", F.explode(_flips(radius)))
-        probe = probe.select("query_id", "query_code", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        probe = active.select("query_id", "query_code", "bound", _segments(F.col("query_code"))).withColumn("flip", F.explode(_flips(radius)))
+        probe = probe.select("query_id", "query_code", "bound", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         diff = F.col("code").bitwiseXOR(F.col("query_code"))
-        first = F.lit(True)
+        first = F.bit_count(diff) <= F.col("bound")
         for s in range(SEGMENTS):
             d = F.bit_count(_segment(diff, s))
             first &= (d > radius) | ((d == radius) & (F.lit(s) >= F.col("segment")))
@@ -82,7 +83,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
         done = ready if done is None else done.unionByName(ready)
         if last:
             break
-        active = scratch.write(active.join(sure, same, "left_anti"), f"active{radius}")
+        limit = kth.select(F.col("query_id").alias("q"), F.col("query_code").alias("c"), F.when(F.col("n") >= k, F.col("kth")).otherwise(64).alias("new"))
+        go_on = active.join(sure, same, "left_anti").join(limit, same, "left")
+        active = scratch.write(go_on.select("query_id", "query_code", F.coalesce("new", "bound").alias("bound")), f"active{radius}")
         if active.isEmpty():
             break
     return done.select("query_id", "rank", "neighbour_id", "distance")
