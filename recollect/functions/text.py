@@ -18,12 +18,26 @@ def tokens(text: Column) -> Column:
     return F.concat(w, pairs)
 
 
+def _digit(hex_text: Column, at: int) -> Column:
+    """The value of one hex digit: a search in a constant, much cheaper than a change of base."""
+    return F.call_function("instr", F.lit("0123456789abcdef"), F.substring(hex_text, at, 1)) - 1
+
+
 def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int")
+    """The first 8 hex digits of the MD5, modulo `dimensions`; for a power of two their last digits decide."""
+    h = F.md5(token)
+    bits = dimensions.bit_length() - 1
+    if dimensions != 1 << bits or bits > 28:
+        return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int")
+    n = F.lit(0)
+    for at in range(8 - (bits + 3) // 4 + 1, 9):
+        n = n * 16 + _digit(h, at)
+    return F.pmod(n, F.lit(dimensions)).cast("int")
 
 
 def sign(token: Column) -> Column:
-    return F.when(F.conv(F.substring(F.md5(token), 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    """1 if the 9th and 10th hex digits of the MD5 are an even number, else -1."""
+    return F.when(_digit(F.md5(token), 10) % 2 == 0, 1).otherwise(-1)
 
 
 def hash_counts(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
