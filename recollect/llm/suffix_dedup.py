@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, keyed, table
-from .repeats import ROWS, byte_tokens, covered, repeated_windows
+from .repeats import ROWS, byte_tokens, covered, mix, repeated_windows
 
 #: Bytes of a string that counts as repeated, and of a seed: any two equal strings share a winnowed seed.
 LENGTH, SEED_BYTES = 50, 20
@@ -43,42 +43,46 @@ def remove_later_copies(docs: DataFrame, *, length: int = LENGTH, id_col: str =
     scratch = Scratch(spark)
     d = keyed(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
 
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings to compare, packed as arrays, by a hash of what they hold."""
         for b in batches:
-            s, dk, th, lo = [], [], [], []
-            for key, h, text, checks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for i in sorted({i for c in checks for i in range(c["lo"], c["lo"] + c["n"])}):
-                    s.append(text[i : i + length])
-                    dk.append(key)
-                    th.append(h)
-                    lo.append(i)
-                    if len(s) >= 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(s, pa.binary()), pa.array(dk, pa.int64()), pa.array(th, pa.int64()), pa.array(lo, pa.int32())], ["s", "dk", "th", "lo"])
-                        s, dk, th, lo = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.binary()), pa.array(dk, pa.int64()), pa.array(th, pa.int64()), pa.array(lo, pa.int32())], ["s", "dk", "th", "lo"])
+            s, doc, lo = [], [], []
+            dk, th = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for d, (text, checks) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                at = np.unique(np.concatenate([np.arange(c["lo"], c["lo"] + c["n"]) for c in checks]))
+                s.append(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)[at])
+                doc.append(np.full(len(at), d))
+                lo.append(at)
+            if not s:
+                continue
+            s, doc, lo = np.concatenate(s), np.concatenate(doc), np.concatenate(lo)
+            ends = [np.ascontiguousarray(s[:, c : c + 8]).view(np.uint64).ravel() for c in (0, length // 2, length - 8)]
+            h = mix(mix(mix(ends[0]) + ends[1]) + ends[2]) % np.uint64(buckets)
+            order = np.argsort(h, kind="stable")
+            cut = np.searchsorted(h[order], np.arange(buckets + 1))
+            ids = np.flatnonzero(np.diff(cut))
+            rows = [order[cut[p] : cut[p + 1]] for p in ids]
+            cols = [[x[r].tobytes() for r in rows] for x in (s, dk[doc], th[doc], lo.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "s", "dk", "th", "lo"])
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Reads a range of the suffix order as a stream; of what came before, the last run's bytes and least key stay."""
-        last, least = None, 0
-        for b in batches:
-            s = np.array(b.column(0).to_pylist(), dtype=object)
-            dk = b.column(1).to_numpy()
-            if not len(s):
-                continue
-            hit = previous_factors(s, dk, length)
-            if s[0] == last:
-                run = s == last
-                hit[run] = dk[run] > least
-            if s[-1] != last:
-                last = s[-1]
-                least = dk[np.argmax(s == last)]
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(hit)) for i in (1, 2, 3)], ["dk", "th", "lo"])
+        """Sorts a bucket's strings into suffix order and yields those that an earlier document has."""
+        parts = [[b"".join(b.column(i).to_pylist()) for i in (1, 2, 3, 4)] for b in batches]
+        if not parts:
+            return
+        s, dk, th, lo = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*parts, strict=True), (f"S{length}", np.int64, np.int64, np.int32), strict=True))
+        parts.clear()
+        order = np.lexsort((dk, s))
+        hit = order[previous_factors(s[order], dk[order], length)]
+        for c in range(0, len(hit), 200_000):
+            j = hit[c : c + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[j]) for x in (dk, th, lo)], ["dk", "th", "lo"])
 
     def windows(checked: DataFrame) -> DataFrame:
-        w = scratch.write(checked.select("dk", "th", "text", "checks").mapInArrow(suffixes, "s binary, dk long, th long, lo int"), "windows", rows=ROWS)
-        ordered = w.repartitionByRange("s").sortWithinPartitions("s", "dk")
-        hit = scratch.write(ordered.mapInArrow(factors, "dk long, th long, lo int"), "factors", rows=50_000)
-        scratch.drop("windows")
+        packed = checked.select("dk", "th", "text", "checks").mapInArrow(suffixes, "bucket int, s binary, dk binary, th binary, lo binary")
+        hit = scratch.write(packed.repartitionById(buckets, "bucket").mapInArrow(factors, "dk long, th long, lo int"), "factors", rows=ROWS)
         return hit.select("dk", "th", "lo", F.lit(1).alias("n"))
 
     spans = repeated_windows(d, scratch, tokens=byte_tokens, win=length, k=SEED_BYTES, earlier=True, windows=windows)
