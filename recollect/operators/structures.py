@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import per_block
+
 
 def chain_head(df: DataFrame, group: str, order: str, row: Column, seed: Column) -> DataFrame:
     """(group, head, n): sha256(head || row hash) folded over the rows in order, from `seed`; all as hex text.
@@ -93,17 +95,18 @@ def prefix_sums(points: DataFrame, idx: str = "idx", value: str = "value", parts
 
 
 def range_sums(points: DataFrame, ranges: DataFrame, idx: str = "idx", value: str = "value") -> DataFrame:
-    """(lo, hi, total): the sum of each range, 0 for an inverted one; two lookups in the prefix sums."""
-    p = prefix_sums(points, idx, value)
+    """(lo, hi, total): the sum of each range, 0 for an inverted one; ranges are a stated set, read against the sums per index."""
+    p = points.groupBy(F.col(idx).alias("idx")).agg(F.sum(value).alias("sum"))
     r = ranges.select("lo", "hi")
-    hit = p.join(F.broadcast(r), (F.col("idx") >= F.col("lo")) & (F.col("idx") <= F.col("hi")), "inner").groupBy("lo", "hi").agg(F.sum("sum").alias("total"))
+    inside = (F.col("idx") >= F.col("lo")) & (F.col("idx") <= F.col("hi"))
+    hit = per_block(r, lambda part: p.join(part, inside)).groupBy("lo", "hi").agg(F.sum("sum").alias("total"))
     return r.join(hit, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def find_kth(points: DataFrame, ks: DataFrame, capacity: int, idx: str = "idx", value: str = "value") -> DataFrame:
     """(k, idx): the least index whose prefix sum reaches k, `capacity` if none does."""
     p = prefix_sums(points, idx, value).select("idx", "prefix_sum")
-    hit = p.join(F.broadcast(ks), F.col("prefix_sum") >= F.col("k")).groupBy("k").agg(F.min("idx").alias("idx"))
+    hit = per_block(ks, lambda part: p.join(part, F.col("prefix_sum") >= F.col("k"))).groupBy("k").agg(F.min("idx").alias("idx"))
     return ks.join(hit, "k", "left").select("k", F.coalesce("idx", F.lit(capacity)).alias("idx"))
 
 
@@ -128,7 +131,7 @@ def box_join(boxes: DataFrame, queries: DataFrame, cell: float) -> DataFrame:
 def nearest_boxes(boxes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, rank): boxes by the distance of their centres from the query points, a stated set."""
     cx, cy = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
-    j = boxes.join(F.broadcast(queries.select("query_id", "x", "y")), F.lit(True)).withColumn("distance", F.sqrt(F.pow(cx - F.col("x"), 2) + F.pow(cy - F.col("y"), 2)))
+    j = per_block(queries.select("query_id", "x", "y"), lambda part: boxes.join(part, F.lit(True))).withColumn("distance", F.sqrt(F.pow(cx - F.col("x"), 2) + F.pow(cy - F.col("y"), 2)))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import per_block
+
 #: Rows of one block of a pairwise comparison; a task compares two blocks.
 BLOCK = 2048
 
@@ -54,13 +56,13 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "query_i
     """The k base rows nearest to each query by cosine, ties by id: all columns of base's row, similarity and rank.
 
     `on` names columns that both sides must share (such as the agent); without it the queries are a stated set that is
-    read against all rows in blocks: each base partition meets the broadcast queries, and only k rows a query and
+    read against all rows in blocks: each base partition meets a counted block of broadcast queries, and only k rows a query and
     partition are shuffled (a limit by group before the exchange).
     """
     if k < 1:
         return base.limit(0).withColumn(query_id, F.lit(None)).withColumn("similarity", F.lit(0.0)).withColumn("rank", F.lit(0))
     q = queries.select(query_id, query_vec, *(on or []))
-    pairs = base.join(q, on) if on else base.join(F.broadcast(q), F.lit(True))
+    pairs = base.join(q, on) if on else per_block(q, lambda part: base.join(part, F.lit(True)))
     sim = pairs.withColumn("similarity", cosine(F.col(query_vec), F.col(vec))).drop(query_vec)
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(key))
     return sim.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -156,11 +156,12 @@ def ocean_narrative(spark, sf):
     return i.select("agent", A.ocean_narrative(*[F.col(k) for k in "OCEAN"]).alias("narrative"))
 
 
-SQL["ocean_narrative"] = f"""WITH {_IDN} SELECT agent, 'Soy ' || CASE WHEN "C_" >= 0.8 THEN 'extremadamente meticuloso y organizado' WHEN "C_" >= 0.6 THEN 'organizado y confiable' ELSE 'flexible con la estructura' END
+_NARRATIVE = """'Soy ' || CASE WHEN "C_" >= 0.8 THEN 'extremadamente meticuloso y organizado' WHEN "C_" >= 0.6 THEN 'organizado y confiable' ELSE 'flexible con la estructura' END
  || ', ' || CASE WHEN "O_" >= 0.7 THEN 'abierto a nuevas ideas' WHEN "O_" >= 0.5 THEN 'moderadamente curioso' ELSE 'pragmatico y convencional' END
  || ', ' || CASE WHEN "N_" <= 0.15 THEN 'muy estable emocionalmente' WHEN "N_" <= 0.3 THEN 'emocionalmente estable bajo presion' ELSE 'sensible emocionalmente' END
  || ', ' || CASE WHEN "A_" >= 0.7 THEN 'cooperativo con el equipo' WHEN "A_" >= 0.5 THEN 'equilibrado entre autonomia y colaboracion' ELSE 'independiente en sus juicios' END
- || ', y ' || CASE WHEN "E_" >= 0.7 THEN 'energizado por la interaccion directa' WHEN "E_" >= 0.4 THEN 'selectivo en sus interacciones' ELSE 'introvertido — prefiere el pensamiento profundo' END || '.' AS narrative FROM idn"""
+ || ', y ' || CASE WHEN "E_" >= 0.7 THEN 'energizado por la interaccion directa' WHEN "E_" >= 0.4 THEN 'selectivo en sus interacciones' ELSE 'introvertido — prefiere el pensamiento profundo' END || '.'"""
+SQL["ocean_narrative"] = f"WITH {_IDN} SELECT agent, {_NARRATIVE} AS narrative FROM idn"
 
 
 def ocean_drift(spark, sf):
@@ -309,6 +310,22 @@ def boot_context(spark, sf):
     return A.boot_text(ident, rel, A.rules_upsert(_rule_log(spark, sf)), _monologue(spark, sf)).select("agent", F.sha2("boot", 256).alias("boot_sha256"), F.length("boot").cast("long").alias("n_chars"))
 
 
+_FMT = " || ', ' || ".join(f"'{k}=' || printf('%.3f', \"{k}_\")" for k in "ACENO")
+SQL["boot_context"] = f"""WITH {_RULES}, {_MONO}, ag AS (SELECT DISTINCT 'u' || CAST(user_id % 25 AS VARCHAR) AS agent, user_id % 25 AS n FROM events),
+oc AS (SELECT agent, n, {', '.join(f'CAST((n * {m}) % 101 AS DOUBLE) / 100 AS "{k}_"' for k, m in zip('OCEAN', (7, 11, 13, 17, 19), strict=True))} FROM ag),
+sr AS (SELECT 'u' || CAST(s_suppkey % 25 AS VARCHAR) AS agent, s_name AS person, CAST((s_suppkey * 7) % 100 AS DOUBLE) / 100 AS trust FROM supplier),
+rl2 AS (SELECT agent, string_agg('- ' || person || ': trust=' || CAST(trust AS VARCHAR) || ', style=default', chr(10) ORDER BY trust DESC, person) AS t FROM sr GROUP BY agent),
+cr AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY created_at, rule_key) AS i FROM rules WHERE active AND priority = 'critical'),
+cr2 AS (SELECT agent, string_agg('- ' || rule_key || ': ' || substr(content, 1, 100), chr(10) ORDER BY i) AS t FROM cr WHERE i <= 5 GROUP BY agent),
+lt AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY created_at DESC, id DESC) AS i FROM mono),
+lt2 AS (SELECT agent, chr(10) || '## Last Inner Thought [' || coalesce(emotional_state, '') || ']' || chr(10) || '(' || strftime(make_timestamp(created_at * 1000000), '%Y-%m-%dT%H:%M:%S') || '): ' || thought AS t FROM lt WHERE i = 1),
+b AS (SELECT agent, concat_ws(chr(10), '## Identity: ' || agent, 'Person ' || agent, CASE WHEN n % 2 = 0 THEN 'OCEAN Profile: ' || {_FMT} || chr(10) || 'OCEAN Narrative: ' || {_NARRATIVE} END,
+  chr(10) || '## Relationships' || chr(10) || rl2.t, chr(10) || '## Critical Rules' || chr(10) || cr2.t, lt2.t,
+  chr(10) || '## Boot Protocol' || chr(10) || 'You are ' || agent || '. Use memory search for deeper recall. Your memories live in the database, always accessible.') AS boot
+  FROM oc LEFT JOIN rl2 USING (agent) LEFT JOIN cr2 USING (agent) LEFT JOIN lt2 USING (agent))
+SELECT agent, sha256(boot) AS boot_sha256, length(boot) AS n_chars FROM b"""
+
+
 def snapshot_state(spark, sf):
     m = W.memories(spark, sf).withColumn("agent", F.concat(F.lit("u"), (F.col("id") % 25).cast("string")))
     agents = m.select("agent").distinct()
