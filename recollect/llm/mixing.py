@@ -42,9 +42,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, *, t
     for m, t in targets.items():
         t = t.select(F.col("level").alias("_level"), F.col("share").cast("double").alias(f"t_{m}"))
         cells = cells.join(t, F.col(m).eqNullSafe(F.col("_level")), "left").drop("_level").withColumn(f"t_{m}", F.coalesce(f"t_{m}", F.lit(0.0)))
+    cells = scratch.write(cells, "targets")
     for m in targets:
-        live = cells.filter("tokens > 0").groupBy(F.col(m).alias("_level")).agg(F.max(f"t_{m}").alias("_t")).agg(F.sum("_t").alias(f"s_{m}"))
-        cells = cells.crossJoin(F.broadcast(live)).withColumn(f"t_{m}", F.coalesce(F.try_divide(f"t_{m}", f"s_{m}"), F.lit(0.0))).drop(f"s_{m}")  # one row
+        levels = cells.filter("tokens > 0").groupBy(m).agg(F.max(f"t_{m}").alias("t"))
+        total = levels.agg(F.sum("t")).first()[0] or 1.0
+        cells = cells.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(total))
     cells = scratch.write(cells.withColumn("w", F.col("tokens").cast("double")), "cells0")
     for i in range(0, max_rounds, ROUNDS_A_WRITE):
         step = cells
@@ -81,8 +83,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, seed: i
     cells = scratch.write(docs.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     fitted = rake(cells, targets or {m: tempered(cells, m, TEMPER[m]) for m in MARGINS}, scratch)
     ratio = fitted.withColumn("ratio", F.try_divide(F.col("w"), F.col("tokens").cast("double")))
-    top = ratio.agg(F.max("ratio").alias("top"))
-    p = ratio.crossJoin(F.broadcast(top)).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.coalesce(F.try_divide("ratio", "top"), F.lit(0.0)).alias("probability"))  # one row
+    top = ratio.agg(F.max("ratio")).first()[0] or 1.0
+    p = ratio.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.coalesce(F.col("ratio") / F.lit(top), F.lit(0.0)).alias("probability"))
     p = scratch.write(p, "probability")
     same = None
     for m in MARGINS:
