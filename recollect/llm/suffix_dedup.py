@@ -111,3 +111,21 @@ def remove_later_copies(docs: DataFrame, *, length: int = LENGTH, id_col: str =
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_later_copies(table(spark, sf_dir, "documents"), with_text=False).drop("spans")
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS dk, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+w AS (SELECT r, dk, unnest(list_transform(range(0, greatest(n - 49, 0)), lambda i: substr(h, 2 * i + 1, 100))) AS s, unnest(range(0, greatest(n - 49, 0))) AS i FROM n),
+f AS (SELECT s, min(dk) AS m FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, i FROM w JOIN f ON w.s = f.s WHERE dk > m),
+cut AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM hit),
+grp AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM cut),
+runs AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM grp GROUP BY r, g),
+gaps AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS c FROM runs),
+agg AS (
+  SELECT gaps.r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN d ON d.r = gaps.r GROUP BY gaps.r)
+SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN agg ON n.r = agg.r
+"""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, settings, shared_dir, table
+from .common import Scratch, settings, table
 
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -206,11 +206,16 @@ def read_warc(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES,
 
 
 def archive_round_trip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Writes `pages` to archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+    """Writes `pages` to archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+
+    The archives are removed when what they hold is read and written; use write_warc to keep some.
+    """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc"
+    scratch = Scratch(spark)
+    path = scratch.paths["warc"] = f"{scratch.root}/warc"
     write_warc(pages, path, min_bytes=min_bytes)
     records = read_warc(spark, path, split_bytes=split_bytes, payload=False)
+    scratch.drop("warc")
     page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-page:(-?\d*)>$", 1), F.lit("")).cast("long")
     return records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", page(F.col("refers_to")).alias("refers_to"), F.col("target_uri").alias("url"))
 
