@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 from .components import connected_components
 from .memory import live
-from .vectors import cosine, similar_pairs
+from .vectors import cosine, norm, similar_pairs
 
 REPLAY_BOOST, FORGET_DECAY, STALE_DAYS, PRUNE_BELOW, MERGE_AT, MAX_PRUNE = 0.10, 0.85, 14, 0.05, 0.92, 50
 
@@ -118,8 +118,9 @@ def route(candidates: DataFrame, history: DataFrame, *, surprise: float = 0, uti
     """
     s, u = surprise or SURPRISE, utility or UTILITY
     w = Window.partitionBy("agent").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    past = live(history).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= lookback).filter(F.col("vec").isNotNull()).select("agent", F.col("vec").alias("_v"))
-    sim = candidates.join(past, "agent", "left").groupBy("agent", "cand_id", "utility").agg(F.coalesce(F.greatest(F.lit(0.0), F.max(F.when(F.col("_v").isNotNull(), cosine(F.col("vec"), F.col("_v"))))), F.lit(0.0)).alias("max_similarity"))
+    past = live(history).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= lookback).filter(F.col("vec").isNotNull()).select("agent", F.col("vec").alias("_v"), norm(F.col("vec")).alias("_vn"))
+    candidates = candidates.withColumn("_cn", norm(F.col("vec")))
+    sim = candidates.join(past, "agent", "left").groupBy("agent", "cand_id", "utility").agg(F.coalesce(F.greatest(F.lit(0.0), F.max(F.when(F.col("_v").isNotNull(), cosine(F.col("vec"), F.col("_v"), F.col("_cn"), F.col("_vn"))))), F.lit(0.0)).alias("max_similarity"))
     out = sim.withColumn("surprise", 1 - F.col("max_similarity")).withColumn("rpe", F.col("surprise") * F.col("utility"))
     fast = (F.col("surprise") < s) & (F.col("utility") < u)
     why = F.array_join(F.filter(F.array(F.when(F.col("surprise") >= s, F.format_string(f"high surprise (%.3f>={s})", "surprise")), F.when(F.col("utility") >= u, F.format_string(f"high utility (%.3f>={u})", "utility"))), lambda x: x.isNotNull()), " and ")

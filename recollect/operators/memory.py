@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from .vectors import cosine, is_zero
+from .vectors import cosine, is_zero, norm
 
 SEARCH_LIMIT, CANDIDATES = 10, 100
 
@@ -41,8 +41,9 @@ def search(memories: DataFrame, queries: DataFrame, as_of: Column, *, limit: int
     limit = limit or SEARCH_LIMIT
     filtered = bool(category or min_importance or scope)
     base = matching(live(memories), category=category, min_importance=min_importance, scope=scope)
-    pairs = base.join(queries.select("agent", "query_id", "query", "query_vec"), "agent")
-    pairs = pairs.withColumn("similarity", F.when(F.col("vec").isNotNull(), cosine(F.col("query_vec"), F.col("vec"))))
+    q = queries.select("agent", "query_id", "query", "query_vec", norm(F.col("query_vec")).alias("_qn"))
+    pairs = base.withColumn("_vn", norm(F.col("vec"))).join(q, "agent")
+    pairs = pairs.withColumn("similarity", F.when(F.col("vec").isNotNull(), cosine(F.col("query_vec"), F.col("vec"), F.col("_qn"), F.col("_vn"))))
     if filtered or candidates is None:
         pool = pairs.filter(F.col("similarity").isNotNull())
     else:

@@ -25,9 +25,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays, 0 if either has no length; a longer array's rest counts in its norm only."""
-    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine of two arrays, 0 if either has no length; a longer array's rest counts in its norm only.
+
+    Norms that were computed once a row, before rows were paired, save two thirds of the work.
+    """
+    length = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.coalesce(F.try_divide(dot(a, b), length), F.lit(0.0))
 
 
 def clamp_similarity(distance: Column) -> Column:
@@ -61,9 +65,10 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "query_i
     """
     if k < 1:
         return base.limit(0).withColumn(query_id, F.lit(None)).withColumn("similarity", F.lit(0.0)).withColumn("rank", F.lit(0))
-    q = queries.select(query_id, query_vec, *(on or []))
+    q = queries.select(query_id, query_vec, *(on or []), norm(F.col(query_vec)).alias("_qn"))
+    base = base.withColumn("_bn", norm(F.col(vec)))
     pairs = base.join(q, on) if on else per_block(q, lambda part: base.join(part, F.lit(True)))
-    sim = pairs.withColumn("similarity", cosine(F.col(query_vec), F.col(vec))).drop(query_vec)
+    sim = pairs.withColumn("similarity", cosine(F.col(query_vec), F.col(vec), F.col("_qn"), F.col("_bn"))).drop(query_vec, "_qn", "_bn")
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(key))
     return sim.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
