@@ -1,4 +1,4 @@
-"""Command line: create, remember, recall, boot, reflect, snapshot."""
+"""Command line: create, remember, recall, boot, reflect, snapshot, migrate."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import re
 import sys
 
 from .agent import Agent, __version__
+from .operators import migration
 from .session import session
+from .sources.providers import HashEmbedder
 
 
 def importance(text: str) -> int:
@@ -47,9 +49,28 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--category", default="fact")
         if verb == "recall":
             s.add_argument("--limit", type=int, default=10)
+    s = sub.add_parser("migrate", help="embed a table of memories anew")
+    s.add_argument("action", choices=("run", "rollback"))
+    s.add_argument("checkpoint")
+    s.add_argument("--source")
+    s.add_argument("--candidate")
+    s.add_argument("--dimensions", type=int, default=1024)
+    s.add_argument("--ranges", type=int, default=16)
+    s.add_argument("--resume", action="store_true")
+    s.add_argument("--dry-run", action="store_true")
     return p
 
 
+def migrate(a: argparse.Namespace) -> dict:
+    spark = session()
+    if a.action == "rollback":
+        return migration.rollback(spark, a.checkpoint)
+    if not (a.source and a.candidate):
+        raise ValueError("--source and --candidate are needed")
+    embedder = HashEmbedder(a.dimensions)
+    return migration.migrate(spark, a.source, a.candidate, a.checkpoint, lambda df: embedder.embed(df, "id", "_text").select("id", "embedding"), target=a.dimensions, ranges=a.ranges, resume=a.resume, dry_run=a.dry_run)
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 if all went well, 2 for wrong input, 130 if interrupted."""
     try:
@@ -57,6 +78,9 @@ def main(argv: list[str] | None = None) -> int:
     except SystemExit as e:
         return int(e.code or 0)
     try:
+        if a.verb == "migrate":
+            print(json.dumps(migrate(a)))
+            return 0
         agent = Agent(session(), a.agent, a.root or f"recollect-{slug(a.agent)}")
         if a.verb == "create":
             agent.set_identity(a.personality, a.ocean or {})

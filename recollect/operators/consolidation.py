@@ -126,3 +126,12 @@ def route(candidates: DataFrame, history: DataFrame, *, surprise: float = 0, uti
     why = F.array_join(F.filter(F.array(F.when(F.col("surprise") >= s, F.format_string(f"high surprise (%.3f>={s})", "surprise")), F.when(F.col("utility") >= u, F.format_string(f"high utility (%.3f>={u})", "utility"))), lambda x: x.isNotNull()), " and ")
     low = F.format_string(f"low surprise (%.3f<{s}) and low utility (%.3f<{u})", "surprise", "utility")
     return out.withColumn("route", F.when(fast, "fast_path").otherwise("full_processing")).withColumn("reason", F.when(fast, low).otherwise(why))
+
+
+def report_summary(report: DataFrame, *, dry_run: bool = True) -> DataFrame:
+    """(agent, summary): the report of run_phases as text, phases in their order and the total."""
+    order = F.array_position(F.array(*[F.lit(p) for p in ("replay", "forget", "prune", "consolidate")]), F.col("phase"))
+    line = F.concat(F.lit("  "), F.upper("phase"), F.lit(": "), F.col("affected").cast("string"), F.lit(" affected"))
+    per = report.groupBy("agent").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))).alias("rows"), F.sum("affected").alias("total"))
+    head = F.concat(F.lit(f"Sleep Gate [{'DRY-RUN' if dry_run else 'LIVE'}] — "), "agent")
+    return per.select("agent", F.concat_ws("\n", head, F.transform("rows", lambda x: x["line"]), F.concat(F.lit("  Total: "), F.col("total").cast("string"))).alias("summary"))

@@ -91,6 +91,8 @@ def test_phases(spark):
     assert C.prune(m, now(), below=2.0, most=2).filter("affected").count() == 2
     live, report = C.run_phases(m, now(), dry_run=False)
     assert {r.phase for r in report.collect()} == {"replay", "forget", "prune", "consolidate"} and live.count() == 7
+    text = C.report_summary(report, dry_run=False).first()["summary"].split("\n")
+    assert text[0] == "Sleep Gate [LIVE] — A" and text[1] == "  REPLAY: 2 affected" and text[-1].startswith("  Total: ")
 
 
 def sequential(items, sims, t, compat):

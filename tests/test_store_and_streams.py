@@ -64,6 +64,9 @@ def test_migration_resumes(spark, tmp_path):
     assert spark.read.parquet(f"{cand}/range=0", f"{cand}/range=1").filter("size(embedding) = 1024").count() == 5
     assert spark.read.parquet(src).filter("size(embedding) = 128").count() == 5
     assert Q.rollback(spark, mark) == Q.rollback(spark, mark)
+    state = f"file://{tmp_path}/cli.json"
+    assert cli.main(["migrate", "run", state, "--source", src, "--candidate", f"{cand}1", "--dimensions", "64", "--ranges", "2"]) == 0
+    assert cli.main(["migrate", "rollback", state]) == 0 and cli.main(["migrate", "run", state]) == 2
     bad = lambda df: df.select("id", F.array(F.lit(float("nan")).cast("float")).alias("embedding"))
     with pytest.raises(RuntimeError):
         Q.migrate(spark, src, f"{cand}2", f"{mark}2", bad, ranges=1)
