@@ -21,6 +21,7 @@ SQL = {
     "op1_warc": warc.OP1_SQL,
     "op2_hamming_search": hamming_search.OP2_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
+    "op8_sharding": sharding.OP8_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
     "op10_suffix_dedup": suffix_dedup.OP10_SQL,
 }

@@ -77,7 +77,8 @@ def with_slots(df: DataFrame, shard: str, order: list[str], sub_buckets: int = S
 
     The offsets table has at most shards x sub_buckets rows, whatever the input.
     """
-    sub = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(sub_buckets)).cast("int")
+    name = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
+    sub = F.pmod(F.conv(F.substring(name, 1, 8), 16, 10).cast("long"), F.lit(sub_buckets)).cast("int")
     df = df.withColumn("_sub", sub)
     counts = df.groupBy(shard, "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(shard).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,3 +114,35 @@ SHARDS = 16
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = even_tree(SHARDS)
     return shard_documents(table(spark, sf_dir, "documents"), tree, add_shard(tree, SHARDS))
+
+
+def shard_sql(key: str, tree: Node) -> str:
+    """`shard_of` as SQL text."""
+    if tree.shard is not None:
+        return str(tree.shard)
+    live = [c for c in tree.children if c.weight > 0]
+    if len(live) == 1:
+        return shard_sql(key, live[0])
+    draws = [f"(-ln((CAST('0x' || substr(md5({key} || '|{c.name}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / {c.weight})" for c in live]
+    whens = " ".join(f"WHEN {d} = least({', '.join(draws)}) THEN {shard_sql(key, c)}" for c, d in zip(live[:-1], draws[:-1], strict=True))
+    return f"CASE {whens} ELSE {shard_sql(key, live[-1])} END"
+
+
+_TREE = even_tree(SHARDS)
+# The CRC's table comes from its rule: eight shifts by the reversed polynomial 0xEDB88320.
+OP8_SQL = f"""
+WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], list_transform(range(0, 8), lambda z: CAST(0 AS BIGINT))),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+b AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (
+  SELECT doc_id, k, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+      lambda c, x: xor(c // 256, t[CAST(xor(c % 256, x) + 1 AS BIGINT)])), 4294967295) AS text_crc32
+  FROM b, t),
+s AS (
+  SELECT doc_id, size, text_crc32, {shard_sql('k', _TREE)} AS shard, {shard_sql('k', add_shard(_TREE, SHARDS))} AS grown_shard,
+    CAST('0x' || substr(md5(k || '|' || CAST(text_crc32 AS VARCHAR) || '|' || CAST(size AS VARCHAR)), 1, 8) AS BIGINT) % 4096 AS sub
+  FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY sub, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM s
+"""
