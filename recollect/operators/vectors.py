@@ -8,10 +8,11 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import per_block
+from .blocks import BROADCAST_ROWS, per_block
 
 #: Rows of one block of a pairwise comparison; a task compares two blocks.
 BLOCK = 2048
@@ -73,6 +74,43 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "query_i
     return sim.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def knn_matrix(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "query_id", query_vec: str = "query_vec", key: str = "id", vec: str = "vec", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """As `knn` without groups, but (query_id, id, similarity, rank) only: a matrix product per Arrow batch of the base.
+
+    The queries are a stated set; blocks of at most `limit` of them travel with the tasks. A batch gives at most k rows
+    a query, and the window's limit cuts them again before the exchange. Similarities are rounded to 12 places, so
+    that equal vectors tie whatever batch they are in.
+    """
+    n = max(1, -(-queries.count() // limit))
+    out = None
+    for i in range(n):
+        part = queries if n == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == i)
+        rows = part.select(F.col(query_id).cast("long"), F.transform(query_vec, lambda x: x.cast("double"))).collect()
+        if not rows or k < 1:
+            continue
+        ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        q = np.divide(q, (length := np.linalg.norm(q, axis=1, keepdims=True)), out=np.zeros_like(q), where=length > 0)
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own, v = b.column(0).to_numpy(), b.column(1)
+                m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+                m = np.divide(m, (size := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=size > 0)
+                sim = np.round(q @ m.T, 12)
+                # At least the k best of each query, and all that tie with the last of them.
+                least = np.partition(sim, max(0, sim.shape[1] - k), axis=1)[:, max(0, sim.shape[1] - k)]
+                r, c = np.nonzero(sim >= least[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(own[c]), pa.array(sim[r, c])], ["query_id", "id", "similarity"])
+
+        src = base.filter(usable(F.col(vec), 1)).select(F.col(key).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+        one = src.mapInArrow(run, "query_id long, id long, similarity double")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def similar_pairs(df: DataFrame, threshold: float, *, group: str = "agent", key: str = "id", vec: str = "vec", ordered: bool = False, block: int = BLOCK) -> DataFrame:
     """(group, a, b, similarity) of the pairs in a group with cosine >= threshold; a < b, or both ways if `ordered`.
 
@@ -165,7 +203,7 @@ class ExactIndex:
         return json.dumps({"engine": "exact", "version": 1, "rows": rows, "source": digest} | asdict(self), sort_keys=True)
 
     def search(self, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-        return knn(queries, base, k).select("query_id", "id", "similarity", "rank")
+        return knn_matrix(queries, base, k)
 
 
 class StaleIndexError(RuntimeError):

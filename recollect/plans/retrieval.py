@@ -105,7 +105,7 @@ asked AS (SELECT query_id, CASE WHEN coalesce(c, '') = '' THEN {_STRIP.format('q
 def _knn(spark, sf, on):
     v = W.vectors(spark, sf)
     q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "agent")
-    out = V.knn(q if on else q.drop("agent"), v, 10, on=on)
+    out = V.knn(q, v, 10, on=on) if on else V.knn_matrix(q, v, 10)
     return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 

@@ -35,6 +35,8 @@ def test_knn_and_bad_vectors(spark):
     base = spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (20, [0.9, 0.1, 0.0]), (30, [0.0, 1.0, 0.0]), (40, [0.0, 0.0, 1.0])], "id long, vec array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, query_vec array<double>")
     assert [r.id for r in V.knn(q, base, 2).orderBy("rank").collect()] == [10, 20]
+    assert [(r.id, r.rank) for r in V.knn_matrix(q, base, 2).orderBy("rank").collect()] == [(10, 1), (20, 2)]
+    assert V.knn_matrix(q, base, 9).count() == 4 and V.knn_matrix(q.limit(0), base, 2).count() == V.knn_matrix(q, base.limit(0), 2).count() == 0
     V.check_vectors(base, "id", "vec", 3)
     for bad in ([(1, [1.0])], [(1, [1.0, 2.0, float("nan")])], [(1, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0])]):
         with pytest.raises(ValueError):
