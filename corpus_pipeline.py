@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import decontamination, langid, mixing, sharding, simhash
+from recollect.llm import near_copies as similar
 from recollect.llm.common import MAX_LONG, Scratch, table, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,17 +33,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return Scratch(spark).write(found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS), "language")
 
 
+def _rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of docs for each key (dk, th) of `keep`."""
+    keep = keep.select(F.col("dk").alias("_kd"), F.col("th").alias("_kt"))
+    rows = docs.withColumn("_dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG))).withColumn("_th", text_key(F.col("text")))
+    rows = rows.join(keep, (F.col("_dk") == F.col("_kd")) & (F.col("_th") == F.col("_kt")), "left_semi")
+    return _columns(rows.dropDuplicates(["_dk", "_th"]))
+
+
+def _unlinked(docs: DataFrame) -> DataFrame:
+    """(dk, th) of the row that stays of each group of linked fingerprints."""
+    named = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.when(F.col("doc_id").isNull(), F.col("th"))
+    return named.groupBy("doc_id", alone.alias("_alone")).agg(F.min("th").alias("th")).select(F.coalesce("doc_id", F.lit(MAX_LONG)).alias("dk"), "th")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: the one of the smallest id.
 
     Of several rows of that id one stays (the text of the smallest key). A group without any id keeps one row a text.
     """
-    named = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    alone = F.when(F.col("doc_id").isNull(), F.col("th"))
-    keep = named.groupBy("doc_id", alone.alias("_alone")).agg(F.min("th").alias("_kt")).select(F.coalesce("doc_id", F.lit(MAX_LONG)).alias("_kd"), "_kt")
-    rows = docs.withColumn("_dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG))).withColumn("_th", text_key(F.col("text")))
-    rows = rows.join(keep, (F.col("_dk") == F.col("_kd")) & (F.col("_th") == F.col("_kt")), "left_semi")
-    return _columns(rows.dropDuplicates(["_dk", "_th"]))
+    return _rows(docs, _unlinked(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What near_duplicates keeps, without documents that share 0.8 or more of their five-word shingles with one that stays."""
+    keep = Scratch(spark).write(_unlinked(docs), "unlinked")
+    return _rows(docs, similar.without_near_copies(docs, keep))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +81,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, tree, sharding.add_shard(tree, sharding.SHARDS))
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+STAGES = [("language", language), ("near_duplicates", near_copies), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
 #: Language identification and SimHash are beyond SQL.
 ORACLE_SQL = None
