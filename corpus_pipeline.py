@@ -71,7 +71,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents by the probabilities that bring source, language and topic to their target shares."""
     rows = docs.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("tokens"))
-    taken = mixing.mix(Scratch(spark).write(rows, "tokens")).filter("sampled").select("doc_id")
+    taken = mixing.mix(Scratch(spark).write(rows, "tokens"), rate=mixing.RATE).filter("sampled").select("doc_id")
     return _rejoin(docs, taken)
 
 
