@@ -20,12 +20,6 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _rejoin(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in `keep` (doc_id, each once); a null id is looked up as such."""
-    keep = keep.select(F.coalesce("doc_id", F.lit(MAX_LONG)).alias("_id")).distinct()
-    return _columns(docs.join(keep, F.coalesce(docs["doc_id"].cast("long"), F.lit(MAX_LONG)) == F.col("_id"), "left_semi"))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter (null and empty ones too); `lang` becomes the language found in the others."""
     docs = _columns(docs)
@@ -63,16 +57,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every document that holds a window of a benchmark item."""
-    hit = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.coalesce("doc_id", F.lit(MAX_LONG)).alias("_id")).distinct()
-    return _columns(docs.join(hit, F.coalesce(docs["doc_id"].cast("long"), F.lit(MAX_LONG)) == F.col("_id"), "left_anti"))
+    """Drops every document that holds a window of a benchmark item, row by row."""
+    hit = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("dk").alias("_kd"), F.col("th").alias("_kt"))
+    return _columns(docs.join(hit, (F.coalesce(docs["doc_id"].cast("long"), F.lit(MAX_LONG)) == F.col("_kd")) & (text_key(docs["text"]) == F.col("_kt")), "left_anti"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents by the probabilities that bring source, language and topic to their target shares."""
-    rows = docs.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("tokens"))
-    taken = mixing.mix(Scratch(spark).write(rows, "tokens"), rate=mixing.RATE).filter("sampled").select("doc_id")
-    return _rejoin(docs, taken)
+    """A sample of the documents by the probabilities that bring source, language and topic to their target shares.
+
+    A document without an id is drawn by its text.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), text_key(F.col("text"))).alias("_key")
+    rows = docs.select(*COLUMNS, key, mixing.topic_of(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("tokens"))
+    return _columns(mixing.mix(Scratch(spark).write(rows, "tokens"), rate=mixing.RATE, id_col="_key").filter("sampled"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

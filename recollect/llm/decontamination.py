@@ -62,6 +62,13 @@ def contained_windows(docs: DataFrame, windows: DataFrame, scratch: Scratch) ->
     return out
 
 
+def contaminated(docs: DataFrame, items: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(dk, th) of the documents, keyed as by `keyed`, that hold a window of an item."""
+    scratch = Scratch(docs.sparkSession)
+    windows = scratch.write(item_windows(items, width=width), "windows")
+    return scratch.write(contained_windows(keyed(docs, id_col, text_col), windows, scratch).select("dk", "th").distinct(), "contaminated")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hits (at, len, items).
 
