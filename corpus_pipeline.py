@@ -37,15 +37,14 @@ def _rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
 def _unlinked(docs: DataFrame) -> DataFrame:
     """(dk, th) of the row that stays of each group of linked fingerprints."""
-    named = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    alone = F.when(F.col("doc_id").isNull(), F.col("th"))
-    return named.groupBy("doc_id", alone.alias("_alone")).agg(F.min("th").alias("th")).select(F.coalesce("doc_id", F.lit(MAX_LONG)).alias("dk"), "th")
+    key = F.struct(F.coalesce("doc_id", F.lit(MAX_LONG)).alias("dk"), "th")
+    return simhash.near_duplicates(docs).groupBy("root").agg(F.min(key).alias("k")).select("k.dk", "k.th")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: the one of the smallest id.
 
-    Of several rows of that id one stays (the text of the smallest key). A group without any id keeps one row a text.
+    Of several rows of that id in the group one stays (the text of the smallest key); null ids come last.
     """
     return _rows(docs, _unlinked(docs))
 

@@ -189,7 +189,7 @@ def linked(fps: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64-bit fingerprint as a long), component_id (the smallest doc_id reachable) and th (the text's key) of every row.
+    """doc_id, fp (the 64-bit fingerprint as a long), component_id (the smallest doc_id reachable), root (one fingerprint of the component, the same for all of it) and th (the text's key) of every row.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat an id are one document of that
     component; null ids take part, and a component of null ids alone has a null component_id. Equal fingerprints are
@@ -203,8 +203,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = connected_components(linked(distinct.select("fp"), scratch), scratch)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = scratch.write(named.join(least, "root").select("fp", "component_id"), "label")
-    return fp.join(label, "fp").select("doc_id", "fp", "component_id", "th")
+    label = scratch.write(named.join(least, "root").select("fp", "component_id", "root"), "label")
+    return fp.join(label, "fp").select("doc_id", "fp", "component_id", "root", "th")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

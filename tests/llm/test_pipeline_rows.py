@@ -14,3 +14,11 @@ def test_rows_without_id_are_judged_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RATE", 0.5)
     taken = [r.text for r in P.mix(spark, spark.createDataFrame(left, SCHEMA), SF).collect()]
     assert 10 < len(taken) < 50 and len(set(taken)) == len(taken)
+
+
+def test_an_id_of_several_texts_stands_for_each_group(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, c, "en", "s", 1), (9, c, "en", "s", 1), (None, b, "en", "s", 1)], SCHEMA)
+    want = sorted([(1, a), (1, b), (1, c)])
+    for stage in (P.near_duplicates, dict(P.STAGES)["near_duplicates"]):
+        assert sorted((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()) == want
