@@ -20,9 +20,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), "")
 
 
-def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(win, items): the distinct windows of all items, each with the ids that hold it. Items of null id are not searched."""
-    w = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).filter(F.size("w") > 0)
+def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WINDOW, unnamed: bool = False) -> DataFrame:
+    """(win, items): the distinct windows of all items, each with the ids that hold it. Items of null id are searched if `unnamed`."""
+    w = items.filter(F.lit(unnamed) | F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     win = w.select("item", "w", F.explode(starts).alias("i")).select("item", F.slice("w", F.col("i"), F.lit(width)).alias("win"))
     return win.groupBy("win").agg(F.collect_set("item").alias("items"))
@@ -63,23 +63,23 @@ def contained_windows(docs: DataFrame, windows: DataFrame, scratch: Scratch) ->
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(dk, th) of the documents, keyed as by `keyed`, that hold a window of an item."""
+    """(dk, th) of the documents, keyed as by `keyed`, that hold a window of any item, of null id too."""
     scratch = Scratch(docs.sparkSession)
-    windows = scratch.write(item_windows(items, width=width), "windows")
+    windows = scratch.write(item_windows(items, width=width, unnamed=True), "windows")
     return scratch.write(contained_windows(keyed(docs, id_col, text_col), windows, scratch).select("dk", "th").distinct(), "contaminated")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hits (at, len, items).
 
     An item of fewer words than `width`, but not none, is one window; null and empty texts have no words, so such a
     document is never hit and such an item finds nothing. Repeated rows each get their result; items that repeat an
-    id count once; an item of null id is left out. Columns of other names are not read.
+    id count once; an item of null id is left out, or with `unnamed` is hit but adds to no ids. Columns of other names are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     d = keyed(docs, id_col, text_col)
-    windows = scratch.write(item_windows(items, width=width), "windows")
+    windows = scratch.write(item_windows(items, width=width, unnamed=unnamed), "windows")
     hits = scratch.write(contained_windows(d, windows, scratch).groupBy("dk", "th").agg(F.collect_set(F.struct("at", "len", "items")).alias("hits")), "hits")
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["len"] - 1))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
