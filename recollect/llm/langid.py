@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,16 @@ DOCS_PER_LANG, CHARS_PER_LANG = 200, 24_576
 PIECE = 256
 #: Pieces that advance together; bounds memory for very long texts.
 LANES = 1 << 14
+#: Codes of a state's dense row: the commonest letters of all samples. The others' transitions are kept sparse.
+DENSE = 64
 UND = "und"
 
 
 def letters(sample: str) -> np.ndarray:
-    """Code points to codes: 1 is everything that is no letter, 2 an unknown letter, 3.. the sample's 60 commonest letters, in lower case."""
-    common = [c for c, _ in sorted(Counter(x for x in sample.lower() if x.isalpha()).items(), key=lambda x: (-x[1], x[0]))[:60]]
+    """Code points to codes: 1 is everything that is no letter, 2 a letter that no sample holds, 3.. the sample's letters, commonest first, in lower case."""
+    common = [c for c, _ in sorted(Counter(x for x in sample.lower() if x.isalpha()).items(), key=lambda x: (-x[1], x[0]))]
     code = {c: i + 3 for i, c in enumerate(common)}
-    lut = np.ones(0x110000, np.uint8)
+    lut = np.ones(0x110000, np.uint8 if len(code) < 253 else np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
@@ -34,8 +37,27 @@ def letters(sample: str) -> np.ndarray:
     return lut
 
 
-def automaton(codes: np.ndarray, width: int = 64) -> np.ndarray:
-    """The suffix automaton of a sequence of codes as a transition table (states x width), 0 where there is none.
+class Table(NamedTuple):
+    """Transitions: a dense row a state for codes below DENSE, 0 where there is none, and sorted (state, code) keys for the others."""
+
+    dense: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
+
+    def step(self, state: np.ndarray | int, code: np.ndarray) -> np.ndarray:
+        rare = np.flatnonzero(code >= DENSE)
+        if not len(rare):
+            return self.dense[state * DENSE + code]
+        to = self.dense[state * DENSE + np.where(code < DENSE, code, 0)]
+        if len(self.keys):  # else a rare code has no transition
+            key = (np.broadcast_to(state, code.shape)[rare].astype(np.int64) << 32) | code[rare].astype(np.int64)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[rare] = np.where(self.keys[at] == key, self.values[at], 0)
+        return to
+
+
+def automaton(codes: np.ndarray) -> Table:
+    """The suffix automaton of a sequence of codes as a transition table.
 
     State 0 is dead and state 1 the root, so a path from the root exists for exactly the sequence's factors.
     """
@@ -64,11 +86,16 @@ def automaton(codes: np.ndarray, width: int = 64) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.zeros((len(nxt), width), np.int32)
+    out = np.zeros((len(nxt), DENSE), np.int32)
+    rare = []
     for s, row in enumerate(nxt):
         for c, t in row.items():
-            out[s, c] = t
-    return out
+            if c < DENSE:
+                out[s, c] = t
+            else:
+                rare.append((s << 32 | c, t))
+    rare.sort()
+    return Table(out.ravel(), np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32))
 
 
 def encode(text: str, lut: np.ndarray) -> np.ndarray:
@@ -83,20 +110,20 @@ class Model:
         self.lut = letters("".join(samples[k] for k in self.langs))
         coded = [encode(samples[k], self.lut) for k in self.langs]
         coded = [c[(c != 1) | np.r_[True, c[:-1] != 1]] if len(c) else c for c in coded]  # runs of other characters count once
-        self.tables = [automaton(c).ravel() for c in coded]
+        self.tables = [automaton(c) for c in coded]
         self.cost = [math.log2(max(2, len(c))) for c in coded]
 
-    def phrases(self, codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    def phrases(self, codes: np.ndarray, table: Table) -> np.ndarray:
         """Phrases of each row of codes (0 pads the end): a phrase is the longest factor that the automaton still holds."""
         n = np.zeros(len(codes), np.int32)
         state = np.full(len(codes), 1, np.int32)
         for col in codes.T:
             if not col.any():
                 break
-            to = table[state * 64 + col]
+            to = table.step(state, col)
             pad = col == 0
             miss = (to == 0) & ~pad
-            back = table[64 + col[miss]]
+            back = table.step(1, col[miss])
             n[miss] += (state[miss] != 1).astype(np.int32) + (back == 0)  # a character that the sample lacks is a phrase
             to[miss] = np.where(back == 0, 1, back)
             if pad.any():
