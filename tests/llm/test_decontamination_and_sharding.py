@@ -15,9 +15,8 @@ def brute(docs, items, width=10):
     win = {}
     for i, t in items:
         w = words(t)
-        if i is not None:
-            for p in range(max(1, len(w) - width + 1) if w else 0):
-                win.setdefault(tuple(w[p : p + width]), set()).add(str(i))
+        for p in range(max(1, len(w) - width + 1) if w else 0):
+            win.setdefault(tuple(w[p : p + width]), set()).add(i)
     out = []
     for i, t in docs:
         w, hit, ids = words(t), set(), set()
@@ -26,14 +25,15 @@ def brute(docs, items, width=10):
                 if tuple(w[p : p + len(s)]) == s:
                     hit.update(range(p, p + len(s)))
                     ids |= who
-        out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+        named = ",".join(sorted(str(x) for x in ids if x is not None))
+        out.append((i, len(w), len(hit), len(ids), hashlib.sha256(named.encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
 
 def test_decontamination(spark):
     body = [f"word{i}" for i in range(40)]
     items = [(1, " ".join(body[:25])), (2, "Short Item"), (3, None), (4, "..."), (None, "nobody asks this"), (12, " ".join(body[5:20])), (1, "also under one"), (7, "é è ê " * 5)]
-    docs = [(1, " ".join(body)), (2, "x " + "; ".join(body[3:13]).upper() + " y"), (3, " ".join(body[3:12])), (4, None), (5, ""), (6, "a short-item here, nobody asks this"), (6, "a short-item here"), (None, "short item short item"), (9, "é è ê " * 50), (10, "word1 " * 5000)]
+    docs = [(1, " ".join(body)), (2, "x " + "; ".join(body[3:13]).upper() + " y"), (3, " ".join(body[3:12])), (4, None), (5, ""), (6, "a short-item here, nobody asks this"), (6, "a short-item here"), (None, "short item short item"), (9, "é è ê " * 50), (10, "word1 " * 5000), (11, "pad " * 100_000 + "Short Item")]
     d = spark.createDataFrame([(*x, 0, 1) for x in docs], "doc_id long, text string, n_hit int, hits int")
     b = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, word int")
     assert sorted([tuple(r)[:6] for r in D.decontaminate(d, b).collect()], key=repr) == brute(docs, items)
@@ -41,8 +41,8 @@ def test_decontamination(spark):
     assert D.decontaminate(d, b.limit(0)).filter("contaminated").count() == 0
 
 
-def test_many_windows_go_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(D.blocks, "__defaults__", (3,))
+def test_many_windows_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 3)
     items = [(i, " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(10)]
     docs = [(0, " ".join(f"w{j}" for j in range(18))), (1, "w1 w2")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
