@@ -16,7 +16,8 @@ from .common import ARROW_ROWS, Scratch, table
 
 #: Labelled text per language that a model is built from: so many documents, by the hash of their ids, up to CHARS in all.
 DOCS_PER_LANG, CHARS_PER_LANG = 200, 24_576
-#: A text is parsed in pieces of so many characters, all of them, so that pieces of many texts advance together.
+#: A text is parsed in pieces of so many characters, all of them, so that pieces of many texts advance together; each
+#: piece goes on where the one before it ended, so the pieces show in no result.
 PIECE = 256
 #: Pieces that advance together; bounds memory for very long texts.
 LANES = 1 << 14
@@ -113,31 +114,57 @@ class Model:
         self.tables = [automaton(c) for c in coded]
         self.cost = [math.log2(max(2, len(c))) for c in coded]
 
-    def phrases(self, codes: np.ndarray, table: Table) -> np.ndarray:
-        """Phrases of each row of codes (0 pads the end): a phrase is the longest factor that the automaton still holds."""
-        n = np.zeros(len(codes), np.int32)
-        state = np.full(len(codes), 1, np.int32)
-        for col in codes.T:
-            if not col.any():
+    @staticmethod
+    def _advance(state: np.ndarray, col: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one code each (0 pads and changes nothing), and how many phrases that ended."""
+        to = table.step(state, col)
+        pad = col == 0
+        miss = (to == 0) & ~pad
+        back = table.step(1, col[miss])
+        n = np.zeros(len(col), np.int8)
+        n[miss] = (state[miss] != 1).astype(np.int8) + (back == 0)  # a character that the sample lacks is a phrase
+        to[miss] = np.where(back == 0, 1, back)
+        return np.where(pad, state, to), n
+
+    def parse(self, codes: np.ndarray, table: Table, first: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases that end in each piece, and the state after it; codes is (place, piece), 0 pads a piece's end.
+
+        A phrase is the longest factor that the automaton holds. A piece marked `first` begins in its `start`, any
+        other where the piece before it ended. All are parsed from a guess (the root) at once; one whose guess was
+        wrong is parsed again, until it comes into the state that the guess had led to: from there on both agree.
+        """
+        width, n = codes.shape
+        begin = np.where(first, start, 1).astype(np.int32)
+        states, ended = np.empty((width, n), np.int32), np.zeros((width, n), np.int8)
+        state = begin
+        for c in range(width):
+            if not codes[c].any():
+                states[c:] = state
                 break
-            to = table.step(state, col)
-            pad = col == 0
-            miss = (to == 0) & ~pad
-            back = table.step(1, col[miss])
-            n[miss] += (state[miss] != 1).astype(np.int32) + (back == 0)  # a character that the sample lacks is a phrase
-            to[miss] = np.where(back == 0, 1, back)
-            if pad.any():
-                to[pad] = state[pad]
-            state = to
-        return n + (state != 1)
+            state, ended[c] = self._advance(state, codes[c], table)
+            states[c] = state
+        while True:
+            should = np.where(first, start, np.r_[np.int32(1), states[-1, :-1]]).astype(np.int32)
+            live = np.flatnonzero(should != begin)
+            if not len(live):
+                return ended.sum(axis=0, dtype=np.int64), states[-1]
+            begin, state = should, should[live]
+            for c in range(width):
+                state, ended[c, live] = self._advance(state, codes[c, live], table)
+                apart = state != states[c, live]
+                states[c, live] = state
+                live, state = live[apart], state[apart]
+                if not len(live):
+                    break
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of the cheapest parse (ties: the first by name) and 1 - its cost / the next one's."""
         lang, score = [UND] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return lang, score
-        cost = np.zeros((len(texts), len(self.langs)))
+        phrases = np.zeros((len(texts), len(self.langs)), np.int64)
         alpha = np.zeros(len(texts), bool)
+        state = np.ones((len(texts), len(self.langs)), np.int32)  # where each text's parse is
         rows: list[np.ndarray] = []
         owner: list[np.ndarray] = []
         lanes = 0
@@ -145,18 +172,24 @@ class Model:
         def flush() -> None:
             nonlocal lanes
             if rows:
-                codes, own = np.concatenate(rows), np.concatenate(owner)
+                codes, own = np.ascontiguousarray(np.concatenate(rows).T), np.concatenate(owner)
+            if rows and len(own):
+                first = np.r_[True, own[1:] != own[:-1]]
+                last = np.r_[first[1:], True]
                 for k, t in enumerate(self.tables):
-                    np.add.at(cost[:, k], own, self.phrases(codes, t) * self.cost[k])
+                    n, end = self.parse(codes, t, first, state[own, k])
+                    np.add.at(phrases[:, k], own, n)
+                    state[own[last], k] = end[last]
             rows.clear()
             owner.clear()
             lanes = 0
 
         for i, text in enumerate(texts):
+            before = 0
             for at in range(0, len(text or ""), LANES * PIECE):
                 c = encode(text[at : at + LANES * PIECE], self.lut)
                 alpha[i] |= bool((c >= 2).any())
-                c = c[(c != 1) | np.r_[True, c[:-1] != 1]]
+                c, before = c[(c != 1) | np.r_[before != 1, c[:-1] != 1]], c[-1]
                 c = np.pad(c, (0, -len(c) % PIECE)).reshape(-1, PIECE)
                 rows.append(c)
                 owner.append(np.full(len(c), i))
@@ -164,6 +197,7 @@ class Model:
                 if lanes >= LANES:
                     flush()
         flush()
+        cost = (phrases + (state != 1)) * np.array(self.cost)  # the phrase that the text's end cuts counts too
         for i in np.flatnonzero(alpha):
             order = np.argsort(cost[i], kind="stable")
             lang[i] = self.langs[order[0]]
@@ -208,11 +242,13 @@ def identify(docs: DataFrame, samples: dict[str, str], *, text_col: str = "text"
 
     The language that needs the fewest phrases, each weighed by the logarithm of its automaton's text, wins. Null texts
     and those without a letter are `und` with score 0, as is everything if nothing was learnt; with one language every
-    text with a letter has it, with score 1. Rows are judged each by itself, so ties and repeats change nothing.
+    text with a letter has it, with score 1. Rows are judged each by itself, so ties and repeats change nothing. Texts
+    of any length are parsed whole, as one sequence. Columns named lang_pred and score are replaced, others kept; an
+    empty table gives no rows.
     """
     keep = keep or [c for c in docs.columns if c not in ("lang_pred", "score")]
-    src = docs.select(*keep, F.col(text_col).alias("_text"))
-    out = src.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0))
+    src = docs.select(*keep, F.col(text_col))  # read by place, so no name can clash
+    out = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(samples)

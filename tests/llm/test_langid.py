@@ -19,7 +19,9 @@ def test_phrases_match_a_plain_parse():
     codes = L.encode(text, m.lut)
     for k, sample in (("a", "the cat sat on the mat and the rat"), ("b", "der hund und die katze")):
         plain = greedy("".join(map(chr, codes + 60)), "".join(map(chr, L.encode(sample, m.lut) + 60)))
-        assert m.phrases(np.asarray(codes)[None, :], m.tables[m.langs.index(k)])[0] == plain
+        one = np.ones(1, np.int32)
+        n, end = m.parse(np.asarray(codes)[:, None], m.tables[m.langs.index(k)], one == 1, one)
+        assert n[0] + (end[0] != 1) == plain
 
 
 def test_held_out_accuracy(spark):
@@ -32,7 +34,8 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, "x", 7), (2, "", "x", 7), (3, "12 34 !!", "x", 7), (4, "abc " * 200_000, "x", 7)], "doc_id long, text string, lang_pred string, score int")
+    df = spark.createDataFrame([(1, None, "x", 7, "t"), (2, "", "x", 7, "t"), (3, "12 34 !!", "x", 7, "t"), (4, "abc " * 200_000, "x", 7, "t")], "doc_id long, text string, lang_pred string, score int, _text string")
+    assert L.identify(df, {"a": "abc"}).select("_text").distinct().collect()[0][0] == "t"
     got = {r.doc_id: r.lang_pred for r in L.identify(df, {"a": "abc abc", "b": "xyz"}, keep=["doc_id"]).collect()}
     assert got == {1: "und", 2: "und", 3: "und", 4: "a"}
     assert L.identify(df, {}, keep=["doc_id"]).filter("lang_pred <> 'und'").count() == 0

@@ -43,4 +43,41 @@ def test_rare_letters_parse_as_plain():
     codes = L.encode(text, m.lut)
     for k, s in (("a", sample), ("b", "the cat")):
         plain = greedy("".join(chr(c + 60) for c in codes.tolist()), "".join(chr(c + 60) for c in L.encode(s, m.lut).tolist()))
-        assert m.phrases(np.asarray(codes)[None, :], m.tables[m.langs.index(k)])[0] == plain
+        one = np.ones(1, np.int32)
+        n, end = m.parse(np.asarray(codes)[:, None], m.tables[m.langs.index(k)], one == 1, one)
+        assert n[0] + (end[0] != 1) == plain
+
+
+def coded(text, alphabet):
+    """Runs of other than letters as one mark, letters that no sample has as another."""
+    out = []
+    for c in text:
+        x = (c.lower() if c.lower() in alphabet else "?") if c.isalpha() else "_"
+        if x != "_" or not out or out[-1] != "_":
+            out.append(x)
+    return "".join(out)
+
+
+def test_whole_predictions_match_a_plain_parse(monkeypatch):
+    rnd = random.Random(3)
+    first = {"zh": (0x4E00, 300), "ja": (0x3042, 70), "ko": (0xAC00, 300), "ru": (0x430, 32), "en": (0x61, 26), "fr": (0x61, 26)}
+    pools = {k: [w for w in words(rnd, a, n, [1] * 120)] for k, (a, n) in first.items()}
+    text = lambda k, n: " ".join(rnd.choice(pools[k]) + rnd.choice(["", ",", " 7 "]) for _ in range(n))
+    samples = {k: text(k, 400) for k in pools}
+    alphabet = {c.lower() for s in samples.values() for c in s if c.isalpha()}
+    plain = {k: coded(s, alphabet) for k, s in samples.items()}
+    cost = {k: np.log2(len(s)) for k, s in plain.items()}
+    asked = [text(k, n) for k in pools for n in (1, 30, 400)] + [text("ru", 200) + text("zh", 300) + "\u05d0\u05d1" * 9, "\u05d0 x", "7 8 9"]
+    want = []
+    for t in asked:
+        c = sorted((greedy(coded(t, alphabet), plain[k]) * cost[k], k) for k in sorted(plain))
+        want.append((c[0][1], 1 - c[0][0] / c[1][0]) if any(x.isalpha() for x in t) else ("und", 0.0))
+    m = L.Model(samples)
+    for piece, lanes in ((256, 1 << 14), (7, 5), (1, 3)):  # how texts are cut shows in no result
+        monkeypatch.setattr(L, "PIECE", piece)
+        monkeypatch.setattr(L, "LANES", lanes)
+        lang, score = m.predict(asked)
+        assert lang == [x for x, _ in want]
+        assert np.allclose(score, [x for _, x in want])
+    got = m.predict([text(k, 40) for k in pools for _ in range(5)])[0]
+    assert got == [k for k in pools for _ in range(5)]
