@@ -20,6 +20,8 @@ END = b"\r\n\r\n"
 SPLIT_BYTES = 4 << 20
 #: Payloads of at least so many bytes are compared; smaller ones are always written in full.
 MIN_BYTES = 0
+#: Bytes of archives that one reading task takes at least, once each core has some.
+TASK_BYTES = 128 << 20
 #: Repeated digests that are broadcast (under 10 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: The base32 digits, a fixed value.
@@ -40,7 +42,8 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, date:
     Of equal payloads of at least `min_bytes` the row of the smallest id is a response, all others revisit it; rows
     that repeat that id and payload are responses too. A null payload is empty; a null id counts after all others and
     is nobody's target; a null url has no target line, and line ends in a url are percent-encoded. No html is
-    shuffled: digests are counted alone, and only those that repeat meet the rows again.
+    shuffled: digests are counted alone, and only those that repeat meet the rows again. An empty table gives archives
+    without records; rows that repeat an id have records of that same id. Columns of other names are not read.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -134,17 +137,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "off", "leave"])
 
 
+def _spread(work: DataFrame, *keys: str) -> DataFrame:
+    """`work` (splits, or entries of splits) dealt to tasks by the bytes that its rows stand for, not by the rows' own."""
+    n, size = work.agg(F.count(F.lit(1)), F.max("size")).first()
+    cores = work.sparkSession.sparkContext.defaultParallelism
+    return work.repartition(max(1, -(-n * (size or 0) // TASK_BYTES), min(n, 2 * cores)), *keys)
+
+
 def record_entries(splits: DataFrame, scratch: Scratch, longest: int) -> DataFrame:
     """(path, off): of each split the first record that the chain from the file's start reaches.
 
     Pointer jumping: in each round the pointers double their reach (over splits, as each task has already followed its
     own), and places that are reached reach on. Magic inside a payload is no place that a chain from the start leads to.
     """
-    found = scratch.write(splits.select("path", "length", "start", "size").mapInArrow(_candidates, "path string, off long, leave long"), "candidates", rows=1)
+    found = scratch.write(_spread(splits, "path", "start").select("path", "length", "start", "size").mapInArrow(_candidates, "path string, off long, leave long"), "candidates", rows=1)
     targets = found.select("path", F.col("leave").alias("off")).distinct()
     jump = found.filter("off > 0").join(targets, ["path", "off"], "left_semi").unionByName(found.filter("off = 0"))
     jump = scratch.write(jump, "jump0")
-    reached = jump.filter("off = 0").select("path", "off")
+    reached = splits.filter("start = 0").select("path", F.col("start").alias("off"))  # of files that begin with no record too
     for i in range(math.ceil(math.log2(longest + 1)) if longest > 1 else 0):
         more = reached.join(jump, ["path", "off"]).select("path", F.col("leave").alias("off"))
         reached = scratch.write(reached.unionByName(more).distinct(), f"reached{i + 1}")
@@ -153,22 +163,25 @@ def record_entries(splits: DataFrame, scratch: Scratch, longest: int) -> DataFra
     return reached
 
 
-def read_warc(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES, payload: bool = True, strict: bool = True) -> DataFrame:
     """The records of the WARC files under `path`: path, off, record_type, record_id, target_uri, refers_to, digest,
     payload_bytes, and with `payload` the payload (empty for a revisit).
 
     payload_bytes and digest (bare base32) are those of the bytes read; for a revisit, which has none, those that its
     head and HTTP head state. Files are read in splits of `split_bytes`, whatever their records; a record that begins
-    in a split is read to its end. Empty files have no records. A file whose chain breaks is read up to the break.
+    in a split is read to its end. Empty files have no records. Where a file's chain breaks (no record where one should
+    be, or one that the file's end cuts) the job fails with the file and the place; if not `strict`, a row of type
+    `broken` with nothing but the path and the place stands there, and the file is read up to it.
     """
     scratch = Scratch(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
     splits = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start")).withColumn("size", F.lit(split_bytes))
-    splits = scratch.write(splits.repartition("path", "start"), "splits")
+    splits = scratch.write(splits, "splits")
     longest = splits.agg(F.max((F.col("start") / split_bytes).cast("int") + 1)).first()[0] or 0
     entries = record_entries(splits, scratch, longest)
     begin = (F.col("off") - F.col("off") % split_bytes).alias("start")
-    work = splits.join(entries.select("path", "off", begin), ["path", "start"]).select("path", "length", (F.col("start") + F.col("size")).alias("end"), "off")
+    work = splits.join(entries.select("path", "off", begin), ["path", "start"]).select("path", "length", (F.col("start") + F.col("size")).alias("end"), "off", "size")
+    work = scratch.write(work, "work")
     schema = "path string, off long, record_type string, record_id string, target_uri string, refers_to string, digest string, payload_bytes long" + (", payload binary" if payload else "")
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
 
@@ -178,12 +191,17 @@ def read_warc(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES,
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=False)], [x.split()[0] for x in schema.split(", ")])
 
         for b in batches:
-            for where, length, end, off in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for where, length, end, off in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 f, rows, held = _File(where, length), [], 0
                 f.load(off, end)
-                while off < min(end, length) and (h := f.header(off)):
-                    fields, at = h
-                    stop = at + int(fields["content-length"])
+                while off < min(end, length):
+                    fields, at = f.header(off) or ({}, length + 1)
+                    stop = at + int(fields.get("content-length", 0))
+                    if stop > length:
+                        if strict:
+                            raise ValueError(f"{where}: the chain of records breaks at byte {off} of {length}")
+                        rows.append((where, off, "broken", *[None] * (len(kinds) - 3 - (not payload))))
+                        break
                     block = f.bytes(at, stop)
                     head, _, body = block.partition(END)
                     kind = fields.get("warc-type")
@@ -202,7 +220,7 @@ def read_warc(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES,
                 if rows:
                     yield batch(rows)
 
-    return scratch.write(work.repartition("path", "off").mapInArrow(extract, schema), "records", rows=1)
+    return scratch.write(_spread(work, "path", "off").mapInArrow(extract, schema), "records", rows=1)
 
 
 def archive_round_trip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:

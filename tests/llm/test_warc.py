@@ -1,6 +1,8 @@
 import base64
 import hashlib
 
+import pytest
+
 from recollect.llm import warc as W
 
 
@@ -37,6 +39,21 @@ def test_round_trip_with_magic_inside_payloads(spark, tmp_path):
     assert by == sorted(want)
 
 
+def test_broken_chains_are_told(spark, tmp_path):
+    record = lambda body, kind="response": b"WARC/1.1\r\nWARC-Type: " + kind.encode() + b"\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    good, n = record(b"h\r\n\r\none"), len(record(b"h\r\n\r\none"))
+    files = {"whole": good * 9, "hole": good * 3 + b"no record here\r\n\r\n" + good * 3, "cut": (good * 3)[:-9], "none": b"nothing at all", "empty": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    for split in (64, 1 << 20):
+        assert W.read_warc(spark, f"file://{tmp_path}/whole", split_bytes=split).count() == 9
+        got = sorted((r.path.rsplit("/", 1)[1], r.off, r.record_type) for r in W.read_warc(spark, f"file://{tmp_path}", split_bytes=split, strict=False).collect())
+        ok = lambda name, k: [(name, i * n, "response") for i in range(k)]
+        assert got == sorted([*ok("whole", 9), *ok("hole", 3), ("hole", 3 * n, "broken"), *ok("cut", 2), ("cut", 2 * n, "broken"), ("none", 0, "broken")])
+    with pytest.raises(Exception, match="breaks at byte"):
+        W.read_warc(spark, f"file://{tmp_path}/hole")
+
+
 def test_empty(spark):
     assert W.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
