@@ -32,23 +32,23 @@ def _flips(radius: int) -> Column:
 
 
 def _best(df: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id", "query_code").orderBy("distance", "neighbour_id", "tie")
+    w = Window.partitionBy("query_code").orderBy("distance", "neighbour_id", "tie")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, rank, neighbour_id, distance: the k codes nearest to each query in Hamming distance, ties by id.
 
-    codes and queries have (id, code). Rows of null code are in neither; a null id ranks first among ties, and rows
-    that repeat an id are neighbours of their own. A repeated query is answered once. Fewer than k codes are all
-    returned; an empty side gives no rows.
+    codes and queries have (id, code); columns of other names are not read. Rows of null code are in neither; a null
+    id ranks first among ties, and rows that repeat an id are neighbours of their own. A repeated query is answered
+    once. Fewer than k codes are all returned; an empty side gives no rows.
 
     Codes are indexed under each of their segments. Round r probes the segment values at exactly r flipped bits and
     verifies what it finds. After round r every code within SEGMENTS * (r + 1) - 1 bits has been seen, as a farther
     one differs in more than r bits in each segment; a query whose kth distance is within that is finished, the rest
     go on, and of what they find only codes at most as far as their kth so far are kept. A code counts in the first round
-    and segment that find it, so nothing is verified twice. Equal codes are one entry
-    with its k smallest ids, which is all that any answer can use.
+    and segment that find it, so nothing is verified twice. Equal codes are one entry with its k smallest ids, which is
+    all that any answer can use, and queries of one code are searched once and share the answer.
     """
     spark = codes.sparkSession
     scratch = Scratch(spark)
@@ -57,38 +57,36 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     few = rows.withColumn("i", F.row_number().over(own)).filter(F.col("i") <= k)
     few = scratch.write(few.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("neighbour_id", F.col("i").alias("tie")))).alias("ids")), "codes")
     index = scratch.write(few.select("code", _segments(F.col("code"))).sort("segment", "value"), "index")
-    active = scratch.write(queries.filter(F.col("code").isNotNull()).select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), F.lit(64).alias("bound")).distinct(), "queries")
+    asked = scratch.write(queries.filter(F.col("code").isNotNull()).select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct(), "queries")
+    active = scratch.write(asked.select("query_code", F.lit(64).alias("bound")).distinct(), "active")
     done = best = None
     for radius in range(WIDTH + 1):
-        probe = active.select("query_id", "query_code", "bound", _segments(F.col("query_code"))).withColumn("flip", F.explode(_flips(radius)))
-        probe = probe.select("query_id", "query_code", "bound", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        probe = active.select("query_code", "bound", _segments(F.col("query_code"))).withColumn("flip", F.explode(_flips(radius)))
+        probe = probe.select("query_code", "bound", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         diff = F.col("code").bitwiseXOR(F.col("query_code"))
         first = F.bit_count(diff) <= F.col("bound")
         for s in range(SEGMENTS):
             d = F.bit_count(_segment(diff, s))
             first &= (d > radius) | ((d == radius) & (F.lit(s) >= F.col("segment")))
-        hit = index.join(probe.hint("merge"), ["segment", "value"]).filter(first).select("query_id", "query_code", "code", F.bit_count(diff).alias("distance"))
-        found = hit.join(few.hint("merge"), "code").select("query_id", "query_code", "distance", F.explode("ids").alias("x")).select("query_id", "query_code", "distance", "x.neighbour_id", "x.tie")
+        hit = index.join(probe.hint("merge"), ["segment", "value"]).filter(first).select("query_code", "code", F.bit_count(diff).alias("distance"))
+        found = hit.join(few.hint("merge"), "code").select("query_code", "distance", F.explode("ids").alias("x")).select("query_code", "distance", "x.neighbour_id", "x.tie")
         if best is not None:
-            keys = ["query_id", "query_code"]
-            left = active.select(F.col("query_id").alias("q"), F.col("query_code").alias("c"))
-            found = found.unionByName(best.join(left, F.col("query_id").eqNullSafe(F.col("q")) & (F.col("query_code") == F.col("c")), "left_semi").select(*keys, "distance", "neighbour_id", "tie"))
+            found = found.unionByName(best.join(active, "query_code", "left_semi").select("query_code", "distance", "neighbour_id", "tie"))
         best = scratch.write(_best(found, k), f"best{radius}")
         covered = SEGMENTS * (radius + 1) - 1
-        kth = best.groupBy("query_id", "query_code").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-        sure = kth.filter((F.col("n") >= k) & (F.col("kth") <= covered)).select(F.col("query_id").alias("q"), F.col("query_code").alias("c"))
-        same = F.col("query_id").eqNullSafe(F.col("q")) & (F.col("query_code") == F.col("c"))
+        kth = best.groupBy("query_code").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
+        sure = kth.filter((F.col("n") >= k) & (F.col("kth") <= covered)).select("query_code")
         last = radius == WIDTH
-        ready = best if last else best.join(sure, same, "left_semi")
+        ready = best if last else best.join(sure, "query_code", "left_semi")
         done = ready if done is None else done.unionByName(ready)
         if last:
             break
-        limit = kth.select(F.col("query_id").alias("q"), F.col("query_code").alias("c"), F.when(F.col("n") >= k, F.col("kth")).otherwise(64).alias("new"))
-        go_on = active.join(sure, same, "left_anti").join(limit, same, "left")
-        active = scratch.write(go_on.select("query_id", "query_code", F.coalesce("new", "bound").alias("bound")), f"active{radius}")
+        limit = kth.select("query_code", F.when(F.col("n") >= k, F.col("kth")).otherwise(64).alias("new"))
+        go_on = active.join(sure, "query_code", "left_anti").join(limit, "query_code", "left")
+        active = scratch.write(go_on.select("query_code", F.coalesce("new", "bound").alias("bound")), f"active{radius}")
         if active.isEmpty():
             break
-    return done.select("query_id", "rank", "neighbour_id", "distance")
+    return asked.join(done, "query_code").select("query_id", "rank", "neighbour_id", "distance")
 
 
 def op2_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
