@@ -64,8 +64,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, *, t
         worst = off[0]
         for o in off[1:]:
             worst = worst.unionByName(o)
-        if (worst.agg(F.max("x")).first()[0] or 0.0) <= tolerance:
+        left = worst.agg(F.max("x")).first()[0] or 0.0
+        if left <= tolerance:
             break
+    else:
+        _log_unfinished(left, max_rounds)
     return cells.drop(*[f"t_{m}" for m in targets])
 
 
@@ -122,8 +125,11 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], rate: float, scratch: S
         for m in names:
             o = cells.groupBy(m).agg((F.abs(F.sum(held) - F.max(f"t_{m}")) / F.greatest(F.max(f"t_{m}"), F.lit(1e-300))).alias("x")).select("x")
             off = o if off is None else off.unionByName(o)
-        if (off.agg(F.max("x")).first()[0] or 0.0) <= tolerance:
+        left = off.agg(F.max("x")).first()[0] or 0.0
+        if left <= tolerance:
             break
+    else:
+        _log_unfinished(left, max_rounds)
     report = None
     for m, t in wanted.items():
         got = cells.groupBy(F.col(m).alias("_level")).agg(F.sum(held).alias("expected"))
@@ -132,6 +138,10 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], rate: float, scratch: S
     return cells.select(*names, F.coalesce(F.try_divide(held, F.col("u")), F.lit(0.0)).alias("probability")), scratch.write(report, "report")
 
 
+def _log_unfinished(left: float, rounds: int) -> None:
+    logging.getLogger(__name__).warning("a margin is still off its target by a share of %g after %d rounds: the targets may contradict each other", left, rounds)
+
+
 def _log_unmet(report: DataFrame) -> None:
     bad = report.filter(F.abs(F.col("expected") - F.col("wanted")) > UNMET * F.col("wanted"))
     n = bad.count()
@@ -154,7 +164,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, rate: f
     which one tiny level can make very small. Sampling is by a hash of the id, so repeated rows go
     together and a null id is one key. Null levels are levels of their own; cells without tokens or without a target
     have probability 0. Only counts by cell are shuffled to fit; docs meet them again by a join that AQE can split.
-    Clashing column names (probability, sampled) are replaced.
+    Columns named probability and sampled are replaced, all others kept whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -169,13 +179,15 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, rate: f
     else:
         p, report = fit(cells, targets, rate, scratch)
         _log_unmet(report)
-    p = p.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "probability")
-    p = scratch.write(p, "probability")
+    cell = "_cell"
+    while cell in docs.columns:
+        cell += "_"
+    p = scratch.write(p.select(F.struct(*MARGINS).alias(cell), "probability"), "probability")
     same = None
     for m in MARGINS:
-        c = F.col(m).eqNullSafe(F.col(f"_{m}"))
+        c = F.col(m).eqNullSafe(F.col(f"{cell}.{m}"))
         same = c if same is None else same & c
-    out = docs.join(p, same, "left").drop(*[f"_{m}" for m in MARGINS])
+    out = docs.join(p, same, "left").drop(cell)
     return out.withColumn("sampled", uniform(F.col(id_col), seed) < F.col("probability"))
 
 

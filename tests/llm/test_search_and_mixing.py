@@ -74,3 +74,22 @@ def test_mix_empty_and_unlisted(spark):
     df = spark.createDataFrame([(1, "a", "x", "p", 3), (2, "b", "x", "p", 3), (None, "a", "x", "p", 0)], schema)
     t = {"source": spark.createDataFrame([("a", 1.0)], "level string, share double"), "lang": spark.createDataFrame([("x", 1.0)], "level string, share double"), "topic": spark.createDataFrame([("p", 2.0)], "level string, share double")}
     assert {r.doc_id: r.probability for r in M.mix(df, t).collect()} == {1: 1.0, 2: 0.0, None: 1.0}
+
+
+def test_clashing_names(spark):
+    rows = [(i, "a", "x", "p", 5, "own") for i in range(20)]
+    names = ("_source", "_lang", "_topic", "_cell", "_level", "t_source", "probability", "level", "w")
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long, note string")
+    for n in names:
+        df = df.withColumn(n, df["note"])
+    for rate in (None, 0.5):
+        out = M.mix(df, rate=rate)
+        assert len(out.columns) == len(set(out.columns)) and out.filter("_source = 'own' and _cell = 'own' and w = 'own'").count() == 20
+    codes = spark.createDataFrame([(1, 5, 1, 2, 3, 4), (2, 5, 1, 2, 3, 4)], "id long, code long, query_id long, distance int, segment int, tie int")
+    assert sorted(map(tuple, H.top_k(codes, codes.filter("id = 1"), 3).collect())) == [(1, 1, 1, 0), (1, 2, 2, 0)]
+
+
+def test_long_and_null_texts_have_topics_and_counts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "w " * 400_000 + "a | b"), (4, "9" * 300_000), (5, "\t \n"), (6, "see x@y now")], "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("doc_id", M.topic_of(df["text"]), M.token_count(df["text"])).collect()}
+    assert got == {1: ("prose", 0), 2: ("prose", 0), 3: ("table", 400_003), 4: ("numeric", 1), 5: ("prose", 0), 6: ("address", 3)}
