@@ -1,4 +1,4 @@
-"""Repeated windows of token sequences: winnowed anchors are joined, and matches extended both ways from them.
+"""Seeds of repeated windows of token sequences: winnowed anchors are joined, and matches extended both ways from them.
 
 A window is `win` consecutive tokens of one text. Each window has one anchor, the k-gram of the smallest hash in it
 (the last of equal ones), so equal windows have equal anchors at equal places. The windows of one anchor form its span.
@@ -24,7 +24,9 @@ from .common import Scratch
 CHUNK, PLACE = 1 << 18, np.uint64((1 << 20) - 1)
 #: Documents in one Arrow batch.
 ROWS = 1000
-FULL, CHECK, CHECK_TWICE = 0, 1, 2
+#: Occurrences that a task sorts out together, and those of one anchor beyond which it no longer holds them back.
+BUFFER, HOT = 200_000, 1_000_000
+WHOLE, CHECK, CHECK_TWICE = 0, 1, 2
 
 
 def _powers(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,29 +145,6 @@ def sketch(texts: list[bytes], tokens: Callable[[bytes], np.ndarray], win: int,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-#: The columns of a packed occurrence after its document's dk and th, as they are stored.
-PACKED = (np.uint64, np.uint64, np.int32, np.int32, np.int16, np.int8, np.int16, np.uint16, np.uint16)
-
-
-def _pack(dk: np.ndarray, th: np.ndarray, doc: np.ndarray, cols: tuple[np.ndarray, ...]) -> bytes:
-    """cols: a, sp, lo, n, flag, place, left, right."""
-    used, inv = np.unique(doc, return_inverse=True)
-    a, sp, lo, n, flag, place, left, right = cols
-    head = np.array([len(used), len(doc)], np.int64)
-    rows = zip((a, sp, lo, inv, n, flag, place, left, right), PACKED, strict=True)
-    return b"".join(x.tobytes() for x in (head, dk[used], th[used], *(c.astype(t) for c, t in rows)))
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    u, m = np.frombuffer(blob, np.int64, 2)
-    at, out = 16, []
-    for kind, size in ((np.int64, u), (np.int64, u), *((t, m) for t in PACKED)):
-        out.append(np.frombuffer(blob, kind, size, at))
-        at += out[-1].nbytes
-    dk, th, a, sp, lo, inv, *rest = out
-    return dk[inv], th[inv], a, sp, lo, *rest
-
-
 def _starts(*cols: np.ndarray) -> np.ndarray:
     new = np.zeros(len(cols[0]), bool)
     new[:1] = True
@@ -188,16 +167,17 @@ def _shared(a: np.ndarray, side: np.ndarray, dk: np.ndarray, weight: np.ndarray,
     return out & (side > 0)
 
 
-def judge(dk, a, sp, flag, left, right, earlier: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What is known of each occurrence, -1 for nothing to do, and whether its left and right half windows are shared.
+def judge(dk, a, sp, flag, left, right, earlier: bool, hot: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each occurrence whether its whole span is met again, what to check of it (0 nothing), and on which sides.
 
-    Rows are sorted by (anchor, span, dk); flag is 2 for one that stands for several. `earlier`: repeats count only of
-    a smaller dk.
+    Rows are sorted by (anchor, span, dk); flag is 2 for one that stands for several. `earlier`: only what a smaller dk
+    has counts as met, and the first of a span is marked whole too if later ones rest on it. `hot`: the rows are but a
+    part of their anchor's, so one of each span is checked on both sides whatever the others hold.
     """
     n = len(a)
-    kind, near = np.full(n, -1, np.int8), (np.zeros(n, bool), np.zeros(n, bool))
+    kind, whole, near = np.zeros(n, np.int8), np.zeros(n, bool), (np.full(n, hot), np.full(n, hot))
     if not n:
-        return kind, *near
+        return whole, kind, *near
     new_a, new_s = _starts(a), _starts(a, sp)
     ia, is_ = np.flatnonzero(new_a), np.flatnonzero(new_s)
     group_a, group_s = np.cumsum(new_a) - 1, np.cumsum(new_s) - 1
@@ -205,88 +185,108 @@ def judge(dk, a, sp, flag, left, right, earlier: bool) -> tuple[np.ndarray, np.n
     weight = np.add.reduceat(flag.astype(np.int64), is_)[group_s]
     if earlier:
         first = dk == dk[is_][group_s]
-        kind[~first] = FULL
-        ask = first & mixed & (np.minimum.reduceat(dk, ia) < np.maximum.reduceat(dk, ia))[group_a]
+        whole = (np.add.reduceat((~first | (flag > 1)).astype(np.int64), is_) > 0)[group_s]
+        ask = first & (hot | (mixed & (np.minimum.reduceat(dk, ia) < np.maximum.reduceat(dk, ia))[group_a]))
     else:
-        kind[weight > 1] = FULL
-        ask = new_s & mixed & (np.minimum.reduceat(weight, ia) == 1)[group_a]  # one row of each span, if any is seen once
+        whole = weight > 1
+        ask = new_s & (hot | (mixed & (np.minimum.reduceat(weight, ia) == 1)[group_a]))  # one row of each span, if any is seen once
     i = np.flatnonzero(ask)
     if len(i):
         for side, at in zip((left, right), near, strict=True):
-            at[i] = _shared(a[i], side[i], dk[i], np.ones(len(i), np.int64), earlier)
+            at[i] |= _shared(a[i], side[i], dk[i], np.ones(len(i), np.int64), earlier)
         i = i[near[0][i] | near[1][i]]
-        kind[i] = np.where((weight[i] > 1) & (not earlier), CHECK_TWICE, CHECK)  # the former are also full
-    return kind, *near
+        kind[i] = np.where((weight[i] > 1) & (not earlier), CHECK_TWICE, CHECK)
+    return whole, kind, *near
+
 
+def candidates(docs: DataFrame, scratch: Scratch, *, tokens: Callable[[bytes], np.ndarray], win: int, k: int, earlier: bool, hot: int = HOT) -> DataFrame:
+    """(dk, th, lo, n, kind): runs of window starts that may be repeated (`earlier`: that a smaller dk may have).
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, *, tokens: Callable[[bytes], np.ndarray], win: int, k: int, earlier: bool, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(dk, th, spans): runs (lo, n) of window starts whose window also starts elsewhere (`earlier`: in a smaller dk).
+    docs has (dk, th, text as bytes). WHOLE: the whole span of an anchor is met again (64 bits of it, beside 64 of its
+    anchor, say so); with `earlier` the first one is listed as well. CHECK: some of the run's windows may be, since a
+    half window beside the anchor is met again (CHECK_TWICE: it stands for several). No repeated window is missed.
 
-    docs has (dk, th, text as bytes). Anchors go to one bucket by their hash, packed as arrays; what one batch can
-    decide is decided before and only passed on, so a passage that many documents share sends one row a batch. `windows`
-    gets (dk, th, text, checks) and returns (dk, th, lo, n) of the repeated ones among the windows it is to compare.
+    Occurrences are rows that Spark sorts by anchor (and spills); a task holds those of one anchor at a time. What one
+    batch can decide is decided before, so a passage that many documents share sends one row a batch. An anchor of more
+    than `hot` occurrences left is not held: one occurrence of each of its spans is checked whole.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dk, th = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            doc, lo, n, a, sp, *rest = sketch([t or b"" for t in b.column(2).to_pylist()], tokens, win, k)
+            doc, lo, n, a, sp, place, left, right = sketch([t or b"" for t in b.column(2).to_pylist()], tokens, win, k)
             if not len(doc):
                 continue
             # Decide inside the batch: of equal (anchor, span) the first goes on for all, the rest are done.
             order = np.lexsort((lo, dk[doc], sp, a))
-            doc, lo, n, a, sp, *rest = (x[order] for x in (doc, lo, n, a, sp, *rest))
+            doc, lo, n, a, sp, place, left, right = (x[order] for x in (doc, lo, n, a, sp, place, left, right))
             new = _starts(a, sp)
-            size = np.diff(np.r_[np.flatnonzero(new), len(a)])
-            flag = np.where(new, np.minimum(np.repeat(size, size), 2), 0)
+            at = np.flatnonzero(new)
+            size = np.repeat(np.diff(np.r_[at, len(a)]), np.diff(np.r_[at, len(a)]))
             if earlier:
-                least = dk[doc[new]][np.cumsum(new) - 1]
-                flag = np.where(dk[doc] == least, 1, 0)
-            bucket = np.where(flag > 0, (a >> np.uint64(20)) % np.uint64(buckets), th[doc].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((lo, doc, bucket))
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            ids, blobs = [], []
-            for p in np.flatnonzero(np.diff(cut)):
-                r = order[cut[p] : cut[p + 1]]
-                ids.append(p)
-                blobs.append(_pack(dk, th, doc[r], tuple(x[r] for x in (a, sp, lo, n, flag, *rest))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(x) for b in batches for x in b.column(1).to_pylist()]
-        if not parts:
-            return
-        dk, th, a, sp, lo, n, flag, place, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
+                same = dk[doc] == np.repeat(dk[doc[at]], np.diff(np.r_[at, len(a)]))
+                later = np.repeat(np.add.reduceat((~same).astype(np.int64), at), np.diff(np.r_[at, len(a)])) > 0
+                flag = np.where(same, 1 + later, 0)
+            else:
+                flag = np.where(new, np.minimum(size, 2), 0)
+            key = np.where(flag > 0, a, mix(th[doc].view(np.uint64)))  # what is done is only passed on, anywhere
+            where = (lo.astype(np.int64) << 32) | (n.astype(np.int64) << 18) | (place.astype(np.int64) << 4) | flag
+            sides = (left.astype(np.int64) << 16) | right
+            cols = (key.view(np.int64), sp.view(np.int64), dk[doc], th[doc], where, sides)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["a", "sp", "dk", "th", "at", "sides"])
+
+    def settle(cols: list[np.ndarray], is_hot: bool) -> Iterator[pa.RecordBatch]:
+        a, sp, dk, th, at, sides = cols
+        lo, n, place, flag = at >> 32, (at >> 18) & 0x3FFF, (at >> 4) & 0x3FFF, at & 15
+        left, right = sides >> 16, sides & 0xFFFF
 
         def rows(i: np.ndarray, lo: np.ndarray, n: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for c in range(0, len(i), 200_000):
-                j = slice(c, c + 200_000)
-                cols = (dk[i[j]], th[i[j]], lo[j].astype(np.int32), n[j].astype(np.int32), kind[j].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["dk", "th", "lo", "n", "kind"])
-
-        done = np.flatnonzero(flag == 0)
-        i = np.flatnonzero(flag > 0)
-        i = i[np.lexsort((lo[i], dk[i], sp[i], a[i]))]
-        kind, by_left, by_right = judge(dk[i], a[i], sp[i], flag[i], left[i], right[i], earlier)
-        done = np.r_[done, i[(kind == FULL) | (kind == CHECK_TWICE)]]
-        yield from rows(done, lo[done], n[done], np.zeros(len(done), np.int8))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dk[i], th[i], lo.astype(np.int32), n.astype(np.int32), kind.astype(np.int32))], ["dk", "th", "lo", "n", "kind"])
+
+        done, i = np.flatnonzero(flag == 0), np.flatnonzero(flag > 0)
+        whole, kind, by_left, by_right = judge(dk[i], a[i], sp[i], flag[i], left[i], right[i], earlier, is_hot)
+        done = np.r_[done, i[whole]]
+        yield from rows(done, lo[done], n[done], np.zeros(len(done)))
         # A shared left half asks for the windows that start before it, a shared right half for those that end after it.
         ask = kind > 0
         i, kind, by_left, by_right = i[ask], kind[ask], by_left[ask], by_right[ask]
-        half, at = (win - k + 1) // 2, lo[i] + place[i]
-        first = np.where(by_left, lo[i], np.maximum(lo[i], at + k + half - win))
-        last = np.where(by_right, lo[i] + n[i] - 1, np.minimum(lo[i] + n[i] - 1, at - half))
+        half, mid = (win - k + 1) // 2, lo[i] + place[i]
+        first = np.where(by_left, lo[i], np.maximum(lo[i], mid + k + half - win))
+        last = np.where(by_right, lo[i] + n[i] - 1, np.minimum(lo[i] + n[i] - 1, mid - half))
         yield from rows(i, first, last - first + 1, kind)
 
-    packed = docs.select("dk", "th", "text").mapInArrow(emit, "bucket int, blob binary")
-    known = scratch.write(packed.repartitionById(buckets, "bucket").mapInArrow(decide, "dk long, th long, lo int, n int, kind int"), "known", rows=ROWS)
-    checks = known.filter(F.col("kind") > 0).groupBy("dk", "th").agg(F.collect_set(F.struct("lo", "n", "kind")).alias("checks"))
-    more = windows(docs.join(checks, ["dk", "th"]))
-    full = known.filter(F.col("kind") == FULL).select("dk", "th", "lo", "n")
-    return full.unionByName(more).groupBy("dk", "th").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by anchor: all whole anchors of a buffer are settled, the last one waits for its other rows."""
+        parts: list[list[np.ndarray]] = []
+        size, is_hot = 0, None
+
+        def work(end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal parts, size, is_hot
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            cut = len(cols[0]) if end else int(np.searchsorted(cols[0], cols[0][-1]))
+            head = int(np.searchsorted(cols[0], is_hot, side="right")) if is_hot is not None and cols[0][0] == is_hot else 0
+            if head:
+                yield from settle([c[:head] for c in cols], True)
+            if cut > head:
+                yield from settle([c[head:cut] for c in cols], False)
+            rest = [c[max(head, cut) :] for c in cols]
+            if len(rest[0]) > hot:
+                yield from settle(rest, True)
+                is_hot, rest = rest[0][-1], [c[:0] for c in cols]
+            parts, size = [rest], len(rest[0])
+
+        for b in batches:
+            parts.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            size += b.num_rows
+            if sum(len(x[0]) for x in parts[1:]) >= min(BUFFER, hot):
+                yield from work(False)
+        if size:
+            yield from work(True)
+
+    found = docs.select("dk", "th", "text").mapInArrow(emit, "a long, sp long, dk long, th long, at long, sides long")
+    found = found.repartition("a").sortWithinPartitions("a", "sp", "dk")
+    return scratch.write(found.mapInArrow(decide, "dk long, th long, lo int, n int, kind int"), "known", rows=ROWS)
 
 
 def covered(spans: list[dict] | None, size: int, win: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, keyed, table
-from .repeats import CHECK_TWICE, M1, M2, ROWS, covered, powers, mix, repeated_windows, word_tokens
+from .repeats import CHECK_TWICE, M1, M2, ROWS, WHOLE, candidates, covered, mix, powers, word_tokens
 
 #: Words of a window, and of a seed: any two equal windows share a winnowed seed.
 WINDOW, SEED_WORDS = 35, 8
@@ -33,7 +33,9 @@ def remove_repeats(docs: DataFrame, *, win: int = WINDOW, id_col: str = "doc_id"
     A word goes if a window over it starts anywhere else too; windows are judged on the input. Words are runs of bytes
     other than white space, unchanged; a null or empty text has none, and texts under `win` words lose none. Rows that
     repeat a text (with the same id or another) are repeats of each other and lose every word that a window covers.
-    Null ids are kept as they are. Columns of other names are not read.
+    Null ids are kept as they are; long texts are read whole, in chunks; an empty table gives no rows. Columns of other
+    names are not read. Words are compared by hashes: a whole span by 64 bits beside the 64 of its seed, a window by
+    two of 64 bits.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -51,12 +53,14 @@ def remove_repeats(docs: DataFrame, *, win: int = WINDOW, id_col: str = "doc_id"
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["h1", "h2", "dk", "th", "lo", "weight"])
 
-    def windows(checked: DataFrame) -> DataFrame:
-        w = scratch.write(checked.select("dk", "th", "text", "checks").mapInArrow(explode, "h1 long, h2 long, dk long, th long, lo int, weight int"), "windows", rows=ROWS)
-        again = w.groupBy("h1", "h2").agg(F.sum("weight").alias("s")).filter("s > 1").select("h1", "h2")
-        return w.filter("weight = 1").join(again, ["h1", "h2"]).select("dk", "th", "lo", F.lit(1).alias("n"))
-
-    spans = repeated_windows(d, scratch, tokens=word_tokens, win=win, k=SEED_WORDS, earlier=False, windows=windows)
+    known = candidates(d, scratch, tokens=word_tokens, win=win, k=SEED_WORDS, earlier=False)
+    checks = known.filter(F.col("kind") != WHOLE).groupBy("dk", "th").agg(F.collect_set(F.struct("lo", "n", "kind")).alias("checks"))
+    checked = d.join(checks, ["dk", "th"]).select("dk", "th", "text", "checks")
+    w = scratch.write(checked.mapInArrow(explode, "h1 long, h2 long, dk long, th long, lo int, weight int"), "windows", rows=ROWS)
+    again = w.groupBy("h1", "h2").agg(F.sum("weight").alias("s")).filter("s > 1").select("h1", "h2")
+    found = w.filter("weight = 1").join(again, ["h1", "h2"]).select("dk", "th", "lo", F.lit(1).alias("n"))
+    whole = known.filter(F.col("kind") == WHOLE).select("dk", "th", "lo", "n")
+    spans = whole.unionByName(found).groupBy("dk", "th").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<at:int,len:int>>" + (", text string" if with_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
