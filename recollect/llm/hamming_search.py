@@ -10,6 +10,8 @@ from .common import Scratch, table
 #: Segments of a 64-bit code, and their bits.
 SEGMENTS, WIDTH = 4, 16
 TOP_K = 10
+#: Parts that what a query finds is dealt to before its k best are taken, so that one query is no one task's.
+PARTS = 16
 
 
 def sign_code(vector: Column) -> Column:
@@ -32,8 +34,11 @@ def _flips(radius: int) -> Column:
 
 
 def _best(df: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_code").orderBy("distance", "neighbour_id", "tie")
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """The k best of each query, first in PARTS parts and then of these."""
+    order = ("distance", "neighbour_id", "tie")
+    part = F.pmod(F.xxhash64("neighbour_id", "tie"), F.lit(PARTS))
+    some = df.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("query_code", "part").orderBy(*order))).filter(F.col("rank") <= k)
+    return some.drop("part", "rank").withColumn("rank", F.row_number().over(Window.partitionBy("query_code").orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
