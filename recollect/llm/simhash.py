@@ -1,14 +1,21 @@
-"""SimHash near-duplicates by a Gray-order hierarchical index (operator 3)."""
+"""SimHash near-duplicates by a Gray-order hierarchical index (operator 3).
+
+Top nodes hold fingerprints that share the bits of a fixed mask; below one, fingerprints are in Gray order, and each
+level factors the bits that neighbours share into a node above them, up to one root. Two nodes differ in at least the
+bits that both factored and that differ; on the way down only bits that are new at a level are added, and pairs of
+nodes that have come to more than DISTANCE are dropped with everything below.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -18,12 +25,15 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles hashed at once; bounds memory for very long texts.
 CHUNK = 1 << 16
-#: The root's children: 64 bits in SEGMENTS parts; within DISTANCE differing bits at least KEPT parts are equal.
-SEGMENTS, KEPT = 6, 2
-#: Rows of one cell that a task reads together; a larger cell is dealt into parts, each pair of parts to a task.
+#: Top nodes: 64 bits in parts; within DISTANCE differing bits all but DISTANCE parts are equal. With more parts a top
+#: node shares more bits, so for more fingerprints there are more: the fewest with at most ROWS_A_NODE rows a random node.
+FEWEST_PARTS, MOST_PARTS, ROWS_A_NODE = 6, 10, 4
+#: Rows of one top node that a task reads together; a larger one is dealt into parts, each pair of parts to a task.
 PART = 4096
-#: Fingerprints under a lowest node of a cell's tree, and lowest nodes under one above.
-LEAF, FAN = 32, 16
+#: Nodes under one node of the tree below a top node.
+FAN = 8
+#: Pairs of nodes that are opened at once; bounds memory.
+PAIRS = 1 << 18
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -49,61 +59,84 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), b.column("th")], ["doc_id", "fp", "th"])
 
 
-def masks(segments: int = SEGMENTS, kept: int = KEPT) -> list[int]:
-    """The masks of the top nodes: each choice of `kept` of the `segments` parts of 64 bits."""
+def masks(segments: int = FEWEST_PARTS, distance: int = DISTANCE) -> list[int]:
+    """The masks of the top nodes: each choice of all but `distance` of the `segments` parts of 64 bits."""
     cuts = [64 * i // segments for i in range(segments + 1)]
     parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(c) for c in combinations(parts, kept)]
+    return [sum(c) for c in combinations(parts, segments - distance)]
+
+
+def segments_for(rows: int) -> int:
+    """How many parts 64 bits are cut into for so many fingerprints."""
+    for s in range(FEWEST_PARTS, MOST_PARTS):
+        if rows <= ROWS_A_NODE << (64 * (s - DISTANCE) // s):
+            return s
+    return MOST_PARTS
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each value in the reflected Gray code: neighbours in this order differ in few bits."""
-    x = x.astype(np.uint64)
+def gray_rank(x: Column) -> Column:
+    """The place of a value in the reflected Gray code: neighbours in this order differ in few bits."""
     for s in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> np.uint64(s))
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, s))
     return x
 
 
-def _links(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of `fp` within `distance` differing bits, by a tree over the Gray order.
-
-    A node holds the bits that all fingerprints under it share (mask and pattern). Two nodes whose shared bits differ
-    in more than `distance` places are pruned with everything below; nodes that stay are opened, at last to the
-    fingerprints, which are compared in full.
-    """
-    order = np.argsort(gray_rank(fp), kind="stable")
-    f = fp[order]
-
-    def level(lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(0, len(lo), size)
-        return np.bitwise_and.reduceat(lo, at), np.bitwise_or.reduceat(hi, at)
-
-    leaf = level(f, f, LEAF)
-    top = level(*leaf, FAN)
-
-    def near(nodes: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        (all_, any_) = nodes
-        shared = ~(all_[i] ^ any_[i]) & ~(all_[j] ^ any_[j])
-        return np.bitwise_count((all_[i] ^ all_[j]) & shared) <= distance
-
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    n, nl, nt = len(f), len(leaf[0]), len(top[0])
-    for i in range(nt):
-        j = np.arange(i, nt)
-        j = j[near(top, np.full(len(j), i), j)]
-        li = np.arange(i * FAN, min(nl, (i + 1) * FAN))
-        lj = (j[:, None] * FAN + np.arange(FAN)).ravel()
-        lj = lj[lj < nl]
-        a, b = (x.ravel() for x in np.meshgrid(li, lj, indexing="ij"))
-        keep = (a <= b) & near(leaf, a, b)
-        for x, y in zip(a[keep], b[keep], strict=True):
-            p, q = np.arange(x * LEAF, min(n, (x + 1) * LEAF)), np.arange(y * LEAF, min(n, (y + 1) * LEAF))
-            r, c = np.nonzero(np.bitwise_count(f[p][:, None] ^ f[q][None, :]) <= distance)
-            up = p[r] < q[c]
-            out.append((order[p[r[up]]], order[q[c[up]]]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+class Level(NamedTuple):
+    """Nodes of one level: the bits that all fingerprints below share (mask and pattern), and where the children are."""
+
+    mask: np.ndarray
+    pattern: np.ndarray
+    child: np.ndarray
+    end: np.ndarray
+
+
+def hierarchy(cell: np.ndarray, fp: np.ndarray) -> list[Level]:
+    """The levels over fingerprints in Gray order by cell (a number for each top node), fingerprints first, roots last."""
+    n = len(fp)
+    levels = [Level(np.full(n, ~np.uint64(0)), fp, np.arange(n), np.arange(n))]
+    all_, any_ = fp, fp
+    while True:
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        size = np.diff(np.r_[start, len(cell)])
+        if size.max(initial=0) <= 1 and len(levels) > 1:
+            return levels
+        place = np.arange(len(cell)) - np.repeat(start, size)
+        at = np.flatnonzero(place % FAN == 0)
+        all_, any_ = np.bitwise_and.reduceat(all_, at), np.bitwise_or.reduceat(any_, at)
+        levels.append(Level(~(all_ ^ any_), all_, at, np.r_[at[1:], len(cell)]))
+        cell = cell[at]
+
+
+def links(cell: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of fingerprints of one cell within `distance` differing bits; rows are in Gray order by cell."""
+    if not len(fp):
+        return
+    levels = hierarchy(cell, fp)
+    roots = np.flatnonzero(levels[-1].end - levels[-1].child > 0)
+    todo = [(len(levels) - 1, roots, roots, np.zeros(len(roots), np.uint8))]
+    while todo:
+        k, a, b, acc = todo.pop()
+        if len(a) > PAIRS:
+            half = len(a) // 2
+            todo += [(k, a[:half], b[:half], acc[:half]), (k, a[half:], b[half:], acc[half:])]
+            continue
+        up, low = levels[k], levels[k - 1]
+        na, nb = up.end[a] - up.child[a], up.end[b] - up.child[b]
+        each = na * nb
+        pair = np.repeat(np.arange(len(a)), each)
+        inner = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
+        x, y = up.child[a][pair] + inner // nb[pair], up.child[b][pair] + inner % nb[pair]
+        keep = x <= y if k > 1 else x < y
+        x, y, pair = x[keep], y[keep], pair[keep]
+        counted = (up.mask[a] & up.mask[b])[pair]  # these bits' differences are in acc
+        new = low.mask[x] & low.mask[y] & ~counted
+        got = acc[pair] + np.bitwise_count((low.pattern[x] ^ low.pattern[y]) & new)
+        near = got <= distance
+        x, y, got = x[near], y[near], got[near]
+        if k == 1:
+            yield x, y
+        elif len(x):
+            todo.append((k - 1, x, y, got))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,32 +159,18 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, fp) sorted by cell: yields edges (a, b) that join each cell's linked fingerprints, as stars.
+    """Rows (cell as four numbers, fp) by cell and Gray rank: edges (a, b) that join each cell's linked fingerprints, as stars.
 
     Only the rows of one cell are held beyond a batch; a cell has at most two parts' rows.
     """
 
     def edges(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
-        size = np.diff(np.r_[starts, len(fp)])
-        ea, eb = [], []
-        small = np.repeat(size <= LEAF, size)
-        run = np.repeat(np.arange(len(size)), size)
-        for d in range(1, min(LEAF, int(size.max(initial=1)))):  # runs up to a leaf: each offset at once
-            i = np.flatnonzero(small[:-d] & (run[d:] == run[:-d]))
-            if not len(i):
-                break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= DISTANCE]
-            ea.append(i)
-            eb.append(i + d)
-        for s, n in zip(starts[size > LEAF], size[size > LEAF], strict=True):
-            x, y = _links(fp[s : s + n])
-            root = _forest(n, x, y)
-            star = np.flatnonzero(root != np.arange(n))
-            ea.append(s + root[star])
-            eb.append(s + star)
-        a, b = (fp[np.concatenate(x).astype(np.int64)] if x else fp[:0] for x in (ea, eb))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        number = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
+        root = np.arange(len(fp))
+        for x, y in links(number, fp):
+            root = _forest(len(fp), np.r_[np.arange(len(fp)), x], np.r_[root, y])
+        star = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[root[star]].view(np.int64)), pa.array(fp[star].view(np.int64))], ["a", "b"])
 
     rest_c, rest_f = np.empty((0, 4), np.int64), np.empty(0, np.uint64)
     for b in batches:
@@ -170,12 +189,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp) that keep the components of "at most DISTANCE bits differ".
 
-    The index's upper level factors the bit patterns under fixed masks: two fingerprints that link share the pattern
-    of at least one of the masks, so each is put under its node of every mask, and only nodes with two or more are
-    read. A node's rows are ordered by Gray rank and searched through a tree of shared bits. Nodes of more than PART
-    rows are dealt into parts and read pair of parts by pair of parts; none is cut.
+    Two fingerprints that link share the bits of at least one of the masks, so each is put under its top node of every
+    mask, and only top nodes with two or more are read, in Gray order. Those of more than PART rows are dealt into
+    parts and read pair of parts by pair of parts; none is cut.
     """
-    cell = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks()])).alias("mask", "pattern")
+    cell = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks(segments_for(fps.count()))])).alias("mask", "pattern")
     nodes = fps.select("fp", cell)
     sizes = nodes.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = nodes.join(sizes, ["mask", "pattern"])
@@ -184,7 +202,7 @@ def linked(fps: DataFrame, scratch: Scratch) -> DataFrame:
     pair = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))).alias("pair")
     rows = rows.withColumn("parts", parts).select("mask", "pattern", "fp", pair)
     rows = rows.select("mask", "pattern", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "fp")
-    rows = rows.repartition("mask", "pattern", "i", "j").sortWithinPartitions("mask", "pattern", "i", "j")
+    rows = rows.repartition("mask", "pattern", "i", "j").sortWithinPartitions("mask", "pattern", "i", "j", gray_rank(F.col("fp")))
     return scratch.write(rows.mapInArrow(_cells, "a long, b long"), "edges", rows=50_000)
 
 
@@ -193,7 +211,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat an id are one document of that
     component; null ids take part, and a component of null ids alone has a null component_id. Equal fingerprints are
-    linked as one node, so copies cost nothing beyond their row. Columns of other names are not read.
+    linked as one node, so copies cost nothing beyond their row. Texts of any length are read whole; an empty table
+    gives no rows. Columns of other names are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from recollect.llm import simhash as S
@@ -17,16 +18,14 @@ def brute(texts):
 
 def components(fp):
     ids = sorted(fp)
-    comp = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a in ids:
-            for b in ids:
-                if (fp[a] ^ fp[b]).bit_count() <= 4 and comp[a] != comp[b]:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-                    changed = True
-    return comp
+    f = np.array([fp[i] for i in ids], np.uint64)
+    near = [np.flatnonzero(np.bitwise_count(f ^ x) <= 4) for x in f]
+    comp = np.arange(len(ids))
+    while True:
+        new = np.array([comp[n].min() for n in near], np.int64)
+        if (new == comp).all():
+            return {i: ids[c] for i, c in zip(ids, comp.tolist(), strict=True)}
+        comp = new
 
 
 def test_matches_brute_force(spark):
@@ -68,6 +67,51 @@ def test_large_cells_are_split_without_losing_links(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, have.values()))
 
 
+def test_hierarchy_finds_all_links_and_adds_up_differences():
+    rnd = np.random.default_rng(4)
+    for n, cells in ((0, 1), (1, 1), (2, 1), (9, 2), (600, 5), (900, 1)):
+        centre = rnd.integers(0, 1 << 63, max(1, n // 100), np.uint64)
+        fp = np.unique(np.concatenate([rnd.integers(0, 1 << 63, n // 3, np.uint64), centre[rnd.integers(0, len(centre), n - n // 3)] ^ (np.uint64(1) << rnd.integers(0, 64, n - n // 3, np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, n - n // 3, np.uint64))])) if n else np.empty(0, np.uint64)
+        rank = fp.copy()
+        for s in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> np.uint64(s)
+        cell = rnd.integers(0, cells, len(fp))
+        order = np.lexsort((rank, cell))
+        fp, cell = fp[order], cell[order]
+        got = {(i, j) for x, y in S.links(cell, fp) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+        want = {(i, j) for i, j in zip(*np.nonzero(near & (cell[:, None] == cell[None, :])), strict=True) if i < j}
+        assert got == want
+        if n:
+            for low, up in zip(S.hierarchy(cell, fp), S.hierarchy(cell, fp)[1:], strict=False):
+                for k in range(len(up.mask)):  # what a node shares, all below it share
+                    assert all(up.mask[k] & ~low.mask[c] == 0 and (low.pattern[c] ^ up.pattern[k]) & up.mask[k] == 0 for c in range(up.child[k], up.end[k]))
+
+
+def test_more_fingerprints_get_more_parts():
+    assert [S.segments_for(n) for n in (0, 10**6, 10**8, 10**10, 10**13)] == [6, 6, 7, 8, 10]
+    for s in (6, 7, 8, 10):
+        assert len(S.masks(s)) == len(set(S.masks(s)))
+        rnd = random.Random(s)
+        for _ in range(200):  # any four bits leave a mask untouched
+            flips = sum(1 << b for b in rnd.sample(range(64), 4))
+            assert any(m & flips == 0 for m in S.masks(s))
+
+
+def test_whole_table_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    fp = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+    want = components(fp)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.op3_simhash(spark, sf).collect()}
+    assert got == {i: (f"{fp[i]:016x}", want[i]) for i in fp}
+
+
+def test_very_long_text(spark):
+    long = "one two three four five " * 60_000
+    got = {r.doc_id: r.fp % 2**64 for r in S.near_duplicates(spark.createDataFrame([(1, long), (2, long + "six")], "doc_id long, text string")).collect()}
+    assert got == brute([(1, long), (2, long + "six")])
+
+
 def test_empty_null_and_repeated(spark):
     schema = "doc_id long, text string"
     assert S.near_duplicates(spark.createDataFrame([], schema)).collect() == []
