@@ -14,8 +14,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -233,6 +234,8 @@ def candidates(docs: DataFrame, scratch: Scratch, *, tokens: Callable[[bytes], n
             where = (lo.astype(np.int64) << 32) | (n.astype(np.int64) << 18) | (place.astype(np.int64) << 4) | flag
             sides = (left.astype(np.int64) << 16) | right
             cols = (key.view(np.int64), sp.view(np.int64), dk[doc], th[doc], where, sides)
+            order = np.lexsort((lo, doc))  # a document's rows stand together and share most of their bytes
+            cols = tuple(x[order] for x in cols)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["a", "sp", "dk", "th", "at", "sides"])
 
     def settle(cols: list[np.ndarray], is_hot: bool) -> Iterator[pa.RecordBatch]:
@@ -289,11 +292,33 @@ def candidates(docs: DataFrame, scratch: Scratch, *, tokens: Callable[[bytes], n
     return scratch.write(found.mapInArrow(decide, "dk long, th long, lo int, n int, kind int"), "known", rows=ROWS)
 
 
-def covered(spans: list[dict] | None, size: int, win: int) -> np.ndarray:
-    """Which of `size` tokens lie in a window of the spans: overlapping repeats merge into maximal ones."""
+def packed(n: str = "n", kind: str | None = None) -> Column:
+    """A run (lo, n and its kind) as one number, cheap to gather and to read in Python."""
+    return F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.shiftleft(F.col(n).cast("long"), 2)).bitwiseOR(F.col(kind).cast("long") if kind else F.lit(0).cast("long"))
+
+
+def runs(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lo, n, kind) of each row of a column of packed runs; a null row has none."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    end = np.cumsum(size)
+    lo, n, kind = flat >> 32, (flat >> 2) & 0x3FFFFFFF, flat & 3
+    for i, j in zip((end - size).tolist(), end.tolist(), strict=True):
+        yield lo[i:j], n[i:j], kind[i:j]
+
+
+def covered(lo: np.ndarray, n: np.ndarray, size: int, win: int) -> np.ndarray:
+    """Which of `size` tokens lie in a window of the runs: overlapping repeats merge into maximal ones."""
     edge = np.zeros(size + 1, np.int64)
-    if spans:
-        lo, n = np.array([s["lo"] for s in spans]), np.array([s["n"] for s in spans])
+    if len(lo):
         np.add.at(edge, lo, 1)
         np.add.at(edge, lo + n - 1 + win, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def spans_of(edges: list[np.ndarray]) -> pa.Array:
+    """Removed runs (at, len) of each row, from where they begin and end in turn."""
+    flat = np.concatenate(edges) if edges else np.empty(0, np.int64)
+    ends = np.cumsum([0, *(len(e) // 2 for e in edges)], dtype=np.int32)
+    rows = pa.StructArray.from_arrays([pa.array(flat[::2].astype(np.int32)), pa.array((flat[1::2] - flat[::2]).astype(np.int32))], ["at", "len"])
+    return pa.ListArray.from_arrays(pa.array(ends), rows)

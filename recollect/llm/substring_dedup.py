@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, keyed, table
-from .repeats import CHECK_TWICE, M1, M2, ROWS, WHOLE, candidates, covered, mix, powers, word_tokens
+from .repeats import CHECK_TWICE, M1, M2, ROWS, WHOLE, candidates, covered, mix, packed, powers, runs, spans_of, word_tokens
 
 #: Words of a window, and of a seed: any two equal windows share a winnowed seed.
 WINDOW, SEED_WORDS = 35, 8
@@ -44,39 +44,37 @@ def remove_repeats(docs: DataFrame, *, win: int = WINDOW, id_col: str = "doc_id"
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for dk, th, text, checks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for dk, th, text, (lo, n, kind) in zip(*(b.column(i).to_pylist() for i in range(3)), runs(b.column(3)), strict=True):
                 x = word_tokens(text)
-                for c in checks:
-                    h1, h2 = _window_hashes(x, c["lo"], c["n"], win)
-                    n = len(h1)
-                    out.append((h1, h2, np.full(n, dk), np.full(n, th), np.arange(c["lo"], c["lo"] + n, dtype=np.int32), np.full(n, 2 if c["kind"] == CHECK_TWICE else 1, np.int32)))
+                for i, m, k in zip(lo.tolist(), n.tolist(), kind.tolist(), strict=True):
+                    h1, h2 = _window_hashes(x, i, m, win)
+                    out.append((h1, h2, np.full(m, dk), np.full(m, th), np.arange(i, i + m, dtype=np.int32), np.full(m, 2 if k == CHECK_TWICE else 1, np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["h1", "h2", "dk", "th", "lo", "weight"])
 
     known = candidates(d, scratch, tokens=word_tokens, win=win, k=SEED_WORDS, earlier=False)
-    checks = known.filter(F.col("kind") != WHOLE).groupBy("dk", "th").agg(F.collect_set(F.struct("lo", "n", "kind")).alias("checks"))
+    checks = known.filter(F.col("kind") != WHOLE).groupBy("dk", "th").agg(F.collect_set(packed(kind="kind")).alias("checks"))
     checked = d.join(checks, ["dk", "th"]).select("dk", "th", "text", "checks")
     w = scratch.write(checked.mapInArrow(explode, "h1 long, h2 long, dk long, th long, lo int, weight int"), "windows", rows=ROWS)
     again = w.groupBy("h1", "h2").agg(F.sum("weight").alias("s")).filter("s > 1").select("h1", "h2")
     found = w.filter("weight = 1").join(again, ["h1", "h2"]).select("dk", "th", "lo", F.lit(1).alias("n"))
     whole = known.filter(F.col("kind") == WHOLE).select("dk", "th", "lo", "n")
-    spans = whole.unionByName(found).groupBy("dk", "th").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    spans = whole.unionByName(found).groupBy("dk", "th").agg(F.collect_set(packed()).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<at:int,len:int>>" + (", text string" if with_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, text, sp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n, gone_, kept_, edges = [], [], [], []
+            for text, (lo, m, _) in zip(b.column(1).to_pylist(), runs(b.column(2)), strict=True):
                 words = (text or b"").split()
-                gone = covered(sp, len(words), win)
-                edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if len(edge) else b" ".join(words)
-                row = (doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"at": int(x), "len": int(y - x)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-                rows.append((*row, kept.decode("utf-8", "replace")) if with_text else row)
-            cols = list(zip(*rows, strict=True)) or [()] * (6 if with_text else 5)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("at", pa.int32()), ("len", pa.int32())])), pa.string()]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=False)], names[: len(cols)])
+                gone = covered(lo, m, len(words), win)
+                n.append(len(words))
+                gone_.append(int(gone.sum()))
+                edges.append(np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])))
+                kept_.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone_[-1] else b" ".join(words))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(gone_, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept_], pa.string()), spans_of(edges)]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([k.decode("utf-8", "replace") for k in kept_], pa.string())] if with_text else cols, [*names, "text"] if with_text else names)
 
     out = d.join(spans, ["dk", "th"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
     done = scratch.write(out, "result", rows=ROWS)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, keyed, table
-from .repeats import ROWS, WHOLE, byte_tokens, candidates, covered
+from .repeats import ROWS, WHOLE, byte_tokens, candidates, covered, packed, runs, spans_of
 
 #: Bytes of a string that counts as repeated, and of a seed: any two equal strings share a winnowed seed.
 LENGTH, SEED_BYTES = 50, 20
@@ -80,12 +80,11 @@ def _first_key(rows: np.ndarray, need: np.ndarray, key: np.ndarray) -> np.ndarra
     return key[new][np.cumsum(new) - 1]
 
 
-def _suffixes(texts: list[bytes], marks: list[list[dict]], length: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _suffixes(texts: list[bytes], marks: pa.Array, length: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(doc, lo, n, need, rows): the suffixes that marks ask for, cut; those of a whole span stand for all its n windows."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
-    for d, (text, asked) in enumerate(zip(texts, marks, strict=True)):
-        lo, n, kind = (np.array([m[x] for m in asked], np.int64) for x in ("lo", "n", "kind"))
+    for d, (text, (lo, n, kind)) in enumerate(zip(texts, runs(marks), strict=True)):
         one = kind != WHOLE
         single = np.unique(np.repeat(lo[one] - np.r_[0, np.cumsum(n[one])[:-1]], n[one]) + np.arange(n[one].sum())) if one.any() else lo[:0]
         lo, n = np.r_[lo[~one], single], np.r_[n[~one], np.ones(len(single), np.int64)]
@@ -144,7 +143,7 @@ def repeated_suffixes(marked: DataFrame, known: DataFrame, scratch: Scratch, *,
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, _, need, rows in _suffixes(b.column(0).to_pylist(), b.column(1).to_pylist(), length, width):
+            for _, _, _, need, rows in _suffixes(b.column(0).to_pylist(), b.column(1), length, width):
                 i = slice((len(need) // 2) % step, None, step)
                 yield pa.RecordBatch.from_arrays([pa.array([r[:n].tobytes() for r, n in zip(rows[i], need[i], strict=True)], pa.binary())], ["s"])
 
@@ -156,7 +155,7 @@ def repeated_suffixes(marked: DataFrame, known: DataFrame, scratch: Scratch, *,
         for b in batches:
             ids, blobs, done = [], [], []
             dk, th = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for doc, lo, n, need, rows in _suffixes(b.column(2).to_pylist(), b.column(3).to_pylist(), length, width):
+            for doc, lo, n, need, rows in _suffixes(b.column(2).to_pylist(), b.column(3), length, width):
                 rows, need, key, t, lo, n = _sorted(rows, need, dk[doc], th[doc], lo, n)
                 hit = previous_factors(rows, need, key, length) >= need
                 if hit.any():
@@ -222,27 +221,26 @@ def remove_later_copies(docs: DataFrame, *, length: int = LENGTH, id_col: str =
     scratch = Scratch(spark)
     d = keyed(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     known = candidates(d, scratch, tokens=byte_tokens, win=length, k=SEED_BYTES, earlier=True)
-    marks = known.groupBy("dk", "th").agg(F.collect_set(F.struct("lo", "n", "kind")).alias("marks"))
+    marks = known.groupBy("dk", "th").agg(F.collect_set(packed(kind="kind")).alias("marks"))
     marked = scratch.write(d.join(marks, ["dk", "th"]).select("dk", "th", "text", "marks"), "marked", rows=ROWS)
     found = repeated_suffixes(marked, known, scratch, length=length, width=2 * length - SEED_BYTES)
     scratch.drop("known", "marked")
-    spans = found.groupBy("dk", "th").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    spans = found.groupBy("dk", "th").agg(F.collect_set(packed()).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<at:int,len:int>>" + (", kept binary" if with_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, text, sp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n, gone_, kept_, edges = [], [], [], []
+            for text, (lo, m, _) in zip(b.column(1).to_pylist(), runs(b.column(2)), strict=True):
                 text = text or b""
-                gone = covered(sp, len(text), length)
-                edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                row = (doc_id, len(text), int(gone.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), [{"at": int(x), "len": int(y - x)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-                rows.append((*row, kept) if with_text else row)
-            cols = list(zip(*rows, strict=True)) or [()] * (7 if with_text else 6)
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("at", pa.int32()), ("len", pa.int32())])), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=False)], names[: len(cols)])
+                gone = covered(lo, m, len(text), length)
+                n.append(len(text))
+                gone_.append(int(gone.sum()))
+                edges.append(np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])))
+                kept_.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if gone_[-1] else text)
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(gone_, pa.int64()), pa.array([len(e) // 2 for e in edges], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept_], pa.string()), spans_of(edges)]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept_, pa.binary())] if with_text else cols, [*names, "kept"] if with_text else names)
 
     out = d.join(spans, ["dk", "th"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
     done = scratch.write(out, "result", rows=ROWS)
