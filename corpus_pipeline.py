@@ -21,7 +21,10 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter (null and empty ones too); `lang` becomes the language found in the others."""
+    """Rejects texts without a letter (null and empty ones too); `lang` becomes the language found in the others.
+
+    Rows are judged one by one, so null ids and repeats change nothing.
+    """
     docs = _columns(docs)
     found = langid.identify(docs, langid.training_samples(docs), keep=list(COLUMNS)).filter(F.col("lang_pred") != langid.UND)
     return Scratch(spark).write(found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS), "language")
@@ -56,7 +59,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every document that holds a window of a benchmark item, row by row."""
+    """Drops every document that holds a window of a benchmark item, row by row: ids, null ones too, decide nothing.
+
+    Null and empty texts hold none and stay; of rows that repeat each is judged by its own text.
+    """
     hit = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("dk").alias("_kd"), F.col("th").alias("_kt"))
     return _columns(docs.join(hit, (F.coalesce(docs["doc_id"].cast("long"), F.lit(MAX_LONG)) == F.col("_kd")) & (text_key(docs["text"]) == F.col("_kt")), "left_anti"))
 
@@ -64,7 +70,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents by the probabilities that bring source, language and topic to their target shares.
 
-    A document without an id is drawn by its text.
+    A document without an id is drawn by its text; rows that repeat an id are drawn together. Null sources and languages
+    are levels of their own; texts without a word have no weight and are not drawn.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), text_key(F.col("text"))).alias("_key")
     rows = docs.select(*COLUMNS, key, mixing.topic_of(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("tokens"))
@@ -72,7 +79,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
+    """The shard and slot of every document; null ids and repeated rows have places like any other."""
     tree = sharding.even_tree(sharding.SHARDS)
     return sharding.shard_documents(docs, tree, sharding.add_shard(tree, sharding.SHARDS))
 

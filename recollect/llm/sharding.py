@@ -11,6 +11,8 @@ from .common import table
 
 #: Sub-buckets of a shard, by hash; slots are counted within each, so no task sorts a whole shard.
 SUB_BUCKETS = 4096
+#: Offsets that are broadcast (under 32 MB); for more shards they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -72,10 +74,15 @@ def shard_of(key: Column, tree: Node) -> Column:
     return out
 
 
-def with_slots(df: DataFrame, shard: str, order: list[str], sub_buckets: int = SUB_BUCKETS) -> DataFrame:
+def leaves(tree: Node) -> int:
+    """How many shards a tree has."""
+    return 1 if tree.shard is not None else sum(map(leaves, tree.children))
+
+
+def with_slots(df: DataFrame, shard: str, order: list[str], shards: int, sub_buckets: int = SUB_BUCKETS) -> DataFrame:
     """Adds `slot`, gapless from 0 in each shard: an offset per (shard, sub-bucket) plus the rank inside the sub-bucket.
 
-    The offsets table has at most shards x sub_buckets rows, whatever the input.
+    The offsets table has at most shards x sub_buckets rows, whatever the input; it is broadcast if they are few.
     """
     name = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
     sub = F.pmod(F.conv(F.substring(name, 1, 8), 16, 10).cast("long"), F.lit(sub_buckets)).cast("int")
@@ -84,7 +91,8 @@ def with_slots(df: DataFrame, shard: str, order: list[str], sub_buckets: int = S
     before = Window.partitionBy(shard).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(shard).alias("_s"), F.col("_sub").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(shard, "_sub").orderBy(*order))
-    joined = df.withColumn("_rank", rank).join(F.broadcast(offsets), (F.col(shard) == F.col("_s")) & (F.col("_sub") == F.col("_b")))
+    few = shards * sub_buckets <= BROADCAST_ROWS
+    joined = df.withColumn("_rank", rank).join(F.broadcast(offsets) if few else offsets, (F.col(shard) == F.col("_s")) & (F.col("_sub") == F.col("_b")))
     return joined.withColumn("slot", (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_sub", "_s", "_b", "_before", "_rank")
 
 
@@ -93,7 +101,8 @@ def shard_documents(docs: DataFrame, tree: Node, grown: Node | None = None, *, i
 
     The law is `key`: the id and the tree alone decide, so copies of a row stay together and rows of equal texts need
     not. A null id is a key of its own (the empty string); a null text has size 1 and the CRC of no bytes; rows that
-    are equal in id and text take neighbouring slots in any order. Other columns are not read.
+    are equal in id and text take neighbouring slots in any order. Texts of any length are read whole, an empty table
+    gives no rows, and other columns are not read.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -105,7 +114,7 @@ def shard_documents(docs: DataFrame, tree: Node, grown: Node | None = None, *, i
         shard_of(key, tree).cast("int").alias("shard"),
         (shard_of(key, grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    return with_slots(base, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(base, "shard", ["doc_id", "text_crc32", "size"], leaves(tree)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 SHARDS = 16
