@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import zlib
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import agents as A
 from .operators import consolidation as C
+from .operators import integrity as I
 from .operators import memory as M
+from .operators import vectors as V
+from .schema import TABLES
+from .sources.files import read_text, write_atomic
 from .sources.providers import HashEmbedder
 from .sources.store import Store
+from .verbs import Graph, Identity, Instincts, Procedures, Reflections, Rules, now
 
 __version__ = "0.1.0"
 
@@ -24,13 +26,42 @@ class Agent:
     def __init__(self, spark: SparkSession, name: str, root: str, embedder=None):
         self.spark, self.name, self.embedder = spark, name, embedder or HashEmbedder()
         self.store = Store(spark, root, self.embedder.dimensions).initialize()
+        self.guard: I.Guard | None = None
+        self.identity, self.rules, self.instincts = Identity(self), Rules(self), Instincts(self)
+        self.reflections, self.procedures, self.graph = Reflections(self), Procedures(self), Graph(self)
 
-    @staticmethod
-    def now():
-        return F.lit(datetime.now(timezone.utc))
+    now = staticmethod(now)
+
+    def __enter__(self) -> Agent:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.store.close()
+
+    def protect(self, signer) -> I.Guard:
+        """From now on memories are sealed after each change, and served only as they were sealed."""
+        columns = [c for c in TABLES["memories"].names if c != "embedding"]
+        self.guard = I.Guard(f"{self.name}/memories", self.name, signer, I.StoredWitness(self.spark, f"{self.store.root}/_witness"), columns)
+        if self.guard.checkpoint is None:
+            self._seal()
+        return self.guard
+
+    def _seal(self) -> None:
+        if self.guard is not None:
+            self.guard.seal(self.store.current("memories"))
+
+    def verify_integrity(self) -> None:
+        """IntegrityError unless the memories are as they were sealed."""
+        if self.guard is None:
+            raise I.IntegrityError("memories are not protected")
+        self.guard.verified(self.store.current("memories"))
 
     def _mine(self, table: str) -> DataFrame:
-        return self.store.current(table).filter(F.col("agent") == self.name)
+        rows = self.store.current(table)
+        return self.guard.verified(rows) if table == "memories" and self.guard is not None else rows.filter(F.col("agent") == self.name)
 
     def remember(self, contents: list[str] | DataFrame, **fields) -> list[int]:
         """Embeds and stores texts (or a DataFrame with a content column); returns the new ids."""
@@ -39,7 +70,9 @@ class Agent:
         df = self.embedder.embed(df, "_k", "content", "embedding").drop("_k").withColumn("agent", F.lit(self.name))
         for t in ("created_at", "valid_from", "event_time"):
             df = df.withColumn(t, self.now()) if t not in df.columns else df
-        return [r["id"] for r in self.store.insert("memories", df.withColumns({k: F.lit(v) for k, v in fields.items()})).select("id").collect()]
+        ids = [r["id"] for r in self.store.insert("memories", df.withColumns({k: F.lit(v) for k, v in fields.items()})).select("id").orderBy("id").collect()]
+        self._seal()
+        return ids
 
     def recall(self, query: str, *, context: str | list[str] | None = None, as_of=None, **options) -> DataFrame:
         lines = [context] if isinstance(context, str) else context
@@ -64,10 +97,14 @@ class Agent:
         if "content" in changes:
             one = self.spark.createDataFrame([(0, changes["content"])], "k long, content string")
             cols["embedding"] = F.lit(self.embedder.embed(one, "k", "content", "embedding").first()["embedding"]).cast("array<float>")
-        return self.store.update("memories", (F.col("id") == memory_id) & (F.col("agent") == self.name), cols) > 0
+        done = self.store.update("memories", (F.col("id") == memory_id) & (F.col("agent") == self.name), cols) > 0
+        self._seal()
+        return done
 
     def forget(self, memory_id: int) -> bool:
-        return self.store.invalidate([memory_id], self.now()) > 0
+        done = self.store.invalidate([memory_id], self.now(), self.name) > 0
+        self._seal()
+        return done
 
     def count(self, category: str = "") -> int:
         return M.matching(M.live(self._mine("memories")), category=category).count()
@@ -79,25 +116,45 @@ class Agent:
         report = self.spark.createDataFrame(report.collect(), report.schema)
         if not dry_run:
             self.store.append("memories", out.withColumnRenamed("vec", "embedding"))
+            self._seal()
         return report
 
+    def build_index(self, engine: str = "auto") -> V.LshIndex | V.ExactIndex:
+        """An index for the agent's live memories, noted in the store with what it was built from."""
+        rows = M.live(self._mine("memories")).filter(F.col("embedding").isNotNull())
+        index = V.create_index(engine, self.embedder.dimensions, rows.count())
+        write_atomic(self.spark, self._index_path(), index.manifest(*self._index_source(rows)))
+        return index
+
+    def load_index(self) -> V.LshIndex | V.ExactIndex:
+        """The noted index; StaleIndexError if there is none or it was built from other memories."""
+        rows = M.live(self._mine("memories")).filter(F.col("embedding").isNotNull())
+        return V.load_index(read_text(self.spark, self._index_path()) or "", *self._index_source(rows))
+
+    def _index_path(self) -> str:
+        return f"{self.store.root}/_index/{X.slug_text(self.name)}.json"
+
+    @staticmethod
+    def _index_source(rows: DataFrame) -> tuple[str, int]:
+        r = I.block_fingerprint(rows, "id", ["id", "embedding"]).first()
+        return r["fingerprint"], r["n"]
+
     def set_identity(self, personality: str | None = None, ocean: dict[str, float] | None = None) -> None:
         """Sets what is given and keeps the rest; scores must lie in 0..1."""
-        if ocean and not all(0 <= v <= 1 for v in ocean.values()):
-            raise ValueError("OCEAN scores lie between 0 and 1")
-        old = self._mine("identity").first()
-        row = {"agent": self.name, "personality": personality if personality is not None else old["personality"] if old else "", "ocean_scores": ocean if ocean is not None else old["ocean_scores"] if old else {}}
-        self.store.append("identity", self.spark.createDataFrame([row], "agent string, personality string, ocean_scores map<string,double>").withColumn("updated_at", self.now()))
+        if ocean is not None:
+            self.identity.set_ocean(ocean)
+        self.identity.set(personality)
 
     def set_rule(self, key: str, content: str, priority: str = "normal") -> None:
-        old = self._mine("rules").filter(F.col("rule_key") == key).first()
-        row = self.spark.createDataFrame([(self.name, key, content, priority, True)], "agent string, rule_key string, content string, priority string, active boolean")
-        row = row.withColumn("id", F.lit(old["id"] if old else zlib.crc32(f"{self.name}/{key}".encode()))).withColumn("created_at", F.lit(old["created_at"]) if old else self.now())
-        self.store.append("rules", row)
+        self.rules.set(key, content, priority)
 
     def reflect(self, thought: str, emotional_state: str = "") -> int:
-        row = self.spark.createDataFrame([(self.name, thought, emotional_state)], "agent string, thought string, emotional_state string").withColumn("created_at", self.now())
-        return self.store.insert("inner_monologue", row).first()["id"]
+        return self.reflections.add(thought, emotional_state)
+
+    def route(self, texts: list[str], utility: float = 0.5) -> DataFrame:
+        """How texts would be taken in: by the fast path or in full, by what they add to the newest memories."""
+        new = self.spark.createDataFrame([(i, self.name, t, float(utility)) for i, t in enumerate(texts)], "cand_id long, agent string, text string, utility double")
+        return C.route(self.embedder.embed(new, "cand_id", "text", "vec"), self._mine("memories").withColumnRenamed("embedding", "vec"))
 
     def boot(self) -> str:
         ident = self._mine("identity")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
-import re
 import sys
 
 from .agent import Agent, __version__
+from .functions.text import slug_text
 from .operators import migration
 from .session import session
 from .sources.providers import HashEmbedder
@@ -27,10 +27,6 @@ def ocean(text: str) -> dict[str, float]:
     return dict(zip("OCEAN", v, strict=True))
 
 
-def slug(name: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.-]+", "-", name).strip("-") or "agent"
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="recollect")
     p.add_argument("--version", action="version", version=__version__)
@@ -81,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.verb == "migrate":
             print(json.dumps(migrate(a)))
             return 0
-        agent = Agent(session(), a.agent, a.root or f"recollect-{slug(a.agent)}")
+        agent = Agent(session(), a.agent, a.root or f"recollect-{slug_text(a.agent)}")
         if a.verb == "create":
             agent.set_identity(a.personality, a.ocean or {})
             print(f"created {a.agent}")

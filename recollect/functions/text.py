@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +46,43 @@ def sign(token: Column) -> Column:
     return F.when(_digit(F.md5(token), 10) % 2 == 0, 1).otherwise(-1)
 
 
-def hash_counts(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, bucket, n): the sparse hash embedding before normalisation, in whole numbers; zeros are left out.
+def hashed(words: Column, dimensions: int = DIMENSIONS) -> Column:
+    """The dense array of whole-number counts per bucket of a text's lower-case words and their bigrams; all zero without any.
 
-    Each row's tokens are summed where they are read, so at most `dimensions` rows a text are shuffled.
+    Each distinct token of an Arrow batch is hashed once (as `bucket` and `sign` do) and each row is summed where it
+    is, so nothing is shuffled.
     """
-    t = df.select(F.col(key).alias("_key"), F.explode(tokens(F.col(text))).alias("t"))
-    t = t.select("_key", bucket(F.col("t"), dimensions).alias("bucket"), sign(F.col("t")).alias("s"))
-    return t.groupBy("_key", "bucket").agg(F.sum("s").cast("int").alias("n")).filter("n <> 0").withColumnRenamed("_key", key)
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            out = np.zeros((len(b), dimensions), np.int32)
+            flat = b.flatten()
+            row = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(b), 0).to_numpy(zero_copy_only=False))
+            near = row[1:] == row[:-1]
+            pairs = pc.binary_join_element_wise(flat[:-1], flat[1:], "_").filter(pa.array(near)) if len(flat) > 1 else flat[:0]
+            for tokens_, rows in ((flat, row), (pairs, row[1:][near])):
+                codes = tokens_.dictionary_encode()
+                h = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in codes.dictionary.to_pylist()]
+                at = np.array([int.from_bytes(x[:4], "big") % dimensions for x in h], np.int64)
+                sign_ = np.array([1 - 2 * (x[4] & 1) for x in h], np.int32)
+                code = codes.indices.to_numpy(zero_copy_only=False)
+                np.add.at(out, (rows, at[code]), sign_[code])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions, dtype=np.int32)), pa.array(out.ravel()))
+
+    return run(words)
 
 
 def hash_embed(df: DataFrame, key: str, text: str, out: str = "counts", dimensions: int = DIMENSIONS) -> DataFrame:
     """`df` with `out`, the dense array of whole-number counts per bucket (all zero for a text without words)."""
-    c = hash_counts(df, key, text, dimensions).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)))
-    zeros = F.array_repeat(F.lit(0), dimensions)
-    return df.join(c, key, "left").withColumn(out, F.when(F.col("_m").isNull(), zeros).otherwise(dense)).drop("_m")
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    return df.withColumn(out, hashed(words, dimensions))
+
+
+def hash_counts(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, bucket, n): the sparse hash embedding before normalisation, in whole numbers; zeros are left out."""
+    c = hash_embed(df.select(key, text), key, text, "_counts", dimensions)
+    return c.select(key, F.posexplode_outer("_counts").alias("bucket", "n")).filter("n <> 0")  # outer: no filter that would run it twice
 
 
 def normalised(counts: Column) -> Column:
@@ -102,6 +129,7 @@ DOMAIN_KEYWORDS = (
 PROCEDURE_KEYWORDS = ("step", "paso", "workflow", "sequence", "procedimiento")
 #: Signals of a contradiction if one of two texts has them, in order (fixed values).
 CONTRADICTION_KEYWORDS = ("no ", "nunca", "incorrecto", "error", "falso", "wrong", "not ", "never", "incorrect", "false", "don't", "doesn't", "ya no", "antes ", "cambió", "reemplaz", "obsolet")
+#: Fixed value: what keys of three services look like.
 SECRET = r"(gsk_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16})"
 
 
@@ -142,6 +170,11 @@ def contradiction(a: Column, b: Column, keywords: tuple[str, ...] = CONTRADICTIO
     return out
 
 
+def slug_text(name: str, default: str = "agent") -> str:
+    """A name as it may stand in a path."""
+    return re.sub(r"[^A-Za-z0-9_.-]+", "-", name).strip("-") or default
+
+
 def slug(name: Column, default: str = "agent") -> Column:
     s = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "-"), r"^-+|-+$", "")
     return F.when(s == "", default).otherwise(s)

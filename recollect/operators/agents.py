@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from .vectors import cosine
+from .vectors import knn_blocks
 
 DRIFT_CAP = 0.05
 TRAITS = ("A", "C", "E", "N", "O")
@@ -106,7 +106,7 @@ def thoughts(df: DataFrame, limit: int = 10) -> DataFrame:
 def procedure_search(procs: DataFrame, queries: DataFrame, top_k: int = 5, task_type: str = "") -> DataFrame:
     """(query_id, id, score, match_type, rank): descriptions that begin with the query first (score 1), then by cosine.
 
-    Of equal descriptions only the last inserted is found by prefix; the first `top_k` prefixes in text order are
+    Rows without a vector are found by prefix only. Of equal descriptions only the last inserted is found by prefix; the first `top_k` prefixes in text order are
     taken before the task type is looked at. procs (agent, id, task_type, task_description, vec), queries (agent,
     query_id, query, query_vec).
     """
@@ -114,13 +114,14 @@ def procedure_search(procs: DataFrame, queries: DataFrame, top_k: int = 5, task_
     keys = procs.withColumn("_l", F.row_number().over(last)).filter("_l = 1").drop("_l")
     order = Window.partitionBy("query_id").orderBy("task_description", "id")
     pre = keys.join(queries, "agent").filter(F.startswith("task_description", "query")).withColumn("_o", F.row_number().over(order)).filter(F.col("_o") <= top_k)
-    pre = pre.select("query_id", "id", "task_type", F.lit(1.0).alias("score"), F.lit("prefix").alias("match_type"))
-    sem = procs.join(queries, "agent").select("query_id", "id", "task_type", cosine(F.col("query_vec"), F.col("vec")).alias("score"), F.lit("semantic").alias("match_type"))
     if task_type:
-        pre, sem = pre.filter(F.col("task_type") == task_type), sem.filter(F.col("task_type") == task_type)
+        pre, procs = pre.filter(F.col("task_type") == task_type), procs.filter(F.col("task_type") == task_type)
+    pre = pre.select("query_id", "id", F.lit(1.0).alias("score"), F.lit("prefix").alias("match_type"))
+    # Of the nearest at most top_k are prefixes too, so twice as many are enough.
+    sem = knn_blocks(queries, procs, 2 * top_k).select("query_id", "id", F.col("similarity").alias("score"), F.lit("semantic").alias("match_type"))
     both = pre.unionByName(sem.join(pre.select("query_id", "id"), ["query_id", "id"], "left_anti"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("match_type"), "id")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).drop("task_type")
+    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
 
 
 def procedure_counters(procs: DataFrame, events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from .blocks import BROADCAST_ROWS
 from .components import connected_components
 from .memory import live
 from .vectors import cosine, norm, similar_pairs
@@ -36,10 +37,17 @@ def forget(df: DataFrame, as_of: Column, decay: float = FORGET_DECAY, stale_days
 
 
 def prune(df: DataFrame, as_of: Column, below: float = PRUNE_BELOW, most: int = MAX_PRUNE) -> DataFrame:
-    """Of each agent at most `most` rows of the lowest relevance under `below` are invalidated."""
+    """Of each agent at most `most` rows of the lowest relevance under `below` are invalidated.
+
+    Only rows that may go are ranked, with a limit by agent before the exchange; at most `most` ids an agent meet the
+    rows again, broadcast if they are few.
+    """
     can = F.col("invalid_at").isNull() & (F.col("relevance_score") < below) & (F.col("importance") <= 5) & ~F.coalesce(F.col("identity_defining"), F.lit(False))
-    w = Window.partitionBy("agent", "_can").orderBy("relevance_score", "id")
-    df = df.withColumn("_can", can).withColumn("affected", F.col("_can") & (F.row_number().over(w) <= most)).drop("_can")
+    w = Window.partitionBy("agent").orderBy("relevance_score", "id")
+    gone = df.filter(can).select("agent", "id", "relevance_score").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+    gone = Scratch(df.sparkSession).write(gone.select(F.col("id").alias("_gone")), "pruned")
+    few = gone.count() <= BROADCAST_ROWS
+    df = df.join(F.broadcast(gone) if few else gone, df["id"] == F.col("_gone"), "left").withColumn("affected", F.col("_gone").isNotNull()).drop("_gone")
     return df.withColumn("invalid_at", F.when(F.col("affected"), as_of).otherwise(F.col("invalid_at")))
 
 
@@ -95,11 +103,15 @@ def consolidate(df: DataFrame, as_of: Column, threshold: float = MERGE_AT, *, co
 
 
 def run_phases(df: DataFrame, as_of: Column, *, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(memories after the phases, report): live, each phase sees what the one before wrote; dry, all see the input."""
+    """(memories after the phases, report): live, each phase sees what the one before wrote; dry, all see the input.
+
+    What a phase gives is written before it is counted and passed on, so no phase runs twice.
+    """
     steps = {"replay": replay, "forget": forget, "prune": prune, "consolidate": consolidate}
-    cur, report = df, None
+    cur, report, scratch = df, None, Scratch(df.sparkSession)
     for name, f in steps.items():
         out = f(df if dry_run else cur, as_of)
+        out = scratch.write(out.select("agent", "affected") if dry_run else out, name)
         n = out.groupBy("agent").agg(F.sum(F.col("affected").cast("long")).alias("affected")).select("agent", F.lit(name).alias("phase"), "affected")
         report = n if report is None else report.unionByName(n)
         cur = cur if dry_run else out.drop("affected")

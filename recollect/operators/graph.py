@@ -56,6 +56,14 @@ def entities(found: DataFrame) -> DataFrame:
     return found.groupBy("agent", "entity").agg(F.min_by("entity_type", "memory_id").alias("entity_type"), F.count_distinct("memory_id").alias("mention_count"))
 
 
+def graph_counts(memories: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(agent, nodes, edges, entities): live memories, edges and different entity names of each agent."""
+    n = live(memories).groupBy("agent").agg(F.count(F.lit(1)).alias("nodes"))
+    e = edges.groupBy("agent").agg(F.count(F.lit(1)).alias("edges"))
+    m = found.groupBy("agent").agg(F.count_distinct("entity").alias("entities"))
+    return n.join(e, "agent", "full").join(m, "agent", "full").fillna(0, ["nodes", "edges", "entities"])
+
+
 def stats_summary(agent: str, nodes: int, edges: int, ents: int, dry_run: bool = True) -> str:
     return f"Connectome [{'DRY-RUN' if dry_run else 'LIVE'}] — {agent}: {nodes} nodes, {edges} edges, {ents} entities"
 

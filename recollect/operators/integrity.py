@@ -9,10 +9,11 @@ import json
 import re
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import schema_digest
+from ..sources.files import create_once, names, read_text
 
 GENESIS = "0" * 64
 
@@ -98,17 +99,56 @@ class HmacSigner:
         return hmac.compare_digest(self.sign(data), signature)
 
 
+class TrustStore:
+    """Signs with one key and verifies with any that is trusted; a signature names its key."""
+
+    def __init__(self, signers: dict[str, HmacSigner], active: str):
+        self.signers, self.active = signers, active
+
+    def sign(self, data: bytes) -> str:
+        return f"{self.active}:{self.signers[self.active].sign(data)}"
+
+    def verify(self, data: bytes, signature: str) -> bool:
+        name, _, rest = signature.partition(":")
+        return name in self.signers and self.signers[name].verify(data, rest)
+
+
 class Witness:
     """Remembers the last checkpoint of each stream and takes only its successor."""
 
     def __init__(self) -> None:
         self.last: dict[str, Checkpoint] = {}
 
+    def latest(self, stream_id: str) -> Checkpoint | None:
+        return self.last.get(stream_id)
+
+    def keep(self, c: Checkpoint) -> bool:
+        self.last[c.stream_id] = c
+        return True
+
     def advance(self, c: Checkpoint) -> None:
-        old = self.last.get(c.stream_id)
+        old = self.latest(c.stream_id)
         if c.sequence != (old.sequence + 1 if old else 1) or c.previous != (old.digest if old else GENESIS):
             raise WitnessConflict(f"{c.stream_id}: checkpoint {c.sequence} does not follow {old.sequence if old else 'the start'}")
-        self.last[c.stream_id] = c
+        if not self.keep(c):
+            raise WitnessConflict(f"{c.stream_id}: another writer has sealed checkpoint {c.sequence}")
+
+
+class StoredWitness(Witness):
+    """A witness whose checkpoints are files, each written once, so it outlives the driver and serves several of them."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _folder(self, stream_id: str) -> str:
+        return f"{self.root}/{hashlib.sha256(stream_id.encode()).hexdigest()}"
+
+    def latest(self, stream_id: str) -> Checkpoint | None:
+        found = [n for n in names(self.spark, self._folder(stream_id)) if n.endswith(".json")]
+        return Checkpoint.from_json(read_text(self.spark, f"{self._folder(stream_id)}/{found[-1]}")) if found else None
+
+    def keep(self, c: Checkpoint) -> bool:
+        return create_once(self.spark, f"{self._folder(c.stream_id)}/{c.sequence:020d}.json", c.to_json())
 
 
 class Guard:
@@ -116,7 +156,7 @@ class Guard:
 
     def __init__(self, stream_id: str, agent: str, signer: HmacSigner, witness: Witness, columns: list[str], key: str = "id"):
         self.stream_id, self.agent, self.signer, self.witness, self.columns, self.key = stream_id, agent, signer, witness, columns, key
-        self.checkpoint: Checkpoint | None = None
+        self.checkpoint = witness.latest(stream_id)
 
     def _state(self, df: DataFrame) -> tuple[int, str, str]:
         r = block_fingerprint(df.filter(F.col("agent") == self.agent), self.key, self.columns).first()
@@ -134,7 +174,7 @@ class Guard:
     def verified(self, df: DataFrame) -> DataFrame:
         """The agent's rows, or IntegrityError; pass a pinned snapshot, so that what is checked is what is read."""
         c = self.checkpoint
-        if c is None or not self.signer.verify(c.payload(), c.signature) or self.witness.last.get(self.stream_id) != c:
+        if c is None or not self.signer.verify(c.payload(), c.signature) or self.witness.latest(self.stream_id) != c:
             raise IntegrityError("no valid checkpoint")
         if (c.count, c.head, c.schema) != self._state(df):
             raise IntegrityError(f"{self.agent}: rows differ from checkpoint {c.sequence}")
@@ -147,3 +187,10 @@ def witness_breaks(log: DataFrame) -> DataFrame:
     j = log.withColumn("_s", F.coalesce(F.lag("sequence").over(w), F.lit(0))).withColumn("_d", F.coalesce(F.lag("digest").over(w), F.lit(GENESIS)))
     bad = F.when(F.col("sequence") != F.col("_s") + 1, "sequence").when(F.col("previous") != F.col("_d"), "link")
     return j.withColumn("problem", bad).filter(F.col("problem").isNotNull()).drop("_s", "_d")
+
+
+def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(side, key): keys that only one of two tables has; empty if and only if the sets of keys are equal."""
+    x, y = (d.select(F.col(key).alias("key")).distinct() for d in (a, b))
+    one = x.join(y, "key", "left_anti").select(F.lit("left").alias("side"), "key")
+    return one.unionByName(y.join(x, "key", "left_anti").select(F.lit("right").alias("side"), "key"))

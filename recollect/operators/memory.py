@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from .vectors import cosine, is_zero, norm
+from .vectors import cosine, is_zero, knn_blocks
 
 SEARCH_LIMIT, CANDIDATES = 10, 100
 
@@ -36,26 +36,34 @@ def search(memories: DataFrame, queries: DataFrame, as_of: Column, *, limit: int
     memories have `vec`, queries (query_id, agent, query, query_vec). Without a filter the `candidates` nearest rows
     and, with `literal`, those that contain the query's text (case aside) are scored; with one, all rows that pass it
     (so a filter never hides a row); candidates=None scores everything. A row without a vector is found only
-    literally. Ties go to the smaller id. All agents are answered at once, joined on the agent.
+    literally. Ties go to the smaller id. All agents are answered at once, in blocks of an agent's rows.
     """
     limit = limit or SEARCH_LIMIT
     filtered = bool(category or min_importance or scope)
     base = matching(live(memories), category=category, min_importance=min_importance, scope=scope)
-    q = queries.select("agent", "query_id", "query", "query_vec", norm(F.col("query_vec")).alias("_qn"))
-    pairs = base.withColumn("_vn", norm(F.col("vec"))).join(q, "agent")
-    pairs = pairs.withColumn("similarity", F.when(F.col("vec").isNotNull(), cosine(F.col("query_vec"), F.col("vec"), F.col("_qn"), F.col("_vn"))))
-    if filtered or candidates is None:
-        pool = pairs.filter(F.col("similarity").isNotNull())
-    else:
-        near = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "id")
-        pool = pairs.withColumn("_near", F.row_number().over(near))
-        hit = F.contains(F.lower("content"), F.lower("query")) & (F.col("query") != "") if literal else F.lit(False)
-        pool = pool.filter(((F.col("_near") <= candidates) & F.col("similarity").isNotNull()) | hit).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    near = knn_blocks(queries, base, None if filtered or candidates is None else candidates)
+    if not (filtered or candidates is None):
+        w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+        near = near.withColumn("_near", F.row_number().over(w)).filter(F.col("_near") <= candidates).drop("_near")
+        if literal:
+            said = base.join(queries.select("agent", "query_id", "query", F.col("query_vec").alias("_q")), "agent").filter((F.col("query") != "") & F.contains(F.lower("content"), F.lower("query")))
+            said = said.select("query_id", "id", F.when(F.col("vec").isNotNull(), F.round(cosine(F.col("_q"), F.col("vec")), 12)).otherwise(0.0).alias("similarity"))
+            near = near.unionByName(said).dropDuplicates(["query_id", "id"])
+    pool = base.drop("vec").join(near, "id")
     out = scored(pool, as_of, floor)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "agent", "id", "similarity", "score", "rank")
 
 
+def like_matches(memories: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id): live rows of the query's agent whose text is LIKE %query%, case aside.
+
+    As in the fallback of the data model, `%` and `_` in a query are wildcards. An empty query matches nothing.
+    """
+    pairs = live(memories).select("agent", "id", "content").join(queries.select("agent", "query_id", "query"), "agent")
+    return pairs.filter((F.col("query") != "") & F.ilike(F.col("content"), F.concat(F.lit("%"), F.col("query"), F.lit("%")))).select("query_id", "id")
+
+
 def nearest_with_zeros(memories: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """Nearest rows by vector and, after them with similarity 0, up to `limit` rows whose vector is zero, newest first.
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from .blocks import per_block
 
 
@@ -25,33 +26,35 @@ def chain_head(df: DataFrame, group: str, order: str, row: Column, seed: Column)
 def merkle_levels(leaves: DataFrame, group: str) -> list[DataFrame]:
     """Levels (group, idx, hash) of each group's tree, leaves first; a node is sha256(left || right), an odd one doubles.
 
-    leaves have (group, idx from 0, hash). Each level is one aggregation of half the rows, so no group is gathered.
+    leaves have (group, idx from 0, hash). Each level is one aggregation of half the rows, so no group is gathered, and
+    is written once, as it is read again for the next one, the roots and the proofs.
     """
-    levels = [leaves.select(group, F.col("idx").cast("long").alias("idx"), "hash")]
-    top = leaves.agg(F.max("idx")).first()[0]
+    scratch = Scratch(leaves.sparkSession)
+    levels = [scratch.write(leaves.select(group, F.col("idx").cast("long").alias("idx"), "hash"), "level0")]
+    top = levels[0].agg(F.max("idx")).first()[0]
     while top:
         cur = levels[-1].groupBy(group, F.expr("idx div 2").alias("idx")).agg(F.min_by("hash", "idx").alias("l"), F.max_by("hash", "idx").alias("r"), F.max("idx").alias("m"))
-        levels.append(cur.select(group, "idx", F.sha2(F.concat("l", "r"), 256).alias("hash")))
+        levels.append(scratch.write(cur.select(group, "idx", F.sha2(F.concat("l", "r"), 256).alias("hash")), f"level{len(levels)}"))
         top //= 2
     return levels
 
 
 def merkle_root(leaves: DataFrame, group: str) -> DataFrame:
     """(group, root); a group's root is the first level at which it has one node."""
-    sizes = leaves.groupBy(group).agg(F.max("idx").alias("_top"))
-    out = None
-    for d, level in enumerate(merkle_levels(leaves, group)):
+    levels, out = merkle_levels(leaves, group), None
+    sizes = levels[0].groupBy(group).agg(F.max("idx").alias("_top"))
+    for d, level in enumerate(levels):
         done = sizes.filter(F.when(F.col("_top") == 0, 0).otherwise(F.length(F.bin("_top"))) == d).select(group)
         r = level.join(done, group, "left_semi").select(group, F.col("hash").alias("root"))
         out = r if out is None else out.unionByName(r)
     return out
 
 
-def merkle_proof(leaves: DataFrame, group: str, idx: str = "idx") -> DataFrame:
+def merkle_proof(leaves: DataFrame, group: str) -> DataFrame:
     """(group, leaf, level, sibling, side): each leaf's path; an unpaired node is its own right sibling, so every proof verifies."""
     levels = merkle_levels(leaves, group)
     paths = None
-    base = leaves.select(group, F.col(idx).alias("leaf"))
+    base = levels[0].select(group, F.col("idx").alias("leaf"))
     for d, level in enumerate(levels[:-1]):
         at = base.withColumn("pos", F.shiftright(F.col("leaf"), d)).withColumn("sib", F.col("pos").bitwiseXOR(F.lit(1)))
         own = level.select(group, F.col("idx").alias("pos"), F.col("hash").alias("_own"))
@@ -94,20 +97,79 @@ def prefix_sums(points: DataFrame, idx: str = "idx", value: str = "value", parts
     return per.join(F.broadcast(starts), "_b").select("idx", "sum", (F.col("_start") + F.sum("sum").over(inside)).alias("prefix_sum"))
 
 
+def _as_of(sums: DataFrame, asked: DataFrame, at: str, out: str, parts: int = 64) -> DataFrame:
+    """`asked` with `out`: the prefix_sum of the last idx <= `at` (0 if none is). Both sides are merged by idx in blocks
+    of the index; a block opens with the last sum of those before, so the work is linear and nothing is broadcast but
+    the blocks' last sums."""
+    low, high = sums.agg(F.min("idx"), F.max("idx")).first()
+    low = low or 0
+    width = max(1, ((high or 0) - low) // parts + 1)
+    block = lambda c: F.least(F.greatest(F.floor((c - F.lit(low)) / F.lit(width)), F.lit(-1)), F.lit(parts)).cast("long")
+    s = sums.select(F.col("idx").alias("_i"), F.lit(0).alias("_asked"), "prefix_sum", *[F.lit(None).cast(f.dataType).alias(f.name) for f in asked.schema])
+    a = asked.select(F.col(at).alias("_i"), F.lit(1).alias("_asked"), F.lit(None).cast(sums.schema["prefix_sum"].dataType).alias("prefix_sum"), *asked.columns)
+    both = s.unionByName(a).withColumn("_b", block(F.col("_i")))
+    w = Window.partitionBy("_b").orderBy("_i", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_here", F.last("prefix_sum", True).over(w)).filter("_asked = 1")
+    ends = sums.groupBy(block(F.col("idx")).alias("_e")).agg(F.max_by("prefix_sum", "idx").alias("_end"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most parts + 2 rows
+    all_ = sums.sparkSession.range(-1, parts + 1).select(F.col("id").alias("_b")).join(ends, F.col("_b") == F.col("_e"), "left")
+    opens = all_.select("_b", F.last("_end", True).over(before).alias("_open"))
+    return both.join(F.broadcast(opens), "_b", "left").select(*asked.columns, F.coalesce("_here", "_open", F.lit(0)).alias(out))
+
+
 def range_sums(points: DataFrame, ranges: DataFrame, idx: str = "idx", value: str = "value") -> DataFrame:
-    """(lo, hi, total): the sum of each range, 0 for an inverted one; ranges are a stated set, read against the sums per index."""
-    p = points.groupBy(F.col(idx).alias("idx")).agg(F.sum(value).alias("sum"))
-    r = ranges.select("lo", "hi")
-    inside = (F.col("idx") >= F.col("lo")) & (F.col("idx") <= F.col("hi"))
-    hit = per_block(r, lambda part: p.join(part, inside)).groupBy("lo", "hi").agg(F.sum("sum").alias("total"))
-    return r.join(hit, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("total", F.lit(0)).alias("total"))
+    """(lo, hi, total): the sum of each range, 0 for an inverted one: the prefix sum at hi less that before lo."""
+    p = prefix_sums(points, idx, value).select("idx", "prefix_sum")
+    r = ranges.select("lo", "hi").withColumn("_l", F.col("lo") - 1)
+    r = _as_of(p, _as_of(p, r, "hi", "_to"), "_l", "_from")
+    return r.select("lo", "hi", F.when(F.col("lo") <= F.col("hi"), F.col("_to") - F.col("_from")).otherwise(0).alias("total"))
 
 
 def find_kth(points: DataFrame, ks: DataFrame, capacity: int, idx: str = "idx", value: str = "value") -> DataFrame:
-    """(k, idx): the least index whose prefix sum reaches k, `capacity` if none does."""
-    p = prefix_sums(points, idx, value).select("idx", "prefix_sum")
-    hit = per_block(ks, lambda part: p.join(part, F.col("prefix_sum") >= F.col("k"))).groupBy("k").agg(F.min("idx").alias("idx"))
-    return ks.join(hit, "k", "left").select("k", F.coalesce("idx", F.lit(capacity)).alias("idx"))
+    """(k, idx): the least index whose prefix sum reaches k, `capacity` if none does (values are not negative).
+
+    The same merge, with prefix sums as the order and read from above: the next index for the sums from k on.
+    """
+    p = prefix_sums(points, idx, value).groupBy("prefix_sum").agg(F.min("idx").alias("idx"))
+    p = p.select((-F.col("prefix_sum")).alias("idx"), F.col("idx").alias("prefix_sum"))
+    out = _as_of(p, ks.select("k", (-F.col("k")).alias("_k")), "_k", "_at")
+    top = -(p.agg(F.min("idx")).first()[0] or 0)
+    return out.select("k", F.coalesce(F.when(F.col("k") <= F.lit(top), F.col("_at")), F.lit(capacity)).alias("idx"))
+
+
+def has_key(keys: DataFrame, probes: DataFrame, key: str = "key") -> DataFrame:
+    """(probe, found): whether each probed text is a key as a whole."""
+    have = keys.select(F.col(key).alias("probe")).distinct().withColumn("found", F.lit(True))
+    return probes.select("probe").distinct().join(have, "probe", "left").select("probe", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def point_values(points: DataFrame, asked: DataFrame, capacity: int, idx: str = "idx", value: str = "value") -> DataFrame:
+    """(idx, total): the sum at single indexes from 1 to `capacity`; 0 where nothing was added, no row for others."""
+    per = points.groupBy(F.col(idx).alias("idx")).agg(F.sum(value).alias("total"))
+    return asked.select("idx").distinct().filter(F.col("idx").between(1, capacity)).join(per, "idx", "left").select("idx", F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def _box(prefix: str) -> dict[str, Column]:
+    return {c: F.col(f"{prefix}{c}") for c in ("min_x", "min_y", "max_x", "max_y")}
+
+
+def expansion(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """By how much the area of `a` grows when it takes in `b`."""
+    both = {c: F.least(a[c], b[c]) if c.startswith("min") else F.greatest(a[c], b[c]) for c in a}
+    return area(both) - area(a)
+
+
+def intersects(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two boxes meet; touching counts."""
+    return (a["min_x"] <= b["max_x"]) & (a["max_x"] >= b["min_x"]) & (a["min_y"] <= b["max_y"]) & (a["max_y"] >= b["min_y"])
+
+
+def contains(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    return (a["min_x"] <= b["min_x"]) & (a["min_y"] <= b["min_y"]) & (a["max_x"] >= b["max_x"]) & (a["max_y"] >= b["max_y"])
+
+
+def contains_point(a: dict[str, Column], x: Column, y: Column) -> Column:
+    return x.between(a["min_x"], a["max_x"]) & y.between(a["min_y"], a["max_y"])
 
 
 def area(b: dict[str, Column]) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,11 +114,46 @@ def knn_matrix(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def similar_pairs(df: DataFrame, threshold: float, *, group: str = "agent", key: str = "id", vec: str = "vec", ordered: bool = False, block: int = BLOCK) -> DataFrame:
+def knn_blocks(queries: DataFrame, base: DataFrame, k: int | None, *, on: str = "agent", query_id: str = "query_id", query_vec: str = "query_vec", key: str = "id", vec: str = "vec", block: int = BLOCK) -> DataFrame:
+    """(query_id, id, similarity) of the base rows of each query's group: the k nearest of every block, ties by id (k None: all).
+
+    A group's rows are dealt into blocks of about `block` by a hash of the id, its queries go to each of them, and a
+    block is one matrix product; so a large group is many tasks, and only k rows a query and block leave one.
+    Similarities are rounded to 12 places, so that equal vectors tie whatever block they are in.
+    """
+    rows = base.filter(usable(F.col(vec), 1)).select(F.col(on).cast("string").alias("g"), F.col(key).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    parts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+    rows = rows.join(parts, "g").select("g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("p"), "id", "v")
+    asked = queries.select(F.col(on).cast("string").alias("g"), F.col(query_id).cast("long").alias("query_id"), F.transform(query_vec, lambda x: x.cast("double")).alias("v"))
+    asked = asked.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "query_id", "v")
+
+    def matrix(col: pa.ChunkedArray) -> np.ndarray:
+        col = col.combine_chunks()
+        sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+        m = np.zeros((len(sizes), int(sizes.max(initial=0))))
+        m[np.arange(m.shape[1]) < sizes[:, None]] = pc.fill_null(col.flatten(), 0.0).to_numpy(zero_copy_only=False)
+        return np.divide(m, (length := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=length > 0)
+
+    def compare(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asked.num_rows or not rows.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        q, m, ids = matrix(asked["v"]), matrix(rows["v"]), rows["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        m, ids, width = m[order], ids[order], min(q.shape[1], m.shape[1])
+        sim = np.round(q[:, :width] @ m[:, :width].T, 12)
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        r = np.repeat(np.arange(len(q)), best.shape[1])
+        return pa.table({"query_id": asked["query_id"].to_numpy()[r], "id": ids[best.ravel()], "similarity": sim[r, best.ravel()]})
+
+    return asked.groupBy("g", "p").cogroup(rows.groupBy("g", "p")).applyInArrow(compare, "query_id long, id long, similarity double")
+
+
+def similar_pairs(df: DataFrame, threshold: float, *, group: str = "agent", key: str = "id", vec: str = "vec", ordered: bool = False, block: int = BLOCK, limit: int | None = None) -> DataFrame:
     """(group, a, b, similarity) of the pairs in a group with cosine >= threshold; a < b, or both ways if `ordered`.
 
     A group is dealt into blocks of about `block` rows by a hash of the id, and each pair of blocks is one matrix
-    product; so no task holds more than two blocks, however large a group is.
+    product; so no task holds more than two blocks, however large a group is. With `limit` (and `ordered`) of each a
+    only that many of the nearest b leave a block, ties by id, which is all that any `limit` nearest are among.
     """
     rows = df.filter(usable(F.col(vec))).select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
     sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
@@ -140,7 +178,10 @@ def similar_pairs(df: DataFrame, threshold: float, *, group: str = "agent", key:
         keep = a < b if i == j else a != b
         a, b, s = a[keep], b[keep], s[keep]
         out = pd.DataFrame({"g": pdf["g"].iloc[0], "a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
-        return pd.concat([out, out.rename(columns={"a": "b", "b": "a"})]) if ordered else out
+        if not ordered:
+            return out
+        out = pd.concat([out, out.rename(columns={"a": "b", "b": "a"})])
+        return out if limit is None else out.sort_values(["a", "similarity", "b"], ascending=[True, False, True]).groupby("a", sort=False).head(limit)
 
     schema = f"g {rows.schema['g'].dataType.simpleString()}, a long, b long, similarity double"
     return rows.groupBy("g", "i", "j").applyInPandas(compare, schema).withColumnRenamed("g", group)
@@ -148,7 +189,7 @@ def similar_pairs(df: DataFrame, threshold: float, *, group: str = "agent", key:
 
 def neighbours(df: DataFrame, threshold: float, limit: int, **names: str) -> DataFrame:
     """Of each row its `limit` most similar others, ties by id."""
-    pairs = similar_pairs(df, threshold, ordered=True, **names)
+    pairs = similar_pairs(df, threshold, ordered=True, limit=limit, **names)
     group = names.get("group", "agent")
     w = Window.partitionBy(group, "a").orderBy(F.col("similarity").desc(), "b")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
@@ -156,39 +197,61 @@ def neighbours(df: DataFrame, threshold: float, limit: int, **names: str) -> Dat
 
 @dataclass(frozen=True)
 class LshIndex:
-    """Random hyperplanes: a vector's bucket in a table is the signs of its products with the table's planes."""
+    """Random hyperplanes: a vector's bucket in a table is the signs of its products with the table's planes.
+
+    The number of planes grows with the logarithm of the rows, so buckets hold about `ROWS_A_BUCKET` of them however
+    many there are; a query also reads the buckets one flip of its least certain signs away (`probes` of them a table).
+    """
 
     dimensions: int
     tables: int = 24
     bits: int = 4
     seed: int = 100
+    probes: int = 0
+
+    ROWS_A_BUCKET: ClassVar[int] = 64
+
+    @classmethod
+    def for_rows(cls, dimensions: int, rows: int, **options: int) -> LshIndex:
+        """An index for so many rows."""
+        bits = max(4, math.ceil(math.log2(max(1, rows) / cls.ROWS_A_BUCKET)))
+        return cls(dimensions, **({"bits": min(bits, 30), "probes": min(bits, 30), "tables": 16} | options))
 
     def planes(self) -> np.ndarray:
         return np.random.default_rng(self.seed).standard_normal((self.tables, self.bits, self.dimensions))
 
-    def buckets(self, vec: Column) -> Column:
-        """(table, bucket) of a vector, one row a table."""
-        planes = self.planes()
+    def buckets(self, vec: Column, probes: int = 0) -> Column:
+        """(pos, bucket) of a vector, where bucket holds the table in its upper bits: a row a table and probed bucket."""
+        planes, tables, bits = self.planes().reshape(-1, self.dimensions).T, self.tables, self.bits
 
-        @F.pandas_udf("array<int>")
-        def signs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            flat = planes.reshape(-1, self.dimensions).T
-            for s in batches:
-                bits = np.stack(s.to_numpy()).astype(float) @ flat > 0 if len(s) else np.zeros((0, flat.shape[1]), bool)
-                codes = bits.reshape(len(s), self.tables, self.bits) @ (1 << np.arange(self.bits))
-                yield pd.Series(list(codes.astype(np.int32)))
+        @F.arrow_udf("array<long>")
+        def signs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for b in batches:
+                m = b.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
+                side = (m @ planes).reshape(len(b), tables, bits)
+                power = np.int64(1) << np.arange(bits, dtype=np.int64)
+                own = ((side > 0) @ power) | (np.arange(tables, dtype=np.int64) << 32)
+                out = [own[:, :, None]]
+                if probes:
+                    near = np.argsort(np.abs(side), axis=2)[:, :, :probes]
+                    out.append(own[:, :, None] ^ power[near])
+                codes = np.concatenate(out, axis=2).reshape(len(b), -1)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, max(1, codes.shape[1]), dtype=np.int32)), pa.array(codes.ravel()))
 
         return F.posexplode(signs(vec)).alias("table", "bucket")
 
     def manifest(self, digest: str, rows: int) -> str:
         return json.dumps({"engine": "lsh", "version": 1, "rows": rows, "source": digest} | asdict(self), sort_keys=True)
 
+    def candidates(self, queries: DataFrame, base: DataFrame) -> DataFrame:
+        """(query_id, id): the rows that share a bucket with a query."""
+        b = base.select("id", self.buckets(F.col("vec")))
+        q = queries.select("query_id", self.buckets(F.col("query_vec"), self.probes))
+        return q.select("query_id", "bucket").join(b.select("id", "bucket"), "bucket").select("query_id", "id").distinct()
+
     def search(self, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
         """Approximate knn: rows that share a bucket with the query in some table, ranked exactly."""
-        b = base.select("id", "vec", self.buckets(F.col("vec")))
-        q = queries.select("query_id", "query_vec", self.buckets(F.col("query_vec")))
-        cand = q.select("query_id", "table", "bucket").join(b.select("id", "table", "bucket"), ["table", "bucket"]).select("query_id", "id").distinct()
-        full = cand.join(queries, "query_id").join(base, "id").withColumn("similarity", cosine(F.col("query_vec"), F.col("vec")))
+        full = self.candidates(queries, base).join(queries, "query_id").join(base, "id").withColumn("similarity", cosine(F.col("query_vec"), F.col("vec")))
         w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
         return full.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
 
@@ -210,10 +273,10 @@ class StaleIndexError(RuntimeError):
     """A saved index does not belong to the rows it is to serve."""
 
 
-def create_index(engine: str, dimensions: int, **options: int) -> LshIndex | ExactIndex:
-    """`auto` and `lsh` are approximate, `exact` is not; other names are ValueErrors."""
+def create_index(engine: str, dimensions: int, rows: int | None = None, **options: int) -> LshIndex | ExactIndex:
+    """`auto` and `lsh` are approximate (made for `rows` rows, if that is known), `exact` is not; other names are ValueErrors."""
     if engine in ("auto", "lsh"):
-        return LshIndex(dimensions, **options)
+        return LshIndex(dimensions, **options) if rows is None else LshIndex.for_rows(dimensions, rows, **options)
     if engine == "exact":
         return ExactIndex(dimensions)
     raise ValueError(f"unknown index engine {engine!r}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval, shapes, upkeep
+from . import lifecycle, retrieval, shapes, upkeep
 
-QUERIES: dict = {**retrieval.QUERIES, **upkeep.QUERIES, **shapes.QUERIES}
-SQL: dict = {**retrieval.SQL, **upkeep.SQL, **shapes.SQL}
+QUERIES: dict = {**retrieval.QUERIES, **upkeep.QUERIES, **shapes.QUERIES, **lifecycle.QUERIES}
+SQL: dict = {**retrieval.SQL, **upkeep.SQL, **shapes.SQL, **lifecycle.SQL}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schema
 from ..operators import integrity as I
 from ..operators import migration as Q
 from ..operators import structures as S
@@ -118,53 +117,6 @@ def spatial_bounds(spark, sf):
 SQL["spatial_bounds"] = f"WITH {_BOX}, g AS (SELECT id % 7 AS part, min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y FROM box GROUP BY 1) SELECT *, (max_x - min_x) * (max_y - min_y) AS area FROM g"
 
 
-def _leaves(spark, sf):
-    n = W.table(spark, sf, "nation")
-    from pyspark.sql import Window
-
-    return n.select(F.col("n_regionkey").alias("tree"), F.col("n_nationkey").alias("leaf_id"), (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("idx"), F.sha2("n_name", 256).alias("hash"))
-
-
-_LEAVES = """lv0 AS (SELECT n_regionkey AS tree, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS idx, sha256(n_name) AS hash FROM nation)"""
-_STEP = ", ".join(f"lv{i + 1} AS (SELECT tree, idx // 2 AS idx, CASE WHEN (SELECT count(*) FROM lv{i} z WHERE z.tree = a.tree) = 1 THEN arg_min(hash, idx) ELSE sha256(arg_min(hash, idx) || arg_max(hash, idx)) END AS hash FROM lv{i} a GROUP BY tree, idx // 2)" for i in range(5))
-
-
-def merkle_root(spark, sf):
-    return S.merkle_root(_leaves(spark, sf), "tree")
-
-
-SQL["merkle_root"] = f"WITH {_LEAVES}, {_STEP} SELECT tree, hash AS root FROM lv5"
-
-
-def merkle_proof(spark, sf):
-    """Whether each leaf's proof leads to its root."""
-    leaves = _leaves(spark, sf)
-    p = S.merkle_proof(leaves, "tree").groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("level", "sibling", "side"))).alias("path"))
-    j = leaves.select("tree", F.col("idx").alias("leaf"), "hash").join(p, ["tree", "leaf"], "left").join(S.merkle_root(leaves, "tree"), "tree")
-    up = F.aggregate("path", F.col("hash"), lambda a, x: F.sha2(F.when(x["side"] == "right", F.concat(a, x["sibling"])).otherwise(F.concat(x["sibling"], a)), 256))
-    return j.select("tree", F.col("leaf").cast("long").alias("leaf"), (F.coalesce(up, F.col("hash")) == F.col("root")).alias("valid"))
-
-
-SQL["merkle_proof"] = f"WITH {_LEAVES} SELECT tree, idx AS leaf, TRUE AS valid FROM lv0"
-
-
-def hash_chain_head(spark, sf):
-    n = W.table(spark, sf, "nation")
-    row = F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
-    return S.chain_head(n, "n_regionkey", "n_nationkey", row, F.sha2(F.lit("chain"), 256)).withColumnRenamed("n_regionkey", "agent")
-
-
-SQL["hash_chain_head"] = """WITH h AS (SELECT n_regionkey AS agent, list(sha256(concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))) ORDER BY n_nationkey) AS l FROM nation GROUP BY 1)
-SELECT agent, list_reduce(list_concat([sha256('chain')], l), lambda a, x: sha256(a || x)) AS head, len(l) AS n FROM h"""
-
-
-def rows_fingerprint(spark, sf):
-    return I.fingerprint(W.table(spark, sf, "region"), "r_regionkey", ["r_regionkey", "r_name"])
-
-
-SQL["rows_fingerprint"] = """WITH h AS (SELECT list(sha256(concat_ws(chr(31), CAST(r_regionkey AS VARCHAR), r_name)) ORDER BY r_regionkey) AS l FROM region) SELECT sha256(array_to_string(l, '')) AS fingerprint, len(l) AS n FROM h"""
-
-
 def nonvector_hash(spark, sf):
     """The memories' content hash without vectors, blocks of ids first, then the blocks' hashes."""
     return I.block_fingerprint(W.memories(spark, sf), "id", ["id", "agent", "category", "content"], 100)
@@ -189,15 +141,6 @@ l AS (SELECT *, lag(q) OVER (PARTITION BY stream ORDER BY i) AS p FROM s)
 SELECT stream, i AS "at", 'sequence' AS problem FROM l WHERE q <> coalesce(p, 0) + 1"""
 
 
-def schema_contract_diff(spark, sf):
-    """How the memories view differs from the contract."""
-    return schema.contract_diff(spark, W.memories(spark, sf).schema, schema.TABLES["memories"])
-
-
-SQL["schema_contract_diff"] = """SELECT 'missing' AS problem, unnest(['created_from']) AS "column", 'x' AS type WHERE FALSE
-UNION ALL SELECT 'missing', unnest(['embedding', 'dominance', 'source', 'event_time', 'episode_context', 'metadata', 'valid_from']), unnest(['array<float>', 'double', 'string', 'timestamp', 'string', 'string', 'timestamp'])"""
-
-
 def migration_plan(spark, sf):
     m = W.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 9 == 0, F.lit(None)).otherwise(F.col("embedding")).alias("embedding"))
     return Q.plan(m, 64, 1024, 256)
@@ -206,30 +149,12 @@ def migration_plan(spark, sf):
 SQL["migration_plan"] = """SELECT count(*) AS n_rows, count(*) FILTER (WHERE vec_id % 9 <> 0) AS n_vectors, 64 AS source_dimensions, 1024 AS target_dimensions, count(*) FILTER (WHERE vec_id % 9 <> 0 AND len(embedding) <> 64) AS n_unexpected, CAST(ceil(count(*) / 256.0) AS BIGINT) AS n_batches FROM embeddings"""
 
 
-def migration_reembed(spark, sf):
-    """Documents embedded anew at 256 dimensions: per text its number of set buckets and the sum of its counts."""
-    from ..functions import text as X
-
-    c = X.hash_counts(W.memories(spark, sf), "id", "content", 256)
-    return c.groupBy("id").agg(F.count(F.lit(1)).alias("n_set"), F.sum("n").cast("long").alias("total"))
-
-
-SQL["migration_reembed"] = f"WITH {W.MEM}, {W.hash_sql('d', 'mem', 'id', 'content').replace('% 128', '% 256')} SELECT key AS id, count(*) AS n_set, CAST(sum(n) AS BIGINT) AS total FROM d_c GROUP BY key"
-
-
 def lru_cache(spark, sf):
     log = W.table(spark, sf, "events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
     return S.lru_simulation(log, 40)
 
 
-def stream_activity_windows(spark, sf):
-    """The stream of events, read at once: tumbling counts with a watermark."""
-    from ..streaming import activity
-
-    return activity.windowed(W.table(spark, sf, "events"))
-
-
 SQL["stream_activity_windows"] = "SELECT event_type, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01')) AS BIGINT) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
-for _f in (trie_prefix, trie_count_prefix, trie_autocomplete, fenwick_prefix_sum, fenwick_range_sum, fenwick_kth, spatial_range, spatial_point, spatial_nearest, spatial_bounds, merkle_root, merkle_proof, hash_chain_head, rows_fingerprint, nonvector_hash, witness_chain_check, schema_contract_diff, migration_plan, migration_reembed, lru_cache, stream_activity_windows):
+for _f in (trie_prefix, trie_count_prefix, trie_autocomplete, fenwick_prefix_sum, fenwick_range_sum, fenwick_kth, spatial_range, spatial_point, spatial_nearest, spatial_bounds, nonvector_hash, witness_chain_check, migration_plan, lru_cache):
     QUERIES[_f.__name__] = _f

@@ -36,21 +36,6 @@ SQL["sleep_forget"] = f"WITH {W.MEM} SELECT id, round({_DEF} * (1 - (1 - 0.85) /
 SQL["sleep_prune"] = f"WITH {W.MEM}, r AS (SELECT agent, id, row_number() OVER (PARTITION BY agent ORDER BY relevance_score, id) AS n FROM mem WHERE invalid_at IS NULL AND relevance_score < 0.05 AND importance <= 5 AND NOT identity_defining) SELECT agent, id FROM r WHERE n <= 50"
 
 
-def sleep_report(spark, sf):
-    """Rows that each phase would touch, by agent, on the unchanged input."""
-    m, t, out = W.memories(spark, sf), W.as_of(), None
-    for name, f in (("replay", C.replay), ("forget", C.forget), ("prune", C.prune)):
-        n = f(m, t).groupBy("agent").agg(F.sum(F.col("affected").cast("long")).alias("affected")).select("agent", F.lit(name).alias("phase"), "affected")
-        out = n if out is None else out.unionByName(n)
-    return out
-
-
-SQL["sleep_report"] = f"""WITH {W.MEM}, pr AS (SELECT agent, row_number() OVER (PARTITION BY agent ORDER BY relevance_score, id) AS n FROM mem WHERE invalid_at IS NULL AND relevance_score < 0.05 AND importance <= 5 AND NOT identity_defining),
-x AS (SELECT agent, 'replay' AS phase, count(*) FILTER (WHERE invalid_at IS NULL AND last_activation > 1782864000 - 86400) AS affected FROM mem GROUP BY agent
-UNION ALL SELECT agent, 'forget', count(*) FILTER (WHERE {_STALE}) FROM mem GROUP BY agent
-UNION ALL SELECT m.agent, 'prune', (SELECT count(*) FROM pr WHERE pr.agent = m.agent AND n <= 50) FROM (SELECT DISTINCT agent FROM mem) m) SELECT * FROM x"""
-
-
 def sleep_duplicate_pairs(spark, sf):
     return C.merge_pairs(W.embedded(W.memories(spark, sf))).select("agent", "a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -227,11 +212,11 @@ SQL["rules_critical"] = f"WITH {_RULES}, r AS (SELECT agent, rule_key, CAST(row_
 def instinct_confidence(spark, sf):
     e = W.table(spark, sf, "events")
     inst = e.select(F.col("user_id").alias("id")).distinct().withColumn("agent", F.concat(F.lit("u"), (F.col("id") % 25).cast("string"))).withColumn("confidence", (F.col("id") % 7) / F.lit(7.0)).withColumn("activation_count", F.lit(0)).withColumn("last_activated", F.lit(None).cast("long"))
-    acts = e.filter("event_id % 11 = 0").select(F.col("user_id").alias("instinct_id"), F.col("event_id").alias("at"))
+    acts = e.select(F.col("user_id").alias("instinct_id"), F.col("event_id").alias("at"))
     return A.instincts_list(A.instincts_after(inst, acts), 0.3).select("agent", "id", "confidence", F.col("activation_count").cast("long").alias("activation_count"), "rank")
 
 
-SQL["instinct_confidence"] = """WITH i AS (SELECT user_id AS id, 'u' || CAST(user_id % 25 AS VARCHAR) AS agent, CAST(user_id % 7 AS DOUBLE) / 7 AS c, count(*) FILTER (WHERE event_id % 11 = 0) AS n FROM events GROUP BY user_id),
+SQL["instinct_confidence"] = """WITH i AS (SELECT user_id AS id, 'u' || CAST(user_id % 25 AS VARCHAR) AS agent, CAST(user_id % 7 AS DOUBLE) / 7 AS c, count(*) AS n FROM events GROUP BY user_id),
 g AS (SELECT *, CASE WHEN n > 0 THEN round(least(1.0, 1 - (1 - c) * pow(0.9, n)), 4) ELSE c END AS confidence FROM i)
 SELECT agent, id, confidence, n AS activation_count, CAST(row_number() OVER (PARTITION BY agent ORDER BY confidence DESC, id) AS INTEGER) AS rank FROM g WHERE confidence >= 0.3"""
 
@@ -339,5 +324,5 @@ r AS (SELECT ag, id, row_number() OVER (PARTITION BY ag ORDER BY created_at DESC
 nr AS (SELECT agent, count(*) AS n_rules FROM rules WHERE active GROUP BY agent), ni AS (SELECT 'u' || CAST(user_id % 25 AS VARCHAR) AS agent, count(DISTINCT user_id) AS n_instincts FROM events GROUP BY 1), lt AS (SELECT agent, arg_max(thought, struct_pack(c := created_at, i := id)) AS last_thought FROM mono GROUP BY agent)
 SELECT a.ag AS agent, recent_memories, coalesce(n_rules, 0) AS n_rules, coalesce(n_instincts, 0) AS n_instincts, last_thought FROM (SELECT DISTINCT ag FROM m) a LEFT JOIN rm ON rm.ag = a.ag LEFT JOIN nr ON nr.agent = a.ag LEFT JOIN ni ON ni.agent = a.ag LEFT JOIN lt ON lt.agent = a.ag"""
 
-for _f in (sleep_replay, sleep_forget, sleep_prune, sleep_report, sleep_duplicate_pairs, sleep_consolidate, dmem_route, graph_similarity_edges, graph_semantic_conflicts, graph_edge_contradictions, graph_mentions, graph_entities, domain_classify, ocean_narrative, ocean_drift, identity_partial_upsert, relationships_ranked, rules_upsert_latest, rules_list, rules_critical, instinct_confidence, thought_last, thought_recent_by_session, diary_last, procedure_search, procedure_success_rate, boot_context, snapshot_state):
+for _f in (sleep_replay, sleep_forget, sleep_prune, sleep_duplicate_pairs, sleep_consolidate, dmem_route, graph_similarity_edges, graph_semantic_conflicts, graph_edge_contradictions, graph_mentions, graph_entities, domain_classify, ocean_narrative, ocean_drift, identity_partial_upsert, relationships_ranked, rules_upsert_latest, rules_list, rules_critical, instinct_confidence, thought_last, thought_recent_by_session, diary_last, procedure_search, procedure_success_rate, boot_context, snapshot_state):
     QUERIES[_f.__name__] = _f

@@ -37,7 +37,7 @@ TABLES: dict[str, T.StructType] = {
     "edges": _t(("agent", S, False), ("src", L, False), ("dst", L, False), ("type", S, False), ("weight", D, True)),
     "mentions": _t(("agent", S, False), ("memory_id", L, False), ("entity", S, False), ("entity_type", S, True)),
 }
-KEYS = {"memories": ["id"], "identity": ["agent"], "relationships": ["agent", "person"], "rules": ["agent", "rule_key"], "instincts": ["id"], "working_state": ["agent"], "procedural_memories": ["id"], "inner_monologue": ["id"], "diary": ["id"]}
+KEYS = {"memories": ["id"], "identity": ["agent"], "relationships": ["agent", "person"], "rules": ["agent", "rule_key"], "instincts": ["id"], "working_state": ["agent"], "procedural_memories": ["id"], "inner_monologue": ["id"], "diary": ["id"], "edges": ["agent", "src", "dst", "type"], "mentions": ["agent", "memory_id", "entity"]}
 #: Values of columns that an insert leaves out (fixed by the data model).
 DEFAULTS: dict[str, dict[str, object]] = {
     "memories": {"category": "fact", "importance": 5, "valence": 0.0, "arousal": 0.0, "dominance": 0.0, "source": "conversation", "scope": "private", "confidence_score": 1.0, "utility_score": 0.5, "relevance_score": 1.0, "identity_defining": False, "metadata": "{}"},
@@ -94,3 +94,13 @@ def check_contract(df: DataFrame, table: str, dimensions: int | None = None) ->
         raise RuntimeError(f"{table}: repeated keys")
     if dimensions and "embedding" in df.columns and not df.filter(F.col("embedding").isNotNull() & (F.size("embedding") != dimensions)).isEmpty():
         raise RuntimeError(f"{table}: vectors of other than {dimensions} dimensions")
+
+
+def contract_breaks(df: DataFrame, table: str, dimensions: int | None = None) -> DataFrame:
+    """(problem, column, n): how many rows break the table's rules: nulls where none may be, rows that repeat a key, vectors of another size."""
+    need = [f.name for f in TABLES[table].fields if not f.nullable and f.name in df.columns]
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in need]).select(F.explode(F.array(*[F.struct(F.lit("null").alias("problem"), F.lit(c).alias("column"), F.col(c).alias("n")) for c in need])).alias("x")).select("x.*")
+    out = nulls.unionByName(duplicate_keys(df, table).agg(F.lit("repeated key").alias("problem"), F.lit(",".join(KEYS[table])).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+    if dimensions and "embedding" in df.columns:
+        out = out.unionByName(df.agg(F.lit("dimensions").alias("problem"), F.lit("embedding").alias("column"), F.count_if(F.size("embedding") != dimensions).alias("n")))
+    return out.filter("n > 0")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +38,59 @@ def write_atomic(spark: SparkSession, path: str, text: str) -> None:
     fs.delete(p, False)
     if not fs.rename(tmp, p):
         raise OSError(f"could not move {tmp} to {path}")
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes `path` whole unless it is there; of several writers at once one succeeds, the others get False."""
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        return False
+    jvm = spark._jvm
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode()))
+        out.hsync()
+    finally:
+        out.close()
+    try:
+        if fs.getScheme() == "file":  # Java's rename replaces, a link does not
+            own, target = (unquote(urlparse(x.toUri().toString()).path) for x in (tmp, p))
+            os.link(own, target)
+        else:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), spark._jsc.hadoopConfiguration()).rename(tmp, p, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except FileExistsError:
+        return False
+    except Exception:
+        if fs.exists(p):
+            return False
+        raise
+    finally:
+        fs.delete(tmp, False)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds, sorted; none if it is not there."""
+    fs, p = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def is_digest(text: str | None) -> bool:
+    """Whether a text is a SHA-256 in lower-case hex."""
+    return text is not None and len(text) == 64 and not set(text) - set("0123456789abcdef")
+
+
+def file_digest(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file's bytes, read in pieces."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -26,18 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/recollect-{uuid.uuid4().hex}"
 
 
+_settings = threading.RLock()
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings (dots written as __) for the eager actions inside the block."""
+    """Session settings (dots written as __) for the eager actions inside the block, of one thread at a time."""
     conf = {k.replace("__", "."): v for k, v in values.items()}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    with _settings:
+        old = {k: spark.conf.get(k, None) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:

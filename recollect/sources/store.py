@@ -1,28 +1,42 @@
-"""The table store: an append-only change log per table, snapshots behind a pointer, and current views."""
+"""The table store: an append-only change log per table, snapshots, and a state that writers replace one at a time."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEYS, TABLES, check_contract, schema_digest, with_defaults
-from .files import read_text, write_atomic
+from .files import create_once, names, read_text, remove, write_atomic
+
+
+class Conflict(RuntimeError):
+    """Another writer changed the table first."""
 
 
 class Store:
-    """Tables under `root`: `log/<batch>` holds changes (business columns, op, seq), `snapshot/<id>` compacted rows.
+    """Tables under `root`: `log/<batch>` holds changes (business columns and op), `snapshot/<id>` compacted rows.
 
-    A pointer file names the snapshot and the batches it has taken in; it is replaced by one rename, so readers see a
-    whole state or the one before. Writers append batches and never change files. `dimensions` fixes vector sizes.
+    `state/<version>` names the snapshot and the batches that came after it, in order. A commit writes the next version,
+    which only one of several writers at once can do; the others read the new state and try again, so no batch and no
+    id is lost or given twice. Files are never changed. Readers see the last version whole. After `compact_at` batches a
+    table is compacted, so what a reader merges is bounded. `dimensions` fixes vector sizes.
     """
 
-    def __init__(self, spark: SparkSession, root: str, dimensions: int = 128):
+    #: Older states that are kept, and attempts of a commit.
+    KEEP, ATTEMPTS = 20, 50
+
+    def __init__(self, spark: SparkSession, root: str, dimensions: int = 128, compact_at: int = 32):
         if not 1 <= dimensions <= 2000:
             raise ValueError("dimensions must be from 1 to 2000")
-        self.spark, self.root, self.dimensions = spark, root.rstrip("/"), dimensions
+        self.spark, self.root, self.dimensions, self.compact_at, self.open = spark, root.rstrip("/"), dimensions, compact_at, False
+
+    def close(self) -> None:
+        """Refuses further use; repeating it changes nothing."""
+        self.open = False
 
     def initialize(self) -> Store:
         """Writes the schema receipt, or refuses a root that has another."""
@@ -32,30 +46,46 @@ class Store:
             write_atomic(self.spark, f"{self.root}/_schema.json", json.dumps(want, sort_keys=True))
         elif json.loads(have) != want:
             raise RuntimeError("the store has another schema or other dimensions")
+        self.open = True
         return self
 
-    def _state(self, table: str) -> dict:
-        text = read_text(self.spark, f"{self.root}/{table}/_current.json")
-        return json.loads(text) if text else {"snapshot": None, "batches": [], "seq": 0, "next_id": 1}
-
-    def _save(self, table: str, state: dict) -> None:
-        write_atomic(self.spark, f"{self.root}/{table}/_current.json", json.dumps(state))
-
-    def append(self, table: str, changes: DataFrame, op: str = "upsert") -> None:
-        """Adds whole row images (op upsert) or keys (op delete); later batches win."""
+    def _state(self, table: str) -> tuple[int, dict]:
+        """(version, state) of a table."""
+        if not self.open:
+            raise RuntimeError("the store is not initialised, or closed")
+        if table not in TABLES:
+            raise ValueError(f"unknown table {table!r}")
+        last = [n for n in names(self.spark, f"{self.root}/{table}/state") if n.endswith(".json")]
+        if not last:
+            return 0, {"snapshot": None, "batches": [], "next_id": 1}
+        return int(last[-1][:-5]), json.loads(read_text(self.spark, f"{self.root}/{table}/state/{last[-1]}"))
+
+    def _commit(self, table: str, change: Callable[[dict], dict], base: int | None = None) -> dict:
+        """Makes change(state) the next state; with `base` only if that is still the table's version, else Conflict."""
+        for _ in range(self.ATTEMPTS):
+            version, state = self._state(table)
+            if base is not None and version != base:
+                raise Conflict(f"{table} has changed since it was read")
+            new = change(json.loads(json.dumps(state)))
+            if create_once(self.spark, f"{self.root}/{table}/state/{version + 1:020d}.json", json.dumps(new)):
+                if version > self.KEEP:
+                    remove(self.spark, f"{self.root}/{table}/state/{version - self.KEEP:020d}.json")
+                return new
+        raise Conflict(f"{table}: {self.ATTEMPTS} attempts to commit failed")
+
+    def append(self, table: str, changes: DataFrame, op: str = "upsert", *, base: int | None = None) -> None:
+        """Adds whole row images (op upsert) or keys (op delete); batches committed later win."""
         if op not in ("upsert", "delete"):
             raise ValueError(f"unknown op {op!r}")
-        state, batch = self._state(table), uuid.uuid4().hex
+        batch = uuid.uuid4().hex
         rows = with_defaults(changes, table) if op == "upsert" else changes.select(*KEYS[table], *[F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table].fields if f.name not in KEYS[table]]).select(*TABLES[table].names)
-        rows.withColumn("op", F.lit(op)).withColumn("seq", F.lit(state["seq"] + 1).cast("long")).write.parquet(f"{self.root}/{table}/log/{batch}")
-        state["batches"].append(batch)
-        state["seq"] += 1
-        self._save(table, state)
+        rows.withColumn("op", F.lit(op)).write.parquet(f"{self.root}/{table}/log/{batch}")
+        state = self._commit(table, lambda s: s | {"batches": [*s["batches"], batch]}, base)
+        if len(state["batches"]) >= self.compact_at:
+            self.compact(table)
 
     def insert(self, table: str, rows: DataFrame) -> DataFrame:
-        """Rows without id get ids above all that ever were, in no promised order; returns what was stored."""
-        state = self._state(table)
-        start = state["next_id"]
+        """Rows without id get ids above all that ever were, in the order of the rows; returns what was stored."""
         # Rows are staged with ids that grow by partition; offsets of the partitions then close the gaps, so that no
         # task numbers all rows and a repeated task gives the same ids.
         stage = f"{self.root}/{table}/staging/{uuid.uuid4().hex}"
@@ -63,48 +93,98 @@ class Store:
         part = self.spark.read.parquet(stage).withColumn("_p", F.shiftright("_m", 33))
         counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
         before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        out = part.join(F.broadcast(before), "_p").withColumn("id", F.col("_m") - F.col("_first") + F.col("_before") + start).drop("_p", "_m", "_n", "_first", "_before")
         n = part.count()
-        state["next_id"] = start + n
-        self._save(table, state)
+        start = self._commit(table, lambda s: s | {"next_id": s["next_id"] + n})["next_id"] - n
+        out = part.join(F.broadcast(before), "_p").withColumn("id", F.col("_m") - F.col("_first") + F.col("_before") + start).drop("_p", "_m", "_n", "_first", "_before")
         self.append(table, out)
+        remove(self.spark, stage)
         return self.current(table).filter((F.col("id") >= start) & (F.col("id") < start + n))
 
-    def current(self, table: str) -> DataFrame:
-        """The last image of each key that was not deleted."""
-        state, schema = self._state(table), TABLES[table]
-        parts = [self.spark.read.parquet(f"{self.root}/{table}/log/{b}") for b in state["batches"]]
+    def _read(self, table: str, state: dict) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.root}/{table}/log/{b}").withColumn("seq", F.lit(i + 1)) for i, b in enumerate(state["batches"])]
         if state["snapshot"]:
-            parts.append(self.spark.read.parquet(f"{self.root}/{table}/snapshot/{state['snapshot']}").withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(0).cast("long")))
+            parts.append(self.spark.read.parquet(f"{self.root}/{table}/snapshot/{state['snapshot']}").withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(0)))
         if not parts:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], TABLES[table])
         log = parts[0]
         for p in parts[1:]:
             log = log.unionByName(p)
+        if not state["batches"]:
+            return log.select(*TABLES[table].names)
         w = Window.partitionBy(*KEYS[table]).orderBy(F.col("seq").desc())
-        return log.withColumn("_r", F.row_number().over(w)).filter("_r = 1 and op = 'upsert'").select(*schema.names)
+        return log.withColumn("_r", F.row_number().over(w)).filter("_r = 1 and op = 'upsert'").select(*TABLES[table].names)
 
-    def update(self, table: str, condition, changes: dict) -> int:
-        """New images of the rows that meet `condition`; returns how many there were."""
-        hit = self.current(table).filter(condition)
-        n = hit.count()
-        if n and changes:
-            self.append(table, hit.withColumns(changes))
-        return n
-
-    def invalidate(self, ids: list[int], at) -> int:
-        """Marks live memories as no longer valid."""
-        return self.update("memories", F.col("id").isin(ids) & F.col("invalid_at").isNull(), {"invalid_at": at})
+    def current(self, table: str) -> DataFrame:
+        """The last image of each key that was not deleted."""
+        return self._read(table, self._state(table)[1])
+
+    def update(self, table: str, condition: Column, changes: dict[str, Column]) -> int:
+        """New images of the rows that meet `condition`; returns how many there were. Rows that another writer changes
+        meanwhile are read again."""
+        for _ in range(self.ATTEMPTS):
+            version, state = self._state(table)
+            hit = self._read(table, state).filter(condition)
+            n = hit.count()
+            if not n or not changes:
+                return n
+            try:
+                self.append(table, hit.withColumns(changes), base=version)
+                return n
+            except Conflict:
+                continue
+        raise Conflict(f"{table}: {self.ATTEMPTS} attempts to update failed")
+
+    def update_from(self, table: str, changes: DataFrame) -> int:
+        """Many keyed updates at once: `changes` has the table's key and new values of some columns; returns how many rows they met."""
+        keys = KEYS[table]
+        new = [c for c in changes.columns if c not in keys]
+        for _ in range(self.ATTEMPTS):
+            version, state = self._state(table)
+            hit = self._read(table, state).drop(*new).join(changes, keys)
+            n = hit.count()
+            if not n:
+                return 0
+            try:
+                self.append(table, hit, base=version)
+                return n
+            except Conflict:
+                continue
+        raise Conflict(f"{table}: {self.ATTEMPTS} attempts to update failed")
+
+    def set_vector(self, table: str, row_id: int, agent: str, vector: list[float]) -> None:
+        """Replaces one row's vector; it must have the store's dimensions and meet exactly one row."""
+        if len(vector) != self.dimensions or not all(abs(x) < float("inf") for x in vector):
+            raise ValueError(f"a vector needs {self.dimensions} finite numbers")
+        n = self.update(table, (F.col("id") == row_id) & (F.col("agent") == agent), {"embedding": F.lit([float(x) for x in vector]).cast("array<float>")})
+        if n != 1:
+            raise RuntimeError(f"{n} rows have this id and agent, not one")
+
+    def invalidate(self, ids: list[int], at: Column, agent: str) -> int:
+        """Marks an agent's live memories as no longer valid; those of other agents are left alone."""
+        return self.update("memories", F.col("id").isin(ids) & (F.col("agent") == agent) & F.col("invalid_at").isNull(), {"invalid_at": at})
 
     def delete(self, table: str, keys: DataFrame) -> None:
         self.append(table, keys, "delete")
 
     def compact(self, table: str) -> None:
-        """Writes the current rows as a snapshot sorted by agent, and points to it."""
-        state, name = self._state(table), uuid.uuid4().hex
-        cur = self.current(table)
-        cur.repartitionByRange("agent").sortWithinPartitions("agent", *KEYS[table]).write.parquet(f"{self.root}/{table}/snapshot/{name}")
-        self._save(table, state | {"snapshot": name, "batches": []})
+        """Writes the current rows as a snapshot sorted by agent, and points to it; batches that come meanwhile stay."""
+        state, name = self._state(table)[1], uuid.uuid4().hex
+        cur = self._read(table, state)
+        order = [c for c in KEYS[table] if c != "agent"]
+        cur.repartitionByRange("agent").sortWithinPartitions("agent", *order).write.parquet(f"{self.root}/{table}/snapshot/{name}")
+        taken = state["batches"]
+
+        def point(s: dict) -> dict:
+            if s["snapshot"] != state["snapshot"] or s["batches"][: len(taken)] != taken:
+                return s  # another writer has compacted it; this snapshot stays unused
+            return s | {"snapshot": name, "batches": s["batches"][len(taken) :]}
+
+        self._commit(table, point)
+
+    def fetch_value(self, df: DataFrame):
+        """The first column of the first row, None without rows."""
+        row = df.first()
+        return row[0] if row else None
 
     def check(self, table: str) -> None:
         check_contract(self.current(table), table, self.dimensions)
