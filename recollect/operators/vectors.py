@@ -215,7 +215,7 @@ class LshIndex:
     def for_rows(cls, dimensions: int, rows: int, **options: int) -> LshIndex:
         """An index for so many rows."""
         bits = max(4, math.ceil(math.log2(max(1, rows) / cls.ROWS_A_BUCKET)))
-        return cls(dimensions, **({"bits": min(bits, 30), "probes": min(bits, 30), "tables": 16} | options))
+        return cls(dimensions, **({"bits": min(bits, 30), "probes": 2, "tables": 12} | options))
 
     def planes(self) -> np.ndarray:
         return np.random.default_rng(self.seed).standard_normal((self.tables, self.bits, self.dimensions))
