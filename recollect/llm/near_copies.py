@@ -18,11 +18,13 @@ from .simhash import FOLD
 WIDTH, SIMILARITY = 5, 0.8
 #: Two sets at 0.8 share none of BANDS bands of DEPTH minima with probability (1 - 0.8 ** 6) ** 48 < 1e-6; less if closer.
 BANDS, DEPTH = 48, 6
-#: Shingles whose minima are taken at once, and pairs whose texts travel in one Arrow batch; both bound memory.
-CHUNK, PAIR_ROWS = 4096, 100
+#: Shingles whose minima are taken at once (a cache's worth), and pairs whose texts travel in one Arrow batch; both bound memory.
+CHUNK, PAIR_ROWS = 512, 100
+#: Bytes of texts whose shingles a task keeps while it compares pairs.
+KEPT_BYTES = 4 << 20
 _rng = np.random.default_rng(5)
-FACTORS = _rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-TERMS = _rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64)
+FACTORS = _rng.integers(0, 1 << 31, BANDS * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1)
+TERMS = _rng.integers(0, 1 << 32, BANDS * DEPTH, np.uint32)
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -41,9 +43,12 @@ def bands(s: np.ndarray) -> list[int]:
     """A hash of each band of minima; none for a text without words."""
     if not len(s):
         return []
-    low = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-    for c in range(0, len(s), CHUNK):
-        low = np.minimum(low, (FACTORS[:, None] * s[None, c : c + CHUNK] + TERMS[:, None]).min(axis=1))
+    x = s.astype(np.uint32)  # the minima are over 32 bits of each shingle's hash; the sets that decide have all 64
+    low = np.full(BANDS * DEPTH, np.iinfo(np.uint32).max, np.uint32)
+    for c in range(0, len(x), CHUNK):
+        h = FACTORS[:, None] * x[None, c : c + CHUNK]
+        h += TERMS[:, None]
+        np.minimum(low, h.min(axis=1), out=low)
     return [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, DEPTH))]
 
 
@@ -54,8 +59,22 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: dict[bytes, np.ndarray] = {}
+    size = 0
+
+    def sets(text: bytes | None) -> np.ndarray:
+        nonlocal size
+        text = text or b""
+        if text not in kept:
+            if size > KEPT_BYTES:
+                kept.clear()
+                size = 0
+            kept[text] = shingles(text)
+            size += len(text)
+        return kept[text]
+
     for b in batches:
-        keep = [similarity(shingles(x.as_py()), shingles(y.as_py())) >= SIMILARITY for x, y in zip(b.column("ta"), b.column("tb"), strict=True)]
+        keep = [similarity(sets(x.as_py()), sets(y.as_py())) >= SIMILARITY for x, y in zip(b.column("ta"), b.column("tb"), strict=True)]
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
