@@ -84,6 +84,7 @@ def _drop_similar(rows: DataFrame, bands: DataFrame, pairs: DataFrame, scratch:
     texts = scratch.write(rows.select("th", "text").join(both, "th", "left_semi").dropDuplicates(["th"]), f"{step}_texts")
     a, b = texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), texts.select(F.col("th").alias("b"), F.col("text").alias("tb"))
     edges = scratch.write(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"), f"{step}_edges", rows=PAIR_ROWS)
+    scratch.drop(f"{step}_texts")
     roots = connected_components(edges, scratch, f"{step}_cc")
     named = bands.select("dk", "th").join(roots.withColumnRenamed("node", "th"), "th")
     stays = named.groupBy("root").agg(F.min(F.struct("dk", "th")).alias("k")).select("root", F.col("k.th").alias("first"))
@@ -102,6 +103,7 @@ def without_near_copies(docs: DataFrame, kept: DataFrame) -> DataFrame:
     rows = keyed(docs).select("dk", "th", F.col("text").cast("binary").alias("text"))
     found = scratch.write(rows.mapInArrow(_bands, "dk long, th long, h array<long>"), "bands")
     found = scratch.write(found.join(kept, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"]), "kept")
+    scratch.drop("bands")
 
     def flat(df: DataFrame) -> DataFrame:
         return df.select(F.struct("dk", "th").alias("k"), F.explode("h").alias("h"))
@@ -110,7 +112,9 @@ def without_near_copies(docs: DataFrame, kept: DataFrame) -> DataFrame:
     lead = flat(found).join(lead.select("h", "first"), "h").filter("k <> first")
     lead = scratch.write(lead.select(F.col("first.th").alias("a"), F.col("k.th").alias("b")).distinct(), "lead")
     found = _drop_similar(rows, found, lead, scratch, "lead")
+    scratch.drop("kept")
     x, y = flat(found), flat(found).withColumnRenamed("k", "k2")
     rest = x.join(y, "h").filter("k < k2").select(F.col("k.th").alias("a"), F.col("k2.th").alias("b")).distinct()
     rest = scratch.write(rest.join(lead, ["a", "b"], "left_anti"), "rest")
+    scratch.drop("lead")
     return _drop_similar(rows, found, rest, scratch, "rest").select("dk", "th")
