@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, hamming_search, html_extract, langid, mixing, sharding, simhash, substring_dedup, suffix_dedup, warc
+from . import decontamination, hamming_search, html_extract, langid, mixing, resampling, sharding, simhash, spelling, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 SQL = {
@@ -24,4 +27,6 @@ SQL = {
     "op8_sharding": sharding.OP8_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
     "op10_suffix_dedup": suffix_dedup.OP10_SQL,
+    "op11_resampling": resampling.OP11_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
