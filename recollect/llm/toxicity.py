@@ -24,6 +24,8 @@ from .common import Scratch, table, text_key
 DOCS_PER_CLASS = 10_000
 #: Values of the hash of a term, and the terms of the machine: those whose documents differ most by class.
 HASHED, TERMS = 1 << 22, 4096
+#: How sure that difference must be, in standard deviations.
+STRONG = 2.5
 #: Beginnings of longer words that are terms of their own, in characters.
 HEADS = (3, 4, 5, 6, 7)
 FACTORS, EPOCHS, RATE, DECAY = 8, 30, 0.1, (1e-4, 1e-3)
@@ -146,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, id_col: str =
     n = texts.mapInArrow(_document_counts, "term long, toxic int, n long").groupBy("term").agg(F.sum(F.col("n") * F.col("toxic")).alias("a"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (a + 1)) - F.log((F.col("b") + 0.5) / (b + 1))
     strong = F.abs(odds) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = n.filter("a + b >= 3").select("term", strong.alias("z")).orderBy(F.desc("z"), "term").limit(TERMS).collect()
+    best = n.filter("a + b >= 3").select("term", strong.alias("z")).filter(F.col("z") >= STRONG).orderBy(F.desc("z"), "term").limit(TERMS).collect()
     place = {r["term"]: i for i, r in enumerate(best)}
     machine = Machine(place, float(np.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5))), np.zeros(len(place) + _SIZES), np.random.default_rng(7).normal(0, 0.05, (len(place) + _SIZES, FACTORS)))
 
