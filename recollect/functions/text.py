@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 WORD = r"[\p{L}\p{N}_]+"
 DIMENSIONS = 128
 
@@ -63,11 +65,12 @@ def hashed(words: Column, dimensions: int = DIMENSIONS) -> Column:
             pairs = pc.binary_join_element_wise(flat[:-1], flat[1:], "_").filter(pa.array(near)) if len(flat) > 1 else flat[:0]
             for tokens_, rows in ((flat, row), (pairs, row[1:][near])):
                 codes = tokens_.dictionary_encode()
-                h = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in codes.dictionary.to_pylist()]
-                at = np.array([int.from_bytes(x[:4], "big") % dimensions for x in h], np.int64)
-                sign_ = np.array([1 - 2 * (x[4] & 1) for x in h], np.int32)
+                h = b"".join([md5(t.as_buffer(), usedforsecurity=False).digest() for t in codes.dictionary.cast(pa.large_binary())])
+                h = np.frombuffer(h, np.uint8).reshape(-1, 16)
+                at = (h[:, :4].copy().view(">u4")[:, 0] % dimensions).astype(np.int64)
+                sign_ = 1 - 2 * (h[:, 4] & 1).astype(np.int8)
                 code = codes.indices.to_numpy(zero_copy_only=False)
-                np.add.at(out, (rows, at[code]), sign_[code])
+                out += np.bincount(rows * dimensions + at[code], sign_[code], out.size).astype(np.int32).reshape(out.shape)
             yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions, dtype=np.int32)), pa.array(out.ravel()))
 
     return run(words)
@@ -76,7 +79,7 @@ def hashed(words: Column, dimensions: int = DIMENSIONS) -> Column:
 def hash_embed(df: DataFrame, key: str, text: str, out: str = "counts", dimensions: int = DIMENSIONS) -> DataFrame:
     """`df` with `out`, the dense array of whole-number counts per bucket (all zero for a text without words)."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    return df.withColumn(out, hashed(words, dimensions))
+    return spread(df).withColumn(out, hashed(words, dimensions))
 
 
 def hash_counts(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -121,6 +121,12 @@ def run_phases(df: DataFrame, as_of: Column, *, dry_run: bool = True) -> tuple[D
 SURPRISE, UTILITY, LOOKBACK = 0.3, 0.6, 50
 
 
+def newest(history: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
+    """The newest live rows of each agent, all that `route` looks at: a caller that embeds them embeds no others."""
+    w = Window.partitionBy("agent").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return live(history).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= lookback).drop("_r")
+
+
 def route(candidates: DataFrame, history: DataFrame, *, surprise: float = 0, utility: float = 0, lookback: int = LOOKBACK) -> DataFrame:
     """Routes candidates (agent, cand_id, vec, utility) by what the agent's `lookback` newest memories already hold.
 
@@ -129,8 +135,7 @@ def route(candidates: DataFrame, history: DataFrame, *, surprise: float = 0, uti
     is cut before the join, so a candidate meets at most `lookback` rows.
     """
     s, u = surprise or SURPRISE, utility or UTILITY
-    w = Window.partitionBy("agent").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    past = live(history).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= lookback).filter(F.col("vec").isNotNull()).select("agent", F.col("vec").alias("_v"), norm(F.col("vec")).alias("_vn"))
+    past = newest(history, lookback).filter(F.col("vec").isNotNull()).select("agent", F.col("vec").alias("_v"), norm(F.col("vec")).alias("_vn"))
     candidates = candidates.withColumn("_cn", norm(F.col("vec")))
     sim = candidates.join(past, "agent", "left").groupBy("agent", "cand_id", "utility").agg(F.coalesce(F.greatest(F.lit(0.0), F.max(F.when(F.col("_v").isNotNull(), cosine(F.col("vec"), F.col("_v"), F.col("_cn"), F.col("_vn"))))), F.lit(0.0)).alias("max_similarity"))
     out = sim.withColumn("surprise", 1 - F.col("max_similarity")).withColumn("rpe", F.col("surprise") * F.col("utility"))

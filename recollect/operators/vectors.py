@@ -9,12 +9,12 @@ from dataclasses import asdict, dataclass
 from typing import ClassVar
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from .blocks import BROADCAST_ROWS, per_block
 
 #: Rows of one block of a pairwise comparison; a task compares two blocks.
@@ -122,22 +122,15 @@ def knn_blocks(queries: DataFrame, base: DataFrame, k: int | None, *, on: str =
     Similarities are rounded to 12 places, so that equal vectors tie whatever block they are in.
     """
     rows = base.filter(usable(F.col(vec), 1)).select(F.col(on).cast("string").alias("g"), F.col(key).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    parts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+    parts = base.select(F.col(on).cast("string").alias("g")).groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
     rows = rows.join(parts, "g").select("g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("p"), "id", "v")
     asked = queries.select(F.col(on).cast("string").alias("g"), F.col(query_id).cast("long").alias("query_id"), F.transform(query_vec, lambda x: x.cast("double")).alias("v"))
     asked = asked.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "query_id", "v")
 
-    def matrix(col: pa.ChunkedArray) -> np.ndarray:
-        col = col.combine_chunks()
-        sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False)
-        m = np.zeros((len(sizes), int(sizes.max(initial=0))))
-        m[np.arange(m.shape[1]) < sizes[:, None]] = pc.fill_null(col.flatten(), 0.0).to_numpy(zero_copy_only=False)
-        return np.divide(m, (length := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=length > 0)
-
     def compare(asked: pa.Table, rows: pa.Table) -> pa.Table:
         if not asked.num_rows or not rows.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        q, m, ids = matrix(asked["v"]), matrix(rows["v"]), rows["id"].to_numpy()
+        q, m, ids = _matrix(asked["v"]), _matrix(rows["v"]), rows["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         m, ids, width = m[order], ids[order], min(q.shape[1], m.shape[1])
         sim = np.round(q[:, :width] @ m[:, :width].T, 12)
@@ -148,43 +141,164 @@ def knn_blocks(queries: DataFrame, base: DataFrame, k: int | None, *, on: str =
     return asked.groupBy("g", "p").cogroup(rows.groupBy("g", "p")).applyInArrow(compare, "query_id long, id long, similarity double")
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Unit vectors that divide a space: a row belongs to the nearest of the first m of them.
+
+    They are chosen by k-means++ and moved by k-means on a bounded sample; each is as far from those before it as chance
+    allows, so that the first few divide a small set as all of them do a large one.
+    """
+
+    centres: np.ndarray
+
+    SAMPLE: ClassVar[int] = 20_000
+    MOST: ClassVar[int] = 256
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, n: int, vec: str = "v", key: str = "k", seed: int = 11, rounds: int = 8) -> Cells:
+        """At most `n` cells of (key, vec) rows, learnt from SAMPLE rows by the hash of their key; vectors without length do not count."""
+        if n <= 1:
+            return cls(np.zeros((1, 1)))
+        got = vectors.filter(~is_zero(F.col(vec))).orderBy(F.xxhash64(key), key).limit(cls.SAMPLE).select(F.transform(vec, lambda x: x.cast("double")).alias("v")).collect()
+        m = np.zeros((len(got), max([1, *(len(r["v"]) for r in got)])))
+        for i, r in enumerate(got):
+            m[i, : len(r["v"])] = np.nan_to_num(np.array(r["v"], float))
+        m = np.divide(m, (size := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=size > 0)
+        if not len(m):
+            return cls(np.zeros((1, 1)))
+        r = np.random.default_rng(seed)
+        centres, far = [m[0]], 1 - m @ m[0]
+        while len(centres) < min(n, len(m)) and far.max() > 1e-9:
+            pick = m[r.choice(len(m), p=np.clip(far, 0, None) / np.clip(far, 0, None).sum())]
+            centres.append(pick)
+            far = np.minimum(far, 1 - m @ pick)
+        c = np.array(centres)
+        for _ in range(rounds):
+            own = np.argmax(m @ c.T, axis=1)
+            total = np.zeros_like(c)
+            np.add.at(total, own, m)
+            size = np.linalg.norm(total, axis=1, keepdims=True)
+            c = np.where(size > 0, total / np.where(size > 0, size, 1), c)
+        return cls(c)
+
+    def angles(self, unit: np.ndarray) -> np.ndarray:
+        """The angles of unit rows and all centres; a row without length is at a right angle to all."""
+        width = min(unit.shape[1], self.centres.shape[1])
+        return np.arccos(np.clip(unit[:, :width] @ self.centres[:, :width].T, -1, 1))
+
+
+def _matrix(col: pa.Array | pa.ChunkedArray, unit: bool = True) -> np.ndarray:
+    """Lists of numbers as the rows of a matrix, filled up with zeros; as unit vectors unless they have no length."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    m = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    m[np.arange(m.shape[1]) < sizes[:, None]] = pc.fill_null(col.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    return np.divide(m, (length := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=length > 0) if unit else m
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    sizes = np.fromiter((len(x) for x in rows), np.int64, len(rows))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), kind))
+
+
+def _close_pairs(rows: DataFrame, threshold: float, scratch: Scratch, block: int, keep: int | None) -> DataFrame:
+    """(g, a, b, similarity) of pairs of different rows (g, k, v) of a group with cosine >= threshold, once or (`keep`) the best of each a.
+
+    A group of more than one block is divided into cells. A row can only be as close as the threshold asks to rows of
+    a cell whose centre is no farther from it than the threshold's angle and the cell's radius together; so it is sent
+    to the blocks of those cells alone, and a pair of blocks compares just the rows that either side may match.
+    """
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    sizes = scratch.write(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    cells = Cells.fit(rows, min(Cells.MOST, 4 * -(-largest // block)) if largest > block else 1)
+    used = F.when(F.col("n") <= block, 1).otherwise(F.least(F.lit(len(cells.centres)), 4 * F.ceil(F.col("n") / block))).cast("int")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = cells.angles(_matrix(b.column(2)))
+            out = np.arange(far.shape[1]) >= b.column(3).to_numpy()[:, None]
+            cell = np.argmin(np.where(out, np.inf, far), axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["g", "k", "v", "cell", "far"])
+
+    placed = rows.join(sizes, "g").select("g", "k", "v", used.alias("used"))
+    placed = scratch.write(placed.mapInArrow(place, placed.drop("used").withColumns({"cell": F.lit(0), "far": F.lit(0.0)}).schema), "placed")
+    per = placed.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("subs"), F.max("far").alias("radius"))
+    per = per.groupBy("g").agg(F.collect_list(F.struct("cell", "subs", "radius")).alias("cells"))
+    sub = F.pmod(F.xxhash64("k"), F.element_at(F.filter("cells", lambda c: c["cell"] == F.col("cell")), 1)["subs"])
+    own = (F.col("cell").cast("long") * (1 << 32) + sub).alias("own")
+    rows = placed.join(per, "g").select("g", "k", "v", own, F.transform("cells", lambda c: c["cell"]).alias("c"), F.transform("cells", lambda c: c["subs"]).alias("s"), F.transform("cells", lambda c: c["radius"]).alias("r"))
+
+    @F.arrow_udf("array<long>")
+    def blocks(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for v, c, s, r in batches:
+            far, out = cells.angles(_matrix(v)), []
+            for i in range(len(v)):
+                cell, subs = np.array(c[i].as_py()), np.array(s[i].as_py())
+                near = (far[i, cell] <= reach + np.array(r[i].as_py())) | (len(cell) == 1)
+                cell, subs = cell[near], subs[near]
+                at = np.repeat(cell.astype(np.int64) << 32, subs)
+                out.append(at + (np.arange(len(at)) - np.repeat(np.cumsum(subs) - subs, subs)))
+            yield _lists(out, pa.int64())
+
+    to = F.explode(F.array_union(blocks("v", "c", "s", "r"), F.array("own"))).alias("to")
+    sent = rows.select("g", "k", "v", "own", to).select("g", "k", "v", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        at, to, own, ids = t["i"][0].as_py(), t["j"][0].as_py(), t["own"].to_numpy(), t["k"].to_numpy()
+        m = _matrix(t["v"])
+        x, y = np.flatnonzero(own == at), np.flatnonzero(own == to)
+        sim = m[x] @ m[y].T
+        r, c = np.nonzero(sim >= threshold - 1e-12)
+        a, b, s = ids[x[r]], ids[y[c]], sim[r, c]
+        ok = a < b if at == to else a != b
+        a, b, s = a[ok], b[ok], s[ok]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        if keep is not None:
+            a, b, s = np.r_[a, b], np.r_[b, a], np.r_[s, s]
+            order = np.lexsort((b, -s, a))
+            a, b, s = a[order], b[order], s[order]
+            first = np.searchsorted(a, a, "left")
+            best = np.arange(len(a)) - first < keep
+            a, b, s = a[best], b[best], s[best]
+        return pa.table({"g": pa.array([t["g"][0].as_py()] * len(a), t.schema.field("g").type), "a": a, "b": b, "similarity": s})
+
+    return sent.groupBy("g", "i", "j").applyInArrow(compare, f"g {rows.schema['g'].dataType.simpleString()}, a long, b long, similarity double")
+
+
 def similar_pairs(df: DataFrame, threshold: float, *, group: str = "agent", key: str = "id", vec: str = "vec", ordered: bool = False, block: int = BLOCK, limit: int | None = None) -> DataFrame:
     """(group, a, b, similarity) of the pairs in a group with cosine >= threshold; a < b, or both ways if `ordered`.
 
-    A group is dealt into blocks of about `block` rows by a hash of the id, and each pair of blocks is one matrix
-    product; so no task holds more than two blocks, however large a group is. With `limit` (and `ordered`) of each a
-    only that many of the nearest b leave a block, ties by id, which is all that any `limit` nearest are among.
+    Vectors are read once. Equal ones are compared as one and told apart again at the end; pairs of blocks then hold
+    only rows that may be close enough, so no task holds more than two blocks, however large a group is. With `limit`
+    (and `ordered`) at least the `limit` nearest b of each a are given, ties by id, and of copies no more than that.
     """
+    scratch = Scratch(df.sparkSession)
     rows = df.filter(usable(F.col(vec))).select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
-    rows = rows.join(sizes, "g").withColumn("own", own)
-    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    rows = rows.select("g", "k", "v", "own", F.explode(pair).alias("p")).select("g", "k", "v", "own", "p.i", "p.j")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        size = max(map(len, pdf["v"]))
-        m = np.zeros((len(pdf), size))
-        for n, v in enumerate(pdf["v"]):
-            m[n, : len(v)] = v
-        length = np.sqrt((m * m).sum(axis=1))
-        ids, own_ = pdf["k"].to_numpy(), pdf["own"].to_numpy()
-        x, y = np.flatnonzero(own_ == i), np.flatnonzero(own_ == j)
-        scale = length[x][:, None] * length[y][None, :]
-        sim = np.divide(m[x] @ m[y].T, scale, out=np.zeros_like(scale), where=scale > 0)
-        r, c = np.nonzero(sim >= threshold)
-        a, b, s = ids[x[r]], ids[y[c]], sim[r, c]
-        keep = a < b if i == j else a != b
-        a, b, s = a[keep], b[keep], s[keep]
-        out = pd.DataFrame({"g": pdf["g"].iloc[0], "a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
-        if not ordered:
-            return out
-        out = pd.concat([out, out.rename(columns={"a": "b", "b": "a"})])
-        return out if limit is None else out.sort_values(["a", "similarity", "b"], ascending=[True, False, True]).groupby("a", sort=False).head(limit)
-
-    schema = f"g {rows.schema['g'].dataType.simpleString()}, a long, b long, similarity double"
-    return rows.groupBy("g", "i", "j").applyInPandas(compare, schema).withColumnRenamed("g", group)
+    rows = rows if threshold <= 0 else rows.filter(~is_zero(F.col("v")))
+    rows = scratch.write(rows.withColumn("h", F.xxhash64("v")), "rows")
+    same = Window.partitionBy("g", "h", "v")
+    copies = rows.select("g", "k", "h").join(rows.groupBy("g", "h").count().filter("count > 1").drop("count"), ["g", "h"], "left_semi")
+    few = scratch.write(copies, "copies")
+    kept = None if limit is None or not ordered else limit + 1
+    if few.isEmpty():
+        out = _close_pairs(rows.select("g", "k", "v"), threshold, scratch, block, kept)
+    else:
+        alike = rows.join(few.select("g", "k"), ["g", "k"], "left_semi").withColumn("rep", F.min("k").over(same)).select("g", "k", "rep")
+        alike = scratch.write(alike, "alike")
+        single = rows.join(alike.filter("k <> rep"), ["g", "k"], "left_anti").select("g", "k", "v")
+        pairs = scratch.write(_close_pairs(single, threshold, scratch, block, kept), "pairs")
+        members = alike.withColumn("_n", F.row_number().over(Window.partitionBy("g", "rep").orderBy("k")))
+        seen = members if kept is None else members.filter(F.col("_n") <= kept)
+        left = members.select("g", F.col("rep").alias("a"), F.col("k").alias("ka"))
+        right = seen.select("g", F.col("rep").alias("b"), F.col("k").alias("kb"))
+        wide = pairs.join(left, ["g", "a"], "left").join(right, ["g", "b"], "left").select("g", F.coalesce("ka", "a").alias("a"), F.coalesce("kb", "b").alias("b"), "similarity")
+        own = left.join(right.withColumnRenamed("b", "a"), ["g", "a"]).filter("ka <> kb" if kept is not None else "ka < kb")
+        one = own.select("g", F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit(1.0).alias("similarity")).filter(F.lit(1.0) >= threshold)
+        out = (wide if kept is not None else wide.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")).unionByName(one)
+    if ordered and kept is None:
+        out = out.unionByName(out.select("g", F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    return out.select(F.col("g").alias(group), "a", "b", "similarity")
 
 
 def neighbours(df: DataFrame, threshold: float, limit: int, **names: str) -> DataFrame:

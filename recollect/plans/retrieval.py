@@ -89,9 +89,9 @@ SQL["search_literal_fallback"] = search_sql("", LITERAL.replace("100", "1", 1))
 def search_context(spark, sf):
     """Each item is asked in the context of the conversation of the same number."""
     conv = W.table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"]).alias("lines"))
-    q = W.queries(spark, sf).drop("query_vec").join(conv, F.col("query_id") == F.col("conv_id"), "left")
+    q = W.asked(spark, sf).join(conv, F.col("query_id") == F.col("conv_id"), "left")
     q = q.withColumn("asked", X.contextualize(F.col("query"), F.coalesce("lines", F.array().cast("array<string>")), 2000))
-    q = X.hash_embed(q, "query_id", "asked", "query_vec")
+    q = W.embedded(q, "query_id", "asked").withColumnRenamed("vec", "query_vec")
     out = M.search(W.embedded(W.memories(spark, sf)), q, W.as_of(), limit=5)
     return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
 

@@ -52,7 +52,7 @@ def sleep_consolidate(spark, sf):
 def dmem_route(spark, sf):
     """Every conversation turn, as a candidate of the agent that its conversation belongs to, against its newest memories."""
     c = W.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("cand_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("agent"), "text", ((F.col("turn") % 10) / F.lit(10.0)).alias("utility"))
-    out = C.route(X.hash_embed(c, "cand_id", "text", "vec"), W.embedded(W.memories(spark, sf)))
+    out = C.route(W.embedded(c, "cand_id", "text"), W.embedded(C.newest(W.memories(spark, sf))))
     return out.select("cand_id", "agent", F.round("max_similarity", 6).alias("max_similarity"), F.round("surprise", 6).alias("surprise"), F.round("rpe", 6).alias("rpe"), "route")
 
 

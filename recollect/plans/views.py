@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import Scratch
 
 CATEGORIES = ("fact", "emotion", "humor", "dynamic", "pattern", "insight", "preference", "decision", "trust", "correction", "milestone")
 #: 2026-07-01 and 2025-01-01, UTC.
@@ -53,13 +54,18 @@ def hash_sql(name: str, source: str, key: str, text: str) -> str:
 
 
 def embedded(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    return X.hash_embed(df, key, text, "vec")
+    """The table with its vectors, stored, so that a query that reads them several times computes them once."""
+    return Scratch(df.sparkSession).write(X.hash_embed(df, key, text, "vec"), "embedded")
+
+
+def asked(spark: SparkSession, sf: str, per_agent: int = 20) -> DataFrame:
+    """Every benchmark item as a question to one agent."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % per_agent).cast("string")).alias("agent"), F.col("text").alias("query"))
 
 
 def queries(spark: SparkSession, sf: str, per_agent: int = 20) -> DataFrame:
-    """Every benchmark item as a query to one agent."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % per_agent).cast("string")).alias("agent"), F.col("text").alias("query"))
-    return X.hash_embed(q, "query_id", "query", "query_vec")
+    """The questions with their vectors."""
+    return embedded(asked(spark, sf, per_agent), "query_id", "query").withColumnRenamed("vec", "query_vec")
 
 
 QUERIES_SQL = "qry AS (SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS agent, text AS query FROM benchmark)"

@@ -14,6 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 500
 
 
+#: A table that is estimated at less than this a core is dealt over all cores before heavy work.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small table over all cores, as one of a single file or row group would be a single task.
+
+    A large table is left as its files are split, so nothing is shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder under spark.checkpoint.dir. Only a local session without that setting gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
