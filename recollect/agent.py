@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from .operators import consolidation as C
 from .operators import integrity as I
 from .operators import memory as M
 from .operators import vectors as V
+from .operators.vector_index import StoredIndex
 from .schema import TABLES
-from .sources.files import read_text, write_atomic
+from .sources.files import names
 from .sources.providers import HashEmbedder
 from .sources.store import Store
 from .verbs import Graph, Identity, Instincts, Procedures, Reflections, Rules, now
@@ -79,8 +82,11 @@ class Agent:
         q = self.spark.createDataFrame([(0, self.name, query)], "query_id long, agent string, query string")
         q = q.withColumn("query", X.contextualize(F.col("query"), F.array(*[F.lit(x) for x in lines]) if lines else None))
         q = self.embedder.embed(q, "query_id", "query", "query_vec")
-        hits = M.search(self._mine("memories").withColumnRenamed("embedding", "vec"), q, as_of if as_of is not None else self.now(), **options)
-        return hits.join(self._mine("memories").select("id", "content", "category", "importance"), "id").orderBy("rank")
+        rows = self._mine("memories")
+        index = self._index()
+        near = index.search(q, options.get("candidates", M.CANDIDATES) or M.CANDIDATES) if index else None
+        hits = M.search(rows.withColumnRenamed("embedding", "vec"), q, as_of if as_of is not None else self.now(), near=near, **options)
+        return hits.join(rows.select("id", "content", "category", "importance"), "id").orderBy("rank")
 
     def get(self, memory_id: int) -> DataFrame:
         return self._mine("memories").filter(F.col("id") == memory_id)
@@ -119,25 +125,46 @@ class Agent:
             self._seal()
         return report
 
-    def build_index(self, engine: str = "auto") -> V.LshIndex | V.ExactIndex:
-        """An index for the agent's live memories, noted in the store with what it was built from."""
-        rows = M.live(self._mine("memories")).filter(F.col("embedding").isNotNull())
-        index = V.create_index(engine, self.embedder.dimensions, rows.count())
-        write_atomic(self.spark, self._index_path(), index.manifest(*self._index_source(rows)))
-        return index
-
-    def load_index(self) -> V.LshIndex | V.ExactIndex:
-        """The noted index; StaleIndexError if there is none or it was built from other memories."""
-        rows = M.live(self._mine("memories")).filter(F.col("embedding").isNotNull())
-        return V.load_index(read_text(self.spark, self._index_path()) or "", *self._index_source(rows))
+    def build_index(self, engine: str = "auto", cells: int | None = None, probes: int | None = None) -> StoredIndex:
+        """Builds the index that `recall` reads from now on, over the agent's live memories with a vector; `exact` has one cell."""
+        if engine not in ("auto", "ivf", "exact"):
+            raise ValueError(f"unknown index engine {engine!r}")
+        mark = self.store.mark("memories")
+        cells = 1 if engine == "exact" else cells
+        return StoredIndex.build(self._indexed(self._mine("memories")), self._index_path(), self.embedder.dimensions, source=mark, cells=cells, probes=probes)
+
+    def load_index(self) -> StoredIndex:
+        """The stored index; StaleIndexError if there is none, it is damaged, or memories have changed since it was written."""
+        return StoredIndex.load(self.spark, self._index_path(), self.store.mark("memories"))
+
+    def refresh_index(self) -> StoredIndex:
+        """The index as of the memories at hand: what changed since it was written is taken in as postings and tombstones.
+
+        It is built anew if it is damaged or the store was compacted since, so that changes are no longer told apart.
+        """
+        mark = self.store.mark("memories")
+        try:
+            index = StoredIndex.load(self.spark, self._index_path())
+            if index.state["source"] == mark:
+                return index
+            new = self.store.since("memories", index.state["source"])
+            if new is not None and index.state["dimensions"] == self.embedder.dimensions:
+                mine = new.filter(F.col("agent") == self.name)
+                return index.change(self._indexed(mine.filter("op = 'upsert'")), mine.select("id"), mark)
+        except V.StaleIndexError:
+            pass
+        return self.build_index()
+
+    def _index(self) -> StoredIndex | None:
+        """The index that recall reads, if one was ever built."""
+        return self.refresh_index() if names(self.spark, f"{self._index_path()}/state") else None
 
     def _index_path(self) -> str:
-        return f"{self.store.root}/_index/{X.slug_text(self.name)}.json"
+        return f"{self.store.root}/_index/{X.slug_text(self.name)}-{zlib.crc32(self.name.encode()):08x}"
 
     @staticmethod
-    def _index_source(rows: DataFrame) -> tuple[str, int]:
-        r = I.block_fingerprint(rows, "id", ["id", "embedding"]).first()
-        return r["fingerprint"], r["n"]
+    def _indexed(rows: DataFrame) -> DataFrame:
+        return M.live(rows).filter(F.col("embedding").isNotNull()).select("id", F.col("embedding").alias("vec"))
 
     def set_identity(self, personality: str | None = None, ocean: dict[str, float] | None = None) -> None:
         """Sets what is given and keeps the rest; scores must lie in 0..1."""

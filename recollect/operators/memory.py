@@ -30,18 +30,21 @@ def scored(df: DataFrame, as_of: Column, floor: float = scoring.SEMANTIC_FLOOR)
     return df.withColumn("score", scoring.ranked_score(s, F.col("similarity"), F.col("importance"), floor))
 
 
-def search(memories: DataFrame, queries: DataFrame, as_of: Column, *, limit: int = SEARCH_LIMIT, candidates: int | None = CANDIDATES, category: str = "", min_importance: int = 0, scope: str = "", literal: bool = True, floor: float = scoring.SEMANTIC_FLOOR) -> DataFrame:
+def search(memories: DataFrame, queries: DataFrame, as_of: Column, *, limit: int = SEARCH_LIMIT, candidates: int | None = CANDIDATES, category: str = "", min_importance: int = 0, scope: str = "", literal: bool = True, floor: float = scoring.SEMANTIC_FLOOR, near: DataFrame | None = None) -> DataFrame:
     """query_id, id, similarity, score and rank of the best memories of each query's agent.
 
     memories have `vec`, queries (query_id, agent, query, query_vec). Without a filter the `candidates` nearest rows
     and, with `literal`, those that contain the query's text (case aside) are scored; with one, all rows that pass it
     (so a filter never hides a row); candidates=None scores everything. A row without a vector is found only
-    literally. Ties go to the smaller id. All agents are answered at once, in blocks of an agent's rows.
+    literally. Ties go to the smaller id. All agents are answered at once, in blocks of an agent's rows. `near` (query_id,
+    id, similarity) stands for the nearest rows where an index has found them; it is not used with a filter.
     """
     limit = limit or SEARCH_LIMIT
     filtered = bool(category or min_importance or scope)
     base = matching(live(memories), category=category, min_importance=min_importance, scope=scope)
-    near = knn_blocks(queries, base, None if filtered or candidates is None else candidates)
+    if near is None or filtered or candidates is None:
+        near = knn_blocks(queries, base, None if filtered or candidates is None else candidates)
+    near = near.select("query_id", "id", "similarity")
     if not (filtered or candidates is None):
         w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
         near = near.withColumn("_near", F.row_number().over(w)).filter(F.col("_near") <= candidates).drop("_near")

@@ -159,11 +159,8 @@ class Cells:
         """At most `n` cells of (key, vec) rows, learnt from SAMPLE rows by the hash of their key; vectors without length do not count."""
         if n <= 1:
             return cls(np.zeros((1, 1)))
-        got = vectors.filter(~is_zero(F.col(vec))).orderBy(F.xxhash64(key), key).limit(cls.SAMPLE).select(F.transform(vec, lambda x: x.cast("double")).alias("v")).collect()
-        m = np.zeros((len(got), max([1, *(len(r["v"]) for r in got)])))
-        for i, r in enumerate(got):
-            m[i, : len(r["v"])] = np.nan_to_num(np.array(r["v"], float))
-        m = np.divide(m, (size := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=size > 0)
+        got = vectors.filter(~is_zero(F.col(vec))).orderBy(F.xxhash64(key), key).limit(cls.SAMPLE).select(F.transform(vec, lambda x: F.nanvl(x.cast("double"), F.lit(0.0))).alias("v"))
+        m = _matrix(got.toArrow()["v"])
         if not len(m):
             return cls(np.zeros((1, 1)))
         r = np.random.default_rng(seed)
@@ -181,6 +178,11 @@ class Cells:
             c = np.where(size > 0, total / np.where(size > 0, size, 1), c)
         return cls(c)
 
+    def in_line(self) -> Cells:
+        """The same cells in the order of their place along the direction in which they differ most."""
+        middle = self.centres - self.centres.mean(axis=0)
+        return Cells(self.centres[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")])
+
     def angles(self, unit: np.ndarray) -> np.ndarray:
         """The angles of unit rows and all centres; a row without length is at a right angle to all."""
         width = min(unit.shape[1], self.centres.shape[1])

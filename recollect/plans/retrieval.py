@@ -8,6 +8,8 @@ from ..functions import scoring
 from ..functions import text as X
 from ..operators import memory as M
 from ..operators import vectors as V
+from ..operators.vector_index import StoredIndex
+from ..sources.scratch import shared_dir
 from . import views as W
 
 QUERIES, SQL = {}, {}
@@ -170,4 +172,43 @@ def ann_lsh_recall(spark, sf):
     return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
 
 
-QUERIES |= {f.__name__: f for f in (tokenize_bigrams, hash_embedding, temporal_decay_score, half_life_by_category, search_hybrid, search_filtered, search_context, search_literal_fallback, knn_exact, knn_filtered, knn_zero_union, memory_list_recent, memory_count, memory_count_by_category, dimension_histogram, ann_lsh_recall)}
+def _index(spark, sf, rows) -> StoredIndex:
+    return StoredIndex.build(rows.select("id", "vec"), f"{shared_dir(spark)}/index", X.DIMENSIONS)
+
+
+def _corrected(spark, sf):
+    """Memories whose corrections are embedded together with their category."""
+    m = W.memories(spark, sf)
+    return m.withColumn("content", F.when(F.col("category") == "correction", F.concat("category", F.lit(" "), "content")).otherwise(F.col("content")))
+
+
+def index_search(spark, sf):
+    """All memories are indexed, those no longer valid removed, corrections added again with other vectors; then the
+    index is read again from its files and searched in all of its cells."""
+    index = _index(spark, sf, W.embedded(W.memories(spark, sf)))
+    index = index.remove(W.memories(spark, sf).filter(F.col("invalid_at").isNotNull()))
+    new = W.embedded(M.live(_corrected(spark, sf)).filter("category = 'correction'"))
+    index = StoredIndex.load(spark, index.add(new.select("id", "vec"), source="corrected").root, "corrected")
+    q = W.embedded(W.memories(spark, sf).filter("id % 100 = 0")).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    out = index.search(q, 10, probes=StoredIndex.MOST_CELLS)
+    return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+SQL["index_search"] = f"""WITH {W.MEM}, now AS (SELECT id, CASE WHEN category = 'correction' THEN category || ' ' || content ELSE content END AS content FROM mem WHERE invalid_at IS NULL),
+qry AS (SELECT id, content FROM mem WHERE id % 100 = 0), {W.hash_sql('d', 'now', 'id', 'content')}, {W.hash_sql('q', 'qry', 'id', 'content')},
+dots AS (SELECT q.key AS query_id, d.key AS id, CAST(sum(q.n * d.n) AS DOUBLE) AS dot FROM q_c q JOIN d_c d ON d.bucket = q.bucket GROUP BY ALL),
+pairs AS (SELECT qry.id AS query_id, now.id, round(coalesce(dot / (qn.norm * dn.norm), 0), 12) AS s FROM qry CROSS JOIN now LEFT JOIN dots ON dots.query_id = qry.id AND dots.id = now.id LEFT JOIN q_n qn ON qn.key = qry.id LEFT JOIN d_n dn ON dn.key = now.id),
+r AS (SELECT query_id, id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM pairs) SELECT * FROM r WHERE rank <= 10"""
+
+
+def index_recall(spark, sf):
+    """Of each query the share of its ten nearest memories that the index finds, and of all rows that it reads for them."""
+    m = W.embedded(W.memories(spark, sf))
+    index = _index(spark, sf, m)
+    q = m.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    hit = index.search(q, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    per = V.knn_matrix(q, m, 10).join(hit, ["query_id", "id"], "left").groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
+    return per.join(index.reads(q), "query_id")
+
+
+QUERIES |= {f.__name__: f for f in (index_search, index_recall, tokenize_bigrams, hash_embedding, temporal_decay_score, half_life_by_category, search_hybrid, search_filtered, search_context, search_literal_fallback, knn_exact, knn_filtered, knn_zero_union, memory_list_recent, memory_count, memory_count_by_category, dimension_histogram, ann_lsh_recall)}

@@ -100,24 +100,39 @@ class Store:
         remove(self.spark, stage)
         return self.current(table).filter((F.col("id") >= start) & (F.col("id") < start + n))
 
-    def _read(self, table: str, state: dict) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.root}/{table}/log/{b}").withColumn("seq", F.lit(i + 1)) for i, b in enumerate(state["batches"])]
-        if state["snapshot"]:
-            parts.append(self.spark.read.parquet(f"{self.root}/{table}/snapshot/{state['snapshot']}").withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(0)))
+    def _log(self, table: str, batches: list[str], snapshot: str | None = None) -> DataFrame:
+        """The last image of each key, with the op that made it, of some batches in their order and a snapshot before them."""
+        parts = [self.spark.read.parquet(f"{self.root}/{table}/log/{b}").withColumn("seq", F.lit(i + 1)) for i, b in enumerate(batches)]
+        if snapshot:
+            parts.append(self.spark.read.parquet(f"{self.root}/{table}/snapshot/{snapshot}").withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(0)))
         if not parts:
-            return self.spark.createDataFrame([], TABLES[table])
+            return self.spark.createDataFrame([], TABLES[table]).withColumn("op", F.lit("upsert"))
         log = parts[0]
         for p in parts[1:]:
             log = log.unionByName(p)
-        if not state["batches"]:
-            return log.select(*TABLES[table].names)
-        w = Window.partitionBy(*KEYS[table]).orderBy(F.col("seq").desc())
-        return log.withColumn("_r", F.row_number().over(w)).filter("_r = 1 and op = 'upsert'").select(*TABLES[table].names)
+        if batches:
+            w = Window.partitionBy(*KEYS[table]).orderBy(F.col("seq").desc())
+            log = log.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+        return log.select(*TABLES[table].names, "op")
+
+    def _read(self, table: str, state: dict) -> DataFrame:
+        return self._log(table, state["batches"], state["snapshot"]).filter("op = 'upsert'").drop("op")
 
     def current(self, table: str) -> DataFrame:
         """The last image of each key that was not deleted."""
         return self._read(table, self._state(table)[1])
 
+    def mark(self, table: str) -> dict:
+        """What names the table's present state: its snapshot and the batches after it."""
+        return {k: self._state(table)[1][k] for k in ("snapshot", "batches")}
+
+    def since(self, table: str, mark: dict | None) -> DataFrame | None:
+        """The last change of each key (columns and op) that came after `mark`; None if the table was compacted since."""
+        state = self._state(table)[1]
+        if not mark or state["snapshot"] != mark["snapshot"] or state["batches"][: len(mark["batches"])] != mark["batches"]:
+            return None
+        return self._log(table, state["batches"][len(mark["batches"]) :])
+
     def update(self, table: str, condition: Column, changes: dict[str, Column]) -> int:
         """New images of the rows that meet `condition`; returns how many there were. Rows that another writer changes
         meanwhile are read again."""
