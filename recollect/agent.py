@@ -14,10 +14,9 @@ from .operators import integrity as I
 from .operators import memory as M
 from .operators import vectors as V
 from .operators.vector_index import StoredIndex
-from .schema import TABLES
 from .sources.files import names
 from .sources.providers import HashEmbedder
-from .sources.store import Store
+from .sources.store import Store, Transaction
 from .verbs import Graph, Identity, Instincts, Procedures, Reflections, Rules, now
 
 __version__ = "0.1.0"
@@ -45,16 +44,26 @@ class Agent:
         self.store.close()
 
     def protect(self, signer) -> I.Guard:
-        """From now on memories are sealed after each change, and served only as they were sealed."""
-        columns = [c for c in TABLES["memories"].names if c != "embedding"]
-        self.guard = I.Guard(f"{self.name}/memories", self.name, signer, I.StoredWitness(self.spark, f"{self.store.root}/_witness"), columns)
+        """From now on memories are sealed with each change, and served only as they were sealed, all columns included."""
+        self.guard = I.Guard(f"{self.name}/memories", self.name, signer, I.StoredWitness(self.spark, f"{self.store.root}/_witness"))
         if self.guard.checkpoint is None:
-            self._seal()
+            self.guard.seal(self.store.current("memories"))
         return self.guard
 
-    def _seal(self) -> None:
-        if self.guard is not None:
-            self.guard.seal(self.store.current("memories"))
+    def _seal(self, old: dict, new: dict) -> None:
+        """Seals what a commit will change, ahead of it: if the commit then fails, nothing is served until it is made again."""
+        if self.guard is None:
+            return
+        was, now_ = (self.store.of(x, "memories") for x in (old, new))
+        if was == now_:
+            return
+        batches = now_["batches"][len(was["batches"]) :]
+        if not batches:
+            return
+        touched = self.store._log("memories", batches).filter(F.col("agent").isNull() | (F.col("agent") == self.name))
+        blocks = [r["b"] for r in touched.select(F.expr(f"id div {self.guard.block}").alias("b")).distinct().collect()]
+        before, after = (self.store._read("memories", x) for x in (was, now_))
+        self.guard.reseal(before, after, blocks)
 
     def verify_integrity(self) -> None:
         """IntegrityError unless the memories are as they were sealed."""
@@ -73,8 +82,7 @@ class Agent:
         df = self.embedder.embed(df, "_k", "content", "embedding").drop("_k").withColumn("agent", F.lit(self.name))
         for t in ("created_at", "valid_from", "event_time"):
             df = df.withColumn(t, self.now()) if t not in df.columns else df
-        ids = [r["id"] for r in self.store.insert("memories", df.withColumns({k: F.lit(v) for k, v in fields.items()})).select("id").orderBy("id").collect()]
-        self._seal()
+        ids = [r["id"] for r in self.store.insert("memories", df.withColumns({k: F.lit(v) for k, v in fields.items()}), self._seal).select("id").orderBy("id").collect()]
         return ids
 
     def recall(self, query: str, *, context: str | list[str] | None = None, as_of=None, **options) -> DataFrame:
@@ -89,6 +97,8 @@ class Agent:
         return hits.join(rows.select("id", "content", "category", "importance"), "id").orderBy("rank")
 
     def get(self, memory_id: int) -> DataFrame:
+        if self.guard is not None:
+            return self.guard.verified_keys(self.store.current("memories"), [memory_id])
         return self._mine("memories").filter(F.col("id") == memory_id)
 
     def list(self, limit: int = 20, **options) -> DataFrame:
@@ -103,27 +113,26 @@ class Agent:
         if "content" in changes:
             one = self.spark.createDataFrame([(0, changes["content"])], "k long, content string")
             cols["embedding"] = F.lit(self.embedder.embed(one, "k", "content", "embedding").first()["embedding"]).cast("array<float>")
-        done = self.store.update("memories", (F.col("id") == memory_id) & (F.col("agent") == self.name), cols) > 0
-        self._seal()
-        return done
+        return self.store.update("memories", (F.col("id") == memory_id) & (F.col("agent") == self.name), cols, self._seal) > 0
 
     def forget(self, memory_id: int) -> bool:
-        done = self.store.invalidate([memory_id], self.now(), self.name) > 0
-        self._seal()
-        return done
+        return self.store.invalidate([memory_id], self.now(), self.name, self._seal) > 0
 
     def count(self, category: str = "") -> int:
         return M.matching(M.live(self._mine("memories")), category=category).count()
 
     def sleep(self, *, dry_run: bool = True, as_of=None) -> DataFrame:
-        """The consolidation report; live, the new state is written as one batch."""
-        mem = self._mine("memories").withColumnRenamed("embedding", "vec")
-        out, report = C.run_phases(mem, as_of if as_of is not None else self.now(), dry_run=dry_run)
-        report = self.spark.createDataFrame(report.collect(), report.schema)
-        if not dry_run:
-            self.store.append("memories", out.withColumnRenamed("vec", "embedding"))
-            self._seal()
-        return report
+        """The consolidation report; live, the new state is written as one batch, upon the memories that it was made from."""
+
+        def work(t: Transaction) -> DataFrame:
+            rows = t.current("memories")
+            rows = self.guard.verified(rows) if self.guard is not None else rows.filter(F.col("agent") == self.name)
+            out, report = C.run_phases(rows.withColumnRenamed("embedding", "vec"), as_of if as_of is not None else self.now(), dry_run=dry_run)
+            if not dry_run:
+                t.upsert("memories", out.withColumnRenamed("vec", "embedding"))
+            return self.spark.createDataFrame(report.collect(), report.schema)
+
+        return self.store.transact(work, self._seal)
 
     def build_index(self, engine: str = "auto", cells: int | None = None, probes: int | None = None) -> StoredIndex:
         """Builds the index that `recall` reads from now on, over the agent's live memories with a vector; `exact` has one cell."""

@@ -459,10 +459,11 @@ SELECT agent, list_reduce(list_concat([sha256('chain')], l), lambda a, x: sha256
 
 
 def rows_fingerprint(spark, sf):
-    return I.fingerprint(W.table(spark, sf, "customer"), "c_custkey", ["c_custkey", "c_name"])
+    return I.block_fingerprint(W.table(spark, sf, "customer"), "c_custkey", ["c_custkey", "c_name"], 1000)
 
 
-SQL["rows_fingerprint"] = """WITH h AS (SELECT list(sha256(concat_ws(chr(31), CAST(c_custkey AS VARCHAR), c_name)) ORDER BY c_custkey) AS l FROM customer) SELECT sha256(array_to_string(l, '')) AS fingerprint, len(l) AS n FROM h"""
+SQL["rows_fingerprint"] = f"""WITH h AS (SELECT c_custkey // 1000 AS b, sha256(string_agg(sha256({W.row_sql('CAST(c_custkey AS VARCHAR)', 'c_name')}), '' ORDER BY c_custkey)) AS h, count(*) AS n FROM customer GROUP BY 1)
+SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM h"""
 
 SQL["lru_cache"] = """WITH e AS (SELECT event_type AS cache, event_id AS i, user_id AS k, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS p FROM events),
 h AS (SELECT cache, i, p IS NOT NULL AND (SELECT count(DISTINCT x.k) FROM e x WHERE x.cache = e.cache AND x.i > e.p AND x.i < e.i) < 40 AS hit FROM e), c AS (SELECT cache, count(DISTINCT k) AS d FROM e GROUP BY cache),

@@ -122,7 +122,7 @@ def nonvector_hash(spark, sf):
     return I.block_fingerprint(W.memories(spark, sf), "id", ["id", "agent", "category", "content"], 100)
 
 
-SQL["nonvector_hash"] = f"WITH {W.MEM}, b AS (SELECT id // 100 AS block, sha256(string_agg(sha256(concat_ws(chr(31), CAST(id AS VARCHAR), agent, category, content)), '' ORDER BY id)) AS h, count(*) AS n FROM mem GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY block)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b"
+SQL["nonvector_hash"] = f"WITH {W.MEM}, b AS (SELECT id // 100 AS block, sha256(string_agg(sha256({W.row_sql('CAST(id AS VARCHAR)', 'agent', 'category', 'content')}), '' ORDER BY id)) AS h, count(*) AS n FROM mem GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY block)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b"
 
 
 def witness_chain_check(spark, sf):

@@ -53,6 +53,11 @@ def hash_sql(name: str, source: str, key: str, text: str) -> str:
 {name}_n AS (SELECT key, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM {name}_c GROUP BY key)"""
 
 
+def row_sql(*columns: str) -> str:
+    """The text of a row that its hash is made of: each column's length in bytes, a colon and the column, or a hyphen for null."""
+    return " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns)
+
+
 def embedded(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """The table with its vectors, stored, so that a query that reads them several times computes them once."""
     return Scratch(df.sparkSession).write(X.hash_embed(df, key, text, "vec"), "embedded")

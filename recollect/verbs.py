@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import zlib
+from collections.abc import Callable
 from datetime import date, datetime, timezone
 from typing import TYPE_CHECKING
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .functions import scoring
 from .operators import agents as A
 from .operators import graph as G
+from .sources.scratch import Scratch
+from .sources.store import Transaction
 
 if TYPE_CHECKING:
     from .agent import Agent
@@ -50,24 +52,31 @@ class _Verbs:
         row = self.spark.range(1).select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()], F.lit(self.name).alias("agent"))
         return self.store.insert(self.table, row).first()["id"]
 
-    def upsert(self, key: dict, values: dict) -> None:
-        """Replaces the row of `key` by one with `values`; what is not given keeps its value. A new row gets its defaults."""
-        both = {"agent": self.name} | key
-        old = self.rows()
-        for k, v in key.items():
-            old = old.filter(F.col(k) == v)
-        row = old.first()
-        if row is None:
-            new = self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in both.items()])
-            if "id" in row_names(self.store, self.table):
-                new = new.withColumn("id", F.lit(zlib.crc32("/".join(map(str, both.values())).encode())).cast("long"))
-        else:
-            new = old.limit(1)
-        self.store.append(self.table, new.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}))
+    def upsert(self, key: dict, values: dict | Callable[[Row | None], dict]) -> Row | None:
+        """Replaces the row of `key` by one with `values`; what is not given keeps its value. A new row gets its defaults.
 
+        `values` may be made from the row that is there; it is asked again if another writer changes the table meanwhile.
+        Returns the row as it was.
+        """
+        both = {"agent": self.name} | key
 
-def row_names(store, table: str) -> list[str]:
-    return store.current(table).columns
+        def work(t: Transaction) -> Row | None:
+            old = t.current(self.table)
+            names = old.columns
+            for k, v in both.items():
+                old = old.filter(F.col(k) == v)
+            row = old.first()
+            given = values(row) if callable(values) else values
+            if row is None:
+                new = self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in both.items()])
+                if "id" in names:
+                    new = new.withColumn("id", F.lit(t.take_ids(self.table)))
+            else:
+                new = old.limit(1)
+            t.upsert(self.table, new.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in given.items()}))
+            return row
+
+        return self.store.transact(work)
 
 
 class Identity(_Verbs):
@@ -94,9 +103,14 @@ class Identity(_Verbs):
 
     def drift(self, deltas: dict[str, float], cap: float | None = None) -> dict[str, float]:
         """Moves each score by its delta, `cap` at most (0 and None: the default), within 0..1; returns the new scores."""
-        old, limit = self.ocean() or {}, cap or A.DRIFT_CAP
-        new = {k: round(max(0.0, min(1.0, old.get(k, 0.5) + max(-limit, min(limit, deltas.get(k, 0.0))))), 4) for k in OCEAN}
-        self.set_ocean(new)
+        limit, new = cap or A.DRIFT_CAP, {}
+
+        def move(row: Row | None) -> dict:
+            old = dict(row["ocean_scores"] or {}) if row else {}
+            new.update({k: round(max(0.0, min(1.0, old.get(k, 0.5) + max(-limit, min(limit, deltas.get(k, 0.0))))), 4) for k in OCEAN})
+            return {"ocean_scores": F.create_map(*[F.lit(x) for kv in new.items() for x in kv]), "updated_at": now()}
+
+        self.upsert({}, move)
         return new
 
     def relationships(self) -> DataFrame:
@@ -117,7 +131,7 @@ class Rules(_Verbs):
     def set(self, key: str, content: str, priority: str = "normal", set_by: str = "system") -> None:
         """Writes a rule and makes it active; one that is there keeps its id and its time."""
         values = {"content": content, "priority": priority, "set_by": set_by, "active": True}
-        self.upsert({"rule_key": key}, values if self.get(key) else values | {"created_at": now()})
+        self.upsert({"rule_key": key}, lambda row: values if row else values | {"created_at": now()})
 
     def list(self) -> DataFrame:
         return A.rules_list(self.rows()).orderBy("rank")
@@ -214,17 +228,22 @@ class Graph(_Verbs):
 
     def build(self, dry_run: bool = True, domain: str = "") -> str:
         """Counts nodes, edges and entities, or replaces the stored ones; returns the summary."""
-        mem = self.rows("memories").withColumnRenamed("embedding", "vec")
-        edges, found = G.similarity_edges(mem, domain=domain), G.mentions(mem, domain=domain)
-        if not dry_run:
-            for table, new, key in (("edges", edges, ["agent", "src", "dst", "type"]), ("mentions", found, ["agent", "memory_id", "entity"])):
-                self.store.append(table, new)
-                stale = self.rows(table).select(*key).join(new.select(*key), key, "left_anti")
-                self.store.delete(table, stale)
-            edges, found = self.rows("edges"), self.rows("mentions")
-        counts = G.graph_counts(mem, edges, found).filter(F.col("agent") == self.name).first()
-        n = (counts["nodes"], counts["edges"], counts["entities"]) if counts else (0, 0, 0)
-        return G.stats_summary(self.name, *n, dry_run=dry_run)
+
+        def work(t: Transaction) -> tuple[int, int, int]:
+            mine = lambda table: t.current(table).filter(F.col("agent") == self.name)
+            mem = mine("memories").withColumnRenamed("embedding", "vec")
+            scratch = Scratch(self.spark)
+            edges, found = scratch.write(G.similarity_edges(mem, domain=domain), "edges"), scratch.write(G.mentions(mem, domain=domain), "mentions")
+            if not dry_run:
+                for table, new, key in (("edges", edges, ["agent", "src", "dst", "type"]), ("mentions", found, ["agent", "memory_id", "entity"])):
+                    stale = mine(table).select(*key).join(new.select(*key), key, "left_anti")
+                    t.upsert(table, new)
+                    t.delete(table, stale)
+                edges, found = mine("edges"), mine("mentions")
+            counts = G.graph_counts(mem, edges, found).filter(F.col("agent") == self.name).first()
+            return (counts["nodes"], counts["edges"], counts["entities"]) if counts else (0, 0, 0)
+
+        return G.stats_summary(self.name, *self.store.transact(work), dry_run=dry_run)
 
     def conflicts(self) -> DataFrame:
         mem = self.rows("memories").withColumnRenamed("embedding", "vec")
