@@ -15,13 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table, text_key
 
 #: Labelled documents that are learnt from, of each class at most, by the hash of their ids.
-DOCS_PER_CLASS = 10_000
+DOCS_PER_CLASS = 5_000
 #: Values of the hash of a term, and the terms of the machine: those whose documents differ most by class.
 HASHED, TERMS = 1 << 22, 4096
 #: How sure that difference must be, in standard deviations.
@@ -41,13 +41,26 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+_HEAD = zlib.crc32(b"^")
+#: Places of a term that occurs twice, and three times, from that of one that occurs once.
+_AGAIN = 0x9E3779
+
+
 def _hashes(word: str) -> list[int]:
-    return [zlib.crc32(word.encode("utf-8", "surrogatepass")), *(zlib.crc32(b"^" + word[:k].encode("utf-8", "surrogatepass")) for k in HEADS if len(word) > k)]
+    """The hashed terms of a word: itself and its beginnings."""
+    out = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % HASHED]
+    h, at = _HEAD, 0
+    for k in HEADS:
+        if len(word) <= k:
+            break
+        h, at = zlib.crc32(word[at:k].encode("utf-8", "surrogatepass"), h), k
+        out.append(h % HASHED)
+    return out
 
 
 def _times(h: int) -> tuple[int, int, int]:
     """The hashed terms of one, two and three occurrences."""
-    return h % HASHED, zlib.crc32(b"2", h) % HASHED, zlib.crc32(b"3", h) % HASHED
+    return h, (h + _AGAIN) % HASHED, (h + 2 * _AGAIN) % HASHED
 
 
 def _words(text: str | None) -> Counter[str]:
@@ -64,14 +77,17 @@ class Machine:
     factor: np.ndarray
     known: dict[str, tuple] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self) -> None:
+        self.bases = {(t - i * _AGAIN) % HASHED for t in self.place for i in range(3)}
+
     def rows(self, text: str | None) -> list[int]:
-        words, seen, place = _words(text), Counter(), self.place
-        if len(self.known) > CACHE:
-            self.known.clear()
+        words, seen, place, known = _words(text), Counter(), self.place, self.known
+        if len(known) > CACHE:
+            known.clear()
         for w, n in words.items():
-            hs = self.known.get(w)
+            hs = known.get(w)
             if hs is None:
-                hs = self.known[w] = tuple(h for h in _hashes(w) if any(t in place for t in _times(h)))
+                hs = known[w] = tuple(self.bases.intersection(_hashes(w)))
             for h in hs:
                 seen[h] += n
         found = {place[t] for h, n in seen.items() for t in _times(h)[: min(n, 3)] if t in place}
@@ -136,8 +152,8 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, id_col: str =
     its documents.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= limit).drop("_at")
+    one, other = (known.filter(F.col("toxic") == t).orderBy(F.xxhash64("_id"), "_id").limit(limit) for t in (0, 1))
+    chosen = scratch.write(one.unionByName(other), "chosen")
     texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_id", "toxic", F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("th"))
     texts = scratch.write(texts, "texts")
     own = texts.groupBy("_id").agg(F.min("th").alias("th"))
