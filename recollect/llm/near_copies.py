@@ -10,7 +10,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
 from .common import Scratch, keyed
 from .simhash import FOLD
 
@@ -18,6 +17,10 @@ from .simhash import FOLD
 WIDTH, SIMILARITY = 5, 0.8
 #: Two sets at 0.8 share none of BANDS bands of DEPTH minima with probability (1 - 0.8 ** 6) ** 48 < 1e-6; less if closer.
 BANDS, DEPTH = 48, 6
+#: Pairs of which fewer minima agree are not compared further: at 0.8 that is six deviations off, under 1e-9.
+AGREE = 0.66
+#: Rounds in which documents that surely stay drop what is near them, before all that is left of a bucket is compared.
+ROUNDS = 3
 #: Shingles whose minima are taken at once (a cache's worth), and pairs whose texts travel in one Arrow batch; both bound memory.
 CHUNK, PAIR_ROWS = 512, 100
 #: Bytes of texts whose shingles a task keeps while it compares pairs.
@@ -39,23 +42,37 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def bands(s: np.ndarray) -> list[int]:
-    """A hash of each band of minima; none for a text without words."""
-    if not len(s):
-        return []
+def minima(s: np.ndarray) -> np.ndarray:
+    """The least values of a set of shingles under BANDS * DEPTH hash functions."""
     x = s.astype(np.uint32)  # the minima are over 32 bits of each shingle's hash; the sets that decide have all 64
     low = np.full(BANDS * DEPTH, np.iinfo(np.uint32).max, np.uint32)
     for c in range(0, len(x), CHUNK):
         h = FACTORS[:, None] * x[None, c : c + CHUNK]
         h += TERMS[:, None]
         np.minimum(low, h.min(axis=1), out=low)
+    return low
+
+
+def bands(low: np.ndarray) -> list[int]:
+    """A hash of each band of minima."""
     return [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, DEPTH))]
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        h = [np.array(bands(shingles(t.as_py())), np.uint64).view(np.int64) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("dk"), b.column("th"), pa.array(h, pa.list_(pa.int64()))], ["dk", "th", "h"])
+        h, sig = [], []
+        for t in b.column("text"):
+            s = shingles(t.as_py())
+            low = minima(s)
+            h.append(np.array(bands(low) if len(s) else [], np.uint64).view(np.int64))
+            sig.append((low & 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("dk"), b.column("th"), pa.array(h, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["dk", "th", "h", "sig"])
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
+        yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AGREE)) if b.num_rows else b.select(["a", "b"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,43 +95,72 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _drop_similar(rows: DataFrame, bands: DataFrame, pairs: DataFrame, scratch: Scratch, step: str) -> DataFrame:
-    """`bands` without the documents that a pair (a, b: text keys), if similar, groups with one of smaller key."""
+def _verified(rows: DataFrame, found: DataFrame, pairs: DataFrame, scratch: Scratch, step: str) -> DataFrame:
+    """Of pairs (a, b: text keys) those that are similar. Minima, a byte each, reject most others before texts are read."""
+    a, b = found.select(F.col("th").alias("a"), F.col("sig").alias("sa")), found.select(F.col("th").alias("b"), F.col("sig").alias("sb"))
+    pairs = scratch.write(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), f"{step}_agree", rows=10_000)
     both = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
     texts = scratch.write(rows.select("th", "text").join(both, "th", "left_semi").dropDuplicates(["th"]), f"{step}_texts")
     a, b = texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), texts.select(F.col("th").alias("b"), F.col("text").alias("tb"))
-    edges = scratch.write(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"), f"{step}_edges", rows=PAIR_ROWS)
-    scratch.drop(f"{step}_texts")
-    roots = connected_components(edges, scratch, f"{step}_cc")
-    named = bands.select("dk", "th").join(roots.withColumnRenamed("node", "th"), "th")
-    stays = named.groupBy("root").agg(F.min(F.struct("dk", "th")).alias("k")).select("root", F.col("k.th").alias("first"))
-    gone = scratch.write(named.join(stays, "root").filter("th <> first").select("th"), f"{step}_gone")
-    return scratch.write(bands.join(gone, "th", "left_anti"), f"{step}_left")
+    out = scratch.write(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"), f"{step}_edges", rows=PAIR_ROWS)
+    scratch.drop(f"{step}_texts", f"{step}_agree")
+    return out
+
+
+def _losers(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(th) of the nodes that go if, in order of their keys, each goes that is linked to a smaller one that stays.
+
+    edges are (a, ka, b, kb) with ka < kb, all links of the nodes. Each round a node without a smaller neighbour left
+    stays and its neighbours go.
+    """
+    gone, i = edges.select(F.col("b").alias("th")).limit(0), 0
+    while not edges.isEmpty():
+        firm = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        lost = scratch.write(edges.join(firm, "a").select(F.col("b").alias("th")).distinct(), f"lost{i}")
+        gone = gone.unionByName(lost)
+        alive = edges.join(firm, "a", "left_anti").join(lost.withColumnRenamed("th", "a"), "a", "left_anti").join(lost.withColumnRenamed("th", "b"), "b", "left_anti")
+        edges = scratch.write(alive.select("a", "ka", "b", "kb"), f"alive{i}")
+        i += 1
+    return gone
 
 
 def without_near_copies(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Those of `kept` (dk, th as in `keyed`, each text once) that stay, so that no two are similar.
+    """Those of `kept` (dk, th as in `keyed`, each text once) that stay: in order of (dk, th), each goes that is similar to
+    a smaller one that stays, so no two that stay are similar and none goes without such a one.
 
-    First every document is compared with the smallest of each band's bucket, which settles large groups by one pair
-    a member, and one document of each group of links stays; then all that are left in a bucket are compared. Every
-    pair is decided by the whole shingle sets.
+    A document that is the smallest in all of its bands' buckets stays, whatever the others do. In a few rounds such
+    documents drop what is similar to them, which settles large groups by a pair a member; what is then left of a bucket
+    is compared with each other. The whole shingle sets of two texts decide. Null, empty and wordless texts are in no
+    bucket and stay; rows that repeat a key count once; null ids (the largest dk) come last.
     """
     scratch = Scratch(docs.sparkSession)
     rows = keyed(docs).select("dk", "th", F.col("text").cast("binary").alias("text"))
-    found = scratch.write(rows.mapInArrow(_bands, "dk long, th long, h array<long>"), "bands")
+    found = scratch.write(rows.mapInArrow(_bands, "dk long, th long, h array<long>, sig binary"), "bands")
     found = scratch.write(found.join(kept, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"]), "kept")
     scratch.drop("bands")
-
-    def flat(df: DataFrame) -> DataFrame:
-        return df.select(F.struct("dk", "th").alias("k"), F.explode("h").alias("h"))
-
-    lead = flat(found).groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first <> last")
-    lead = flat(found).join(lead.select("h", "first"), "h").filter("k <> first")
-    lead = scratch.write(lead.select(F.col("first.th").alias("a"), F.col("k.th").alias("b")).distinct(), "lead")
-    found = _drop_similar(rows, found, lead, scratch, "lead")
-    scratch.drop("kept")
-    x, y = flat(found), flat(found).withColumnRenamed("k", "k2")
-    rest = x.join(y, "h").filter("k < k2").select(F.col("k.th").alias("a"), F.col("k2.th").alias("b")).distinct()
-    rest = scratch.write(rest.join(lead, ["a", "b"], "left_anti"), "rest")
-    scratch.drop("lead")
-    return _drop_similar(rows, found, rest, scratch, "rest").select("dk", "th")
+    flat = found.select(F.struct("dk", "th").alias("k"), F.explode("h").alias("h"))
+    shared = flat.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first <> last").select("h")
+    left = scratch.write(flat.join(shared, "h", "left_semi"), "left0")
+    lost = []
+    for i in range(ROUNDS):
+        lead = left.groupBy("h").agg(F.min("k").alias("first"))
+        met = scratch.write(left.join(lead, "h"), f"met{i}")
+        firm = scratch.write(met.groupBy("k").agg(F.min(F.col("first") == F.col("k")).alias("firm")).filter("firm").select(F.col("k").alias("first")), f"firm{i}")
+        pairs = met.filter("k <> first").select("first", "k").distinct().join(firm, "first").select(F.col("first.th").alias("a"), F.col("k.th").alias("b"))
+        edges = _verified(rows, found, pairs, scratch, f"round{i}")
+        lost.append(scratch.write(edges.select(F.col("b").alias("th")).distinct(), f"lost_{i}"))
+        rest = left.join(firm.withColumnRenamed("first", "k"), "k", "left_anti").withColumn("th", F.col("k.th")).join(lost[-1], "th", "left_anti").select("k", "h")
+        busy = rest.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+        left = scratch.write(rest.join(busy, "h", "left_semi"), f"left{i + 1}")
+        scratch.drop(f"met{i}", f"left{i}")
+        if left.isEmpty():
+            break
+    pairs = left.alias("x").join(left.select(F.col("k").alias("k2"), "h"), "h").filter("k < k2").select("k", "k2").distinct()
+    pairs = scratch.write(pairs, "pairs")
+    edges = _verified(rows, found, pairs.select(F.col("k.th").alias("a"), F.col("k2.th").alias("b")), scratch, "rest")
+    named = edges.join(pairs.select(F.col("k.th").alias("a"), F.col("k").alias("ka"), F.col("k2.th").alias("b"), F.col("k2").alias("kb")), ["a", "b"])
+    lost.append(_losers(scratch.write(named, "links"), scratch))
+    gone = lost[0]
+    for x in lost[1:]:
+        gone = gone.unionByName(x)
+    return found.select("dk", "th").join(gone.distinct(), "th", "left_anti")

@@ -48,3 +48,40 @@ def test_pairs_that_miss_the_bucket_leader_are_compared(spark):
     keys = keyed(df).select("dk", "th")
     out = keyed(df).join(N.without_near_copies(df, keys), ["dk", "th"], "left_semi").collect()
     assert {1, 2, 5} <= {r.doc_id for r in out} and 3 not in {r.doc_id for r in out}
+
+
+def _keep(spark, rows):
+    from recollect.llm.common import keyed
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id for r in keyed(df).join(N.without_near_copies(df, keyed(df).select("dk", "th")), ["dk", "th"], "left_semi").collect()}
+
+
+def test_only_what_is_near_one_that_stays_goes(spark):
+    base = [f"w{i}" for i in range(400)]
+    a = base
+    b = [f"b{i}" for i in range(28)] + base[28:]
+    c = b[:-28] + [f"c{i}" for i in range(28)]
+    a, b, c = (" ".join(x) for x in (a, b, c))
+    assert jaccard(a, b) >= 0.8 and jaccard(b, c) >= 0.8 and jaccard(a, c) < 0.8
+    assert _keep(spark, [(1, a), (2, b), (3, c)]) == {1, 3}
+    assert _keep(spark, [(2, a), (1, b), (3, c)]) == {1}
+    assert _keep(spark, [(1, None), (2, ""), (3, "?")]) == {1, 2, 3}
+
+
+def test_groups_against_a_plain_loop(spark):
+    """A hundred versions of one text, each some edits from another: what stays is what a loop over all pairs keeps."""
+    rnd = random.Random(5)
+    made = [[f"w{i}" for i in range(300)]]
+    for n in range(100):
+        t = list(rnd.choice(made))
+        for _ in range(rnd.randrange(1, 12)):
+            t[rnd.randrange(len(t))] = f"n{n}x{rnd.randrange(10**6)}"
+        made.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(made)]
+    rnd.shuffle(rows)
+    stays: list = []
+    for i, t in sorted(rows):
+        if not any(jaccard(t, x) >= 0.8 for _, x in stays):
+            stays.append((i, t))
+    assert _keep(spark, rows) == {i for i, _ in stays} and 1 < len(stays) < 60
