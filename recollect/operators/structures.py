@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .blocks import per_block
 
 
 def chain_head(df: DataFrame, group: str, order: str, row: Column, seed: Column) -> DataFrame:
@@ -83,38 +84,45 @@ def prefix_counts(keys: DataFrame, prefixes: DataFrame, key: str = "key") -> Dat
     return prefixes.join(cut.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")), "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def prefix_sums(points: DataFrame, idx: str = "idx", value: str = "value", parts: int = 64) -> DataFrame:
-    """(idx, sum, prefix_sum): sums up to each index. Blocks of indexes are summed first, so no task sees all rows:
-    a block's start is the sum of the blocks before (at most `parts` of them), and inside a block a window runs."""
-    per = points.groupBy(F.col(idx).alias("idx")).agg(F.sum(value).alias("sum"))
-    low, high = points.agg(F.min(idx), F.max(idx)).first()
-    width = max(1, ((high or 0) - (low or 0)) // parts + 1)
-    block = F.floor((F.col("idx") - F.lit(low or 0)) / F.lit(width)).cast("long")
-    per = per.withColumn("_b", block)
+#: Rows of one block of a cumulative sum; there are as many blocks as this asks for.
+BLOCK_ROWS = 250_000
+
+
+def _in_blocks(df: DataFrame, scratch: Scratch, name: str, *order: Column | str) -> tuple[DataFrame, int]:
+    """`df` with `_b`, stored: blocks of about equal numbers of rows in the given order, whatever its values are.
+
+    Borders are quantiles of a sample, so one far value, or most rows in a narrow range, make no block larger.
+    """
+    n = max(1, -(-df.count() // BLOCK_ROWS))
+    return scratch.write(df.repartitionByRange(n, *order).withColumn("_b", F.spark_partition_id()), name, rows=10_000), n
+
+
+def prefix_sums(points: DataFrame, idx: str = "idx", value: str = "value") -> DataFrame:
+    """(idx, sum, prefix_sum): sums up to each index, in two levels: a block starts at the sum of the blocks before, which
+    are few, and inside a block a window runs. Nulls come first."""
+    scratch = Scratch(points.sparkSession)
+    per, _ = _in_blocks(points.groupBy(F.col(idx).alias("idx")).agg(F.sum(value).alias("sum")), scratch, "sums", "idx")
     before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.groupBy("_b").agg(F.sum("sum").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_b").orderBy("idx")
     return per.join(F.broadcast(starts), "_b").select("idx", "sum", (F.col("_start") + F.sum("sum").over(inside)).alias("prefix_sum"))
 
 
-def _as_of(sums: DataFrame, asked: DataFrame, at: str, out: str, parts: int = 64) -> DataFrame:
+def _as_of(sums: DataFrame, asked: DataFrame, at: str, out: str) -> DataFrame:
     """`asked` with `out`: the prefix_sum of the last idx <= `at` (0 if none is). Both sides are merged by idx in blocks
-    of the index; a block opens with the last sum of those before, so the work is linear and nothing is broadcast but
-    the blocks' last sums."""
-    low, high = sums.agg(F.min("idx"), F.max("idx")).first()
-    low = low or 0
-    width = max(1, ((high or 0) - low) // parts + 1)
-    block = lambda c: F.least(F.greatest(F.floor((c - F.lit(low)) / F.lit(width)), F.lit(-1)), F.lit(parts)).cast("long")
+    of equal numbers of rows; a block opens with the last sum of those before, so the work is linear, questions that
+    share a place are several tasks' work, and nothing is broadcast but the blocks' last sums."""
+    scratch = Scratch(sums.sparkSession)
     s = sums.select(F.col("idx").alias("_i"), F.lit(0).alias("_asked"), "prefix_sum", *[F.lit(None).cast(f.dataType).alias(f.name) for f in asked.schema])
     a = asked.select(F.col(at).alias("_i"), F.lit(1).alias("_asked"), F.lit(None).cast(sums.schema["prefix_sum"].dataType).alias("prefix_sum"), *asked.columns)
-    both = s.unionByName(a).withColumn("_b", block(F.col("_i")))
+    both, n = _in_blocks(s.unionByName(a), scratch, "both", "_i", "_asked", F.xxhash64(*asked.columns))
     w = Window.partitionBy("_b").orderBy("_i", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("_here", F.last("prefix_sum", True).over(w)).filter("_asked = 1")
-    ends = sums.groupBy(block(F.col("idx")).alias("_e")).agg(F.max_by("prefix_sum", "idx").alias("_end"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most parts + 2 rows
-    all_ = sums.sparkSession.range(-1, parts + 1).select(F.col("id").alias("_b")).join(ends, F.col("_b") == F.col("_e"), "left")
-    opens = all_.select("_b", F.last("_end", True).over(before).alias("_open"))
-    return both.join(F.broadcast(opens), "_b", "left").select(*asked.columns, F.coalesce("_here", "_open", F.lit(0)).alias(out))
+    here = both.withColumn("_here", F.last("prefix_sum", True).over(w)).filter("_asked = 1")
+    ends = both.filter("_asked = 0").groupBy(F.col("_b").alias("_e")).agg(F.max_by("prefix_sum", "_i").alias("_end"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = sums.sparkSession.range(n).select(F.col("id").cast("int").alias("_b")).join(ends, F.col("_b") == F.col("_e"), "left")
+    opens = blocks.select("_b", F.last("_end", True).over(before).alias("_open"))
+    return here.join(F.broadcast(opens), "_b", "left").select(*asked.columns, F.coalesce("_here", "_open", F.lit(0)).alias(out))
 
 
 def range_sums(points: DataFrame, ranges: DataFrame, idx: str = "idx", value: str = "value") -> DataFrame:
@@ -191,11 +199,52 @@ def box_join(boxes: DataFrame, queries: DataFrame, cell: float) -> DataFrame:
 
 
 def nearest_boxes(boxes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, distance, rank): boxes by the distance of their centres from the query points, a stated set."""
+    """(query_id, id, distance, rank): the k boxes whose centres are nearest to each query's point, ties by id.
+
+    Centres are in a grid, and a query looks at its cell and the eight around it. While these hold fewer than k, it looks
+    again in cells of twice the side. The kth distance then bounds the answer: if it is under the side, no cell left
+    out can hold a nearer centre; else one last look, in cells of at least that side, is enough. Queries and cells are
+    joined by equality, so no query meets all boxes.
+    """
+    scratch = Scratch(boxes.sparkSession)
     cx, cy = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
-    j = per_block(queries.select("query_id", "x", "y"), lambda part: boxes.join(part, F.lit(True))).withColumn("distance", F.sqrt(F.pow(cx - F.col("x"), 2) + F.pow(cy - F.col("y"), 2)))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+    centres = scratch.write(boxes.select("id", cx.alias("cx"), cy.alias("cy")).filter("cx is not null and cy is not null"), "centres", rows=10_000)
+    pending = scratch.write(queries.select("query_id", "x", "y"), "asked", rows=10_000)
+    both = centres.select(F.col("cx").alias("x"), F.col("cy").alias("y")).unionByName(pending.select("x", "y"))
+    span = both.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    n, span = centres.count(), max(span["w"] or 0.0, span["h"] or 0.0, 1e-9)
+    if k < 1 or not n:
+        return boxes.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
+    side = span / max(1.0, math.sqrt(n / (2 * k)))
+    best = Window.partitionBy("query_id").orderBy("distance", "id")
+
+    def look(asked: DataFrame, levels: list[int]) -> DataFrame:
+        """The k nearest centres of the nine cells around each query (query_id, x, y, level)."""
+        at = lambda c, level: F.floor(F.col(c) / (F.lit(side) * F.pow(F.lit(2.0), level))).cast("long")
+        cells = centres.withColumn("level", F.explode(F.array(*[F.lit(i) for i in levels]))).withColumns({"gx": at("cx", F.col("level")), "gy": at("cy", F.col("level"))})
+        ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        probes = asked.withColumn("d", ring).withColumns({"gx": at("x", F.col("level")) + F.col("d.i"), "gy": at("y", F.col("level")) + F.col("d.j")})
+        near = probes.join(cells, ["level", "gx", "gy"]).withColumn("distance", F.sqrt(F.pow(F.col("cx") - F.col("x"), 2) + F.pow(F.col("cy") - F.col("y"), 2)))
+        return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+
+    done, last, final = [], math.ceil(math.log2(max(1.0, span / side))) + 1, []
+    for level in range(last + 1):
+        found = scratch.write(look(pending.withColumn("level", F.lit(level)), [level]), f"found{level}", rows=10_000)
+        if level == last:  # a cell is as wide as everything
+            done.append(found)
+            break
+        reach = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).filter(F.col("n") >= k)
+        wide = F.when(F.col("far") < side * 2.0**level, level).otherwise(F.least(F.lit(last), F.floor(F.log2(F.col("far") / side)) + 1)).cast("int")
+        reach = scratch.write(reach.select("query_id", wide.alias("level")), f"reach{level}", rows=10_000)
+        done.append(found.join(reach.filter(F.col("level") == level), "query_id", "left_semi"))
+        final.append(pending.join(reach.filter(F.col("level") > level), "query_id"))
+        pending = scratch.write(pending.join(reach, "query_id", "left_anti"), f"pending{level}", rows=10_000)
+        if pending.isEmpty():
+            break
+    out = reduce(DataFrame.unionByName, done)
+    again = scratch.write(reduce(DataFrame.unionByName, final), "again", rows=10_000) if final else None
+    levels = sorted(r["level"] for r in again.select("level").distinct().collect()) if again is not None else []
+    return out.unionByName(look(again, levels)) if levels else out
 
 
 def bounding_box(boxes: DataFrame, *by: str) -> DataFrame:

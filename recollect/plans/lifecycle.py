@@ -514,6 +514,30 @@ def stream_activity_windows(spark, sf):
     return spark.read.parquet(f"{root}/windows")
 
 
+def stream_into_store(spark, sf):
+    """Events as thoughts, streamed into the store; the last micro-batch is then given again, as after a failure, and an
+    older one too. What each agent has in the end."""
+    from ..streaming import activity
+
+    root = shared_dir(spark)
+    store = Store(spark, f"{root}/store").initialize()
+    events = W.table(spark, sf, "events")
+    rows = activity.read_events(spark, f"{sf}/events.parquet*", events.schema).select(F.col("event_id").alias("id"), F.concat(F.lit("u"), (F.col("user_id") % 25).cast("string")).alias("agent"), F.col("event_type").alias("thought"), F.col("ts").alias("created_at"))
+    sink, seen = activity.store_sink(store, "inner_monologue", "events"), []
+
+    def apply(batch, number):
+        sink(batch, number)
+        sink(batch.withColumn("id", F.col("id") + 10_000_000_000), number)
+        seen.append(number)
+
+    activity.apply_batches(rows, apply, f"{root}/progress").awaitTermination()
+    sink(events.select(F.col("event_id").alias("id"), F.lit("none").alias("agent"), F.lit("again").alias("thought"), F.col("ts").alias("created_at")), min(seen))
+    return store.current("inner_monologue").groupBy("agent").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.count_distinct("thought").alias("kinds"))
+
+
+SQL["stream_into_store"] = "SELECT 'u' || CAST(user_id % 25 AS VARCHAR) AS agent, count(*) AS n, max(event_id) AS last, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1"
+
+
 def graph_domain_edges(spark, sf):
     """The edges among an agent's memories of one domain."""
     return G.similarity_edges(W.embedded(W.memories(spark, sf)), domain="technical").select("agent", "src", "dst", F.round("weight", 6).alias("weight"))
@@ -524,5 +548,5 @@ r AS (SELECT bi.*, row_number() OVER (PARTITION BY agent, a ORDER BY similarity
 SELECT agent, a AS src, b AS dst, round(similarity, 6) AS weight FROM r WHERE n <= 20"""
 
 
-for _f in (store_lifecycle, store_insert_ids, store_two_writers, memory_get, memory_list_all, search_like, contract_breaks, schema_catalog, schema_contract_diff, key_sets, vector_guards, secrets_and_slugs, row_defaults, ocean_valid, clamped_similarity, sleep_report, sleep_summary, sleep_live, graph_stats, graph_domain_edges, agent_memories, agent_rules, agent_instincts, agent_identity, agent_reflections, agent_procedures, integrity_seals, migration_reembed, merkle_root, merkle_proof, hash_chain_head, rows_fingerprint, trie_has_key, fenwick_point_query, spatial_predicates, stream_activity_windows):
+for _f in (stream_into_store, store_lifecycle, store_insert_ids, store_two_writers, memory_get, memory_list_all, search_like, contract_breaks, schema_catalog, schema_contract_diff, key_sets, vector_guards, secrets_and_slugs, row_defaults, ocean_valid, clamped_similarity, sleep_report, sleep_summary, sleep_live, graph_stats, graph_domain_edges, agent_memories, agent_rules, agent_instincts, agent_identity, agent_reflections, agent_procedures, integrity_seals, migration_reembed, merkle_root, merkle_proof, hash_chain_head, rows_fingerprint, trie_has_key, fenwick_point_query, spatial_predicates, stream_activity_windows):
     QUERIES[_f.__name__] = _f

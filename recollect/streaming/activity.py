@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import consolidation as C
+from ..sources.providers import Embedder
+from ..sources.scratch import Scratch
+from ..sources.store import Store
+
 
 def read_events(spark: SparkSession, path: str, schema: str, per_trigger: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
@@ -55,3 +60,35 @@ def apply_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     """Runs `apply(batch, batch_id)` on each micro-batch; give it idempotent work, as a failed batch is repeated."""
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
+
+
+def store_sink(store: Store, table: str, name: str) -> Callable[[DataFrame, int], None]:
+    """Takes each micro-batch of a stream into a table of the store exactly once.
+
+    The number of the last batch of the stream `name` is part of the table's state and is written by the same commit as
+    the rows; a batch that is repeated after a failure, whether it had been committed or not, changes nothing more.
+    """
+    return lambda batch, number: None if batch.isEmpty() else store.append(table, batch, done=(name, number))
+
+
+def into_store(stream: DataFrame, store: Store, table: str, name: str, checkpoint: str, *, once: bool = True):
+    """Starts a query that writes the stream's rows (business columns, key included) to a table exactly once."""
+    return apply_batches(stream, store_sink(store, table, name), checkpoint, once=once)
+
+
+def routed(store: Store, embedder: Embedder, name: str) -> Callable[[DataFrame, int], None]:
+    """As `store_sink` for memories (id, agent, content, utility_score): each batch is embedded and routed by what its
+    agent's newest memories hold; what takes the fast path is stored at half the importance, all exactly once."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        scratch = Scratch(batch.sparkSession)
+        new = scratch.write(embedder.embed(batch, "id", "content", "embedding"), "batch")
+        asked = new.select("agent", F.col("id").alias("cand_id"), F.col("embedding").alias("vec"), F.coalesce("utility_score", F.lit(0.5)).alias("utility"))
+        way = C.route(asked, store.current("memories").withColumnRenamed("embedding", "vec")).select(F.col("cand_id").alias("id"), (F.col("route") == "fast_path").alias("_fast"))
+        importance = F.coalesce(F.col("importance"), F.lit(5)) if "importance" in new.columns else F.lit(5)
+        out = new.join(way, "id").withColumn("importance", F.when(F.col("_fast"), F.ceil(importance / 2)).otherwise(importance).cast("int")).drop("_fast")
+        store.append("memories", out, done=(name, number))
+
+    return apply
