@@ -184,7 +184,7 @@ def features(page: list[Block]) -> np.ndarray:
 
     A hint that an element is beside the article does not count if the element holds a main element; that of its class
     or id not if it holds the title either or, on a page without a main element, nearly all words: class names of page
-    wrappers tell of the layout.
+    wrappers tell of the layout. A form around nearly all words of such a page is no form to be filled in.
     """
     n = len(page)
     x = np.zeros((n, len(FEATURES)))
@@ -210,7 +210,7 @@ def features(page: list[Block]) -> np.ndarray:
             e = e.above
         beside, main = seen[id(e)] if e is not None else (False, False)
         for e in reversed(todo):
-            tagged = e.beside and not e.holds_main and not (e.tag == "header" and e.holds_title and not strict)
+            tagged = e.beside and not e.holds_main and not (e.tag == "header" and e.holds_title and not strict) and not (e.tag == "form" and not strict and e.words > WRAPPER * total)
             named = e.named_beside and e.tag not in ("article", "main", "body") and not (e.holds_main or e.holds_title or (not strict and e.words > WRAPPER * total))
             beside |= tagged or named
             main |= e.tag in ("article", "main") or (not strict and e.named_main and not named)

@@ -94,27 +94,37 @@ class _File:
             return self.data[start - self.at : end - self.at]
         return self.file.read_at(max(0, min(end, self.length) - start), start)
 
-    def header(self, off: int) -> tuple[dict[str, str], int] | None:
-        """The fields of the record at `off` and where its block begins; None if no record is there."""
+    def line(self, off: int) -> bytes | None:
+        """The bytes from `off` up to the next line end; None if the file ends before one."""
+        if self.at <= off and (k := self.data.find(b"\r\n", off - self.at)) >= 0:
+            return self.data[off - self.at : k]
         step = 2048
         while True:
             raw = self.bytes(off, min(off + step, self.length))
-            if not raw.startswith(MAGIC):
-                return None
-            if (k := raw.find(END)) >= 0:
-                break
+            if (k := raw.find(b"\r\n")) >= 0:
+                return raw[:k]
             if off + step >= self.length:
                 return None
             step *= 4
-        fields = {}
-        for x in raw[len(MAGIC) : k].split(b"\r\n"):
+
+    def header(self, off: int) -> tuple[dict[str, str], int] | None:
+        """The fields of the record at `off` and where its block begins; None if no record is there.
+
+        Fields are read line by line up to the first that is none. Magic is no field, so what is read at all places that
+        look like records is linear in the bytes, also where payloads are nothing but magic.
+        """
+        if self.bytes(off, min(off + len(MAGIC), self.length)) != MAGIC:
+            return None
+        fields, at = {}, off + len(MAGIC)
+        while x := self.line(at):
             name, colon, value = x.partition(b":")
             if not colon:
                 return None
             fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-        if not re.fullmatch(r"\d+", fields.get("content-length", "")):
+            at += len(x) + 2
+        if x is None or not re.fullmatch(r"\d+", fields.get("content-length", "")):
             return None
-        return fields, off + k + len(END)
+        return fields, at + 2
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,3 +117,13 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2)], "page_id long, url string, html string, text int")
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in H.extract(df).collect()] == [(None, None, "", 0), (1, "u", "", 0), (1, "u", "", 0)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_a_form_around_the_page_is_no_form():
+    """As some page builders make them; a form that is one still goes."""
+    body = "<h1>Title</h1>" + LONG * 3
+    page = f'<body><form action="x"><div>{body}</div></form></body>'
+    text = H.main_text(page)
+    assert text.startswith("Title") and text.count("enough words to be found") == 3
+    small = f"<body><nav><a href=/>Home</a></nav><div>{body}</div><form><p>Sign up to our letter with your address here</p></form></body>"
+    assert "Sign up" not in H.main_text(small) and H.main_text(small).count("enough words") == 3

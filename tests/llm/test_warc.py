@@ -62,3 +62,24 @@ def test_small_payloads_are_not_compared(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in W.archive_round_trip(df, min_bytes=4).collect()}
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_payloads_of_nothing_but_magic_are_read_in_a_line(tmp_path):
+    import time
+
+    magic = b"WARC/1.1\r\n"
+    record = magic + b"Content-Length: 3\r\nX: y\r\n\r\n"
+    for filler in (magic, magic + b"no field\r\n", magic + b"a: b\r\n"):
+        data = filler * (4_000_000 // len(filler)) + record + b"abc\r\n\r\n"
+        path = tmp_path / "f"
+        path.write_bytes(data)
+        f = W._File(f"file://{path}", len(data))
+        for loaded in (len(data), 1000):  # also where a head runs on beyond what the split holds
+            f.load(0, loaded)
+            t = time.perf_counter()
+            places = [k for k in range(0, min(loaded, 4_000_000 // len(filler) * len(filler)), len(filler)) if f.header(k)]
+            assert not places and time.perf_counter() - t < 10
+        assert f.header(len(data) - len(record) - 7) == ({"content-length": "3", "x": "y"}, len(data) - 7)
+    cut = tmp_path / "cut"
+    cut.write_bytes(record[:-2])
+    assert W._File(f"file://{cut}", len(record) - 2).header(0) is None
