@@ -133,7 +133,7 @@ PROCEDURE_KEYWORDS = ("step", "paso", "workflow", "sequence", "procedimiento")
 #: Signals of a contradiction if one of two texts has them, in order (fixed values).
 CONTRADICTION_KEYWORDS = ("no ", "nunca", "incorrecto", "error", "falso", "wrong", "not ", "never", "incorrect", "false", "don't", "doesn't", "ya no", "antes ", "cambió", "reemplaz", "obsolet")
 #: Fixed value: what keys of three services look like.
-SECRET = r"(gsk_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16})"
+SECRET = r"(?:gsk_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16})"
 
 
 def extract_entities(df: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -175,7 +175,7 @@ def secrets_and_slugs(spark, sf):
 
 
 SQL["secrets_and_slugs"] = r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s, html FROM pages)
-SELECT page_id, CASE WHEN s = '' THEN 'agent' ELSE s END AS slug, regexp_matches(html, 'gsk_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16}') AS secret FROM s"""
+SELECT page_id, CASE WHEN s = '' THEN 'agent' ELSE s END AS slug, regexp_matches(html, 'gsk_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}') AS secret FROM s"""
 
 
 def row_defaults(spark, sf):

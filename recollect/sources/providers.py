@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -12,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import text as X
 
@@ -107,10 +110,47 @@ class ServerLanguageModel:
             return json.load(r).get("response", "")
 
 
+class SourceError(RuntimeError):
+    """A foreign table could not be read or written; says what failed, but nothing of addresses, users or values."""
+
+
+@contextlib.contextmanager
+def redacted(action: str) -> Iterator[None]:
+    """Errors inside the block come out as a SourceError with their class alone, without the message or a chain."""
+    try:
+        yield
+    except SourceError:
+        raise
+    except Exception as e:
+        found = re.search(r"\b(?:\w+\.)*(\w+(?:Exception|Error))\b", str(e))  # the JVM's own, if Spark wraps it
+        raise SourceError(f"{action} failed: {type(e).__name__}{f' ({found[1]})' if found else ''}") from None
+
+
+def identifier(name: str) -> str:
+    """A table's or column's name, as schema.table too, if it is plain: letters, digits and underscores, no leading digit."""
+    if not re.fullmatch(r"[A-Za-z_]\w{0,62}(\.[A-Za-z_]\w{0,62})?", name, re.A):
+        raise ValueError(f"{name!r} is not a plain identifier")
+    return name
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str = "id", low: int = 0, high: int = 0, parts: int = 16, **options: str) -> DataFrame:
     """A table over JDBC, read in `parts` ranges of its key when bounds are given."""
-    r = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    return (r.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts) if high > low else r).load()
+    with redacted("reading"):
+        r = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+        return (r.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts) if high > low else r).load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, *, mode: str = "append", batch: int = 5_000, parts: int = 16, **options: str) -> None:
+    """Writes rows over JDBC by at most `parts` connections; vectors go as text in brackets, as vector columns take them.
+
+    Table and columns must be plain identifiers, as they become part of statements.
+    """
+    for name in (table, *df.columns):
+        identifier(name)
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    out = df.withColumns({c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ","), F.lit("]")) for c in arrays})
+    with redacted("writing"):
+        out.coalesce(parts).write.format("jdbc").options(url=url, dbtable=table, batchsize=batch, **options).mode(mode).save()
 
 
 def unpack_vectors(blob: Column) -> Column:

@@ -40,3 +40,27 @@ def test_memories_are_routed_by_what_is_known(spark, tmp_path):
         apply(rows((2, "the server is down", 0.1), (3, "tea with honey", 0.1), (4, "the server is down", 0.9)), 1)
     got = {r.id: r.importance for r in s.current("memories").collect()}
     assert got == {1: 8, 2: 4, 3: 8, 4: 8}
+
+
+def test_foreign_tables_tell_no_secrets(spark, tmp_path):
+    import pytest
+    from recollect.sources import providers as P
+
+    url = "jdbc:none://host/db?user=me&password=hunter2"
+    df = spark.createDataFrame([(1, [0.5, 2.0])], "id long, v array<float>")
+    for action in (lambda: P.read_jdbc(spark, url, "t"), lambda: P.write_jdbc(df, url, "public.t")):
+        with pytest.raises(P.SourceError) as e:
+            action()
+        assert "hunter2" not in str(e.value) and "host" not in str(e.value) and e.value.__cause__ is None and e.value.__suppress_context__
+    for bad in ("t; drop table x", "a.b.c", "1t", "t t", "", 'a"b', "é"):
+        with pytest.raises(ValueError):
+            P.write_jdbc(df, url, bad)
+    with pytest.raises(ValueError):
+        P.write_jdbc(df.withColumnRenamed("v", "v w"), url, "t")
+
+
+def test_values_and_copies_of_the_store(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/v").initialize()
+    assert s.fetch_value(s.current("rules").select("content")) is None
+    s.append("rules", spark.createDataFrame([(1, "A", "k", "x")], "id long, agent string, rule_key string, content string"))
+    assert s.fetch_value(s.current("rules").select("content")) == "x"
