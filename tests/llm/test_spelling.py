@@ -54,6 +54,7 @@ def _docs(seed=2, n=60):
                 w = r.choice([w[:at] + w[at + 1 :], w[:at] + r.choice("abÀz") + w[at:], w[:at] + r.choice("aß×") + w[at + 1 :]])
             words.append(w.upper() if r.random() < 0.2 else w)
         docs.append((i if i % 9 else None, r.choice([" ", ", ", "中", "-"]).join(words)))
+    docs += [(100 + i, " ".join(["abcdefgh"] * 40 + ["abcdefgx"] * 6 + ["abcdefyx"])) for i in range(6)]  # a chain of two links
     return [*docs, (5, None), (6, ""), (7, docs[1][1]), (7, docs[1][1])]
 
 
