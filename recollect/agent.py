@@ -79,10 +79,10 @@ class Agent:
         """Embeds and stores texts (or a DataFrame with a content column); returns the new ids."""
         df = contents if isinstance(contents, DataFrame) else self.spark.createDataFrame([(c,) for c in contents], "content string")
         df = df.withColumn("_k", F.monotonically_increasing_id())
-        df = self.embedder.embed(df, "_k", "content", "embedding").drop("_k").withColumn("agent", F.lit(self.name))
+        df = self.embedder.embed(df, "_k", "content", "embedding").withColumn("agent", F.lit(self.name))
         for t in ("created_at", "valid_from", "event_time"):
             df = df.withColumn(t, self.now()) if t not in df.columns else df
-        ids = [r["id"] for r in self.store.insert("memories", df.withColumns({k: F.lit(v) for k, v in fields.items()}), self._seal).select("id").orderBy("id").collect()]
+        ids = [r["id"] for r in self.store.insert("memories", df.withColumns({k: F.lit(v) for k, v in fields.items()}), self._seal, order="_k").select("id").orderBy("id").collect()]
         return ids
 
     def recall(self, query: str, *, context: str | list[str] | None = None, as_of=None, **options) -> DataFrame:

@@ -180,12 +180,16 @@ class Store:
         if len(self._commit(table, change, base, before)["batches"]) >= self.compact_at:
             self.compact(table)
 
-    def insert(self, table: str, rows: DataFrame, before: Callable[[dict, dict], None] | None = None) -> DataFrame:
-        """Rows without id get ids above all that ever were, in the order of the rows; returns what was stored."""
+    def insert(self, table: str, rows: DataFrame, before: Callable[[dict, dict], None] | None = None, order: str | None = None) -> DataFrame:
+        """Rows without id get ids above all that ever were, in the order of the rows; returns what was stored.
+
+        `order` names a column of monotonically_increasing_id, made before the rows were dealt anew, that keeps their order.
+        """
         # Rows are staged with ids that grow by partition; offsets of the partitions then close the gaps, so that no
         # task numbers all rows and a repeated task gives the same ids.
         stage = f"{self.root}/{table}/staging/{uuid.uuid4().hex}"
-        rows.withColumn("_m", F.monotonically_increasing_id()).write.parquet(stage)
+        rows = rows.withColumnRenamed(order, "_m") if order else rows.withColumn("_m", F.monotonically_increasing_id())
+        rows.write.parquet(stage)
         part = self.spark.read.parquet(stage).withColumn("_p", F.shiftright("_m", 33))
         counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
         offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
