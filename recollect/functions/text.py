@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import spread
+from ..operators.blocks import BROADCAST_ROWS
+from ..sources.scratch import Scratch, spread
 
 WORD = r"[\p{L}\p{N}_]+"
 DIMENSIONS = 128
@@ -26,6 +27,31 @@ def tokens(text: Column) -> Column:
     return F.concat(w, pairs)
 
 
+def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_tokens, n_distinct, first_token, last_token) of the tokens of each key's texts; no row without a token.
+
+    A row is counted where it is; only rows of a key that repeats, a null one too, are cut into tokens that are shuffled.
+    """
+    scratch = Scratch(df.sparkSession)
+    df = df.select(key, text)
+    again = scratch.write(df.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again")), "again")
+    few = again.count()
+
+    def per_row(rows: DataFrame) -> DataFrame:
+        rows = rows.select(key, tokens(F.col(text)).alias("_t"))
+        # Through a generator, so that the tokens are cut once and not in each of the columns.
+        t = rows.select(key, F.explode(F.array("_t")).alias("_t")).filter(F.size("_t") > 0)
+        return t.select(key, F.size("_t").cast("long").alias("n_tokens"), F.size(F.array_distinct("_t")).cast("long").alias("n_distinct"), F.array_min("_t").alias("first_token"), F.array_max("_t").alias("last_token"))
+
+    if not few:
+        return per_row(df)
+    again = F.broadcast(again) if few <= BROADCAST_ROWS else again
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    t = df.join(again, same, "left_semi").select(key, F.explode(tokens(F.col(text))).alias("_t"))
+    repeated = t.groupBy(key).agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("_t").alias("n_distinct"), F.min("_t").alias("first_token"), F.max("_t").alias("last_token"))
+    return per_row(df.join(again, same, "left_anti")).unionByName(repeated)
+
+
 def _digit(hex_text: Column, at: int) -> Column:
     """The value of one hex digit: a search in a constant, much cheaper than a change of base."""
     return F.call_function("instr", F.lit("0123456789abcdef"), F.substring(hex_text, at, 1)) - 1

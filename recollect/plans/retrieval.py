@@ -16,8 +16,7 @@ QUERIES, SQL = {}, {}
 
 
 def tokenize_bigrams(spark, sf):
-    t = W.memories(spark, sf).select("id", F.posexplode(X.tokens(F.col("content"))).alias("pos", "token"))
-    return t.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("token").alias("n_distinct"), F.min("token").alias("first_token"), F.max("token").alias("last_token"))
+    return X.token_counts(W.memories(spark, sf), "id", "content")
 
 
 SQL["tokenize_bigrams"] = f"""WITH {W.MEM}, {W.hash_sql('d', 'mem', 'id', 'content')}
