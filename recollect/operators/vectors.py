@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from typing import ClassVar
 
@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 from .blocks import BROADCAST_ROWS, per_block
 
-#: Rows of one block of a pairwise comparison; a task compares two blocks.
+#: Rows of one block of a pairwise comparison.
 BLOCK = 2048
+#: Entries of one matrix product; bounds the memory of a task.
+CELLS = 2_000_000
+#: Whole numbers by column for unit rows: (rows, columns), or (rows, columns, probes) if they ask.
+Codes = Callable[[np.ndarray, bool], np.ndarray]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -77,36 +81,77 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "query_i
     return sim.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_matrix(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "query_id", query_vec: str = "query_vec", key: str = "id", vec: str = "vec", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """As `knn` without groups, but (query_id, id, similarity, rank) only: a matrix product per Arrow batch of the base.
-
-    The queries are a stated set; blocks of at most `limit` of them travel with the tasks. A batch gives at most k rows
-    a query, and the window's limit cuts them again before the exchange. Similarities are rounded to 12 places, so
-    that equal vectors tie whatever batch they are in.
+class Nearest:
+    """The k best (similarity, id) of each of n queries, ties by id, out of what is added piece by piece."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.least = n, k, np.full(n, -np.inf)
+        self.q, self.id, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, sim: np.ndarray, ok: np.ndarray | None = None) -> None:
+        """A matrix of the similarities of queries q (places) and ids; where `ok` is given, only pairs that it marks."""
+        if not sim.size:
+            return
+        if ok is not None:
+            sim = np.where(ok, sim, -np.inf)
+        at = max(0, sim.shape[1] - self.k)
+        least = np.maximum(self.least[q], np.partition(sim, at, axis=1)[:, at] if at else -np.inf)
+        r, c = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+        if not len(r):
+            return
+        q, ids, sim = np.r_[self.q, q[r]], np.r_[self.id, ids[c]], np.r_[self.sim, sim[r, c]]
+        order = np.lexsort((ids, -sim, q))
+        q, ids, sim = q[order], ids[order], sim[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k
+        self.q, self.id, self.sim = q[keep], ids[keep], sim[keep]
+        n = np.bincount(self.q, minlength=self.n)
+        full = np.flatnonzero(n >= self.k)
+        self.least[full] = self.sim[np.cumsum(n)[full] - 1]
+
+
+def asked_matrix(part: DataFrame, query_id: str, query_vec: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a block of a stated set of queries."""
+    t = part.select(F.col(query_id).cast("long").alias("i"), F.transform(query_vec, lambda x: x.cast("double")).alias("v")).toArrow()
+    return t["i"].to_numpy(), _matrix(t["v"])
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """`df` in at most three tasks a core, so that what each task leaves (k rows a query) does not grow with the table."""
+    return df.coalesce(3 * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def knn_matrix(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "query_id", query_vec: str = "query_vec", key: str = "id", vec: str = "vec", limit: int = BROADCAST_ROWS, code: Codes | None = None) -> DataFrame:
+    """As `knn` without groups, but (query_id, id, similarity, rank) only: matrix products over pieces of the base.
+
+    The queries are a stated set; blocks of at most `limit` of them travel with the tasks. A product has at most CELLS
+    entries and a task keeps the k best of each query, so memory is that of a block whatever the table's size, and k
+    rows a query and task are shuffled. Similarities are rounded to 12 places, so that equal vectors tie whatever piece
+    they are in. With `code` (rows, probing -> whole numbers by column) only pairs that share a number in a column count.
     """
     n = max(1, -(-queries.count() // limit))
     out = None
     for i in range(n):
         part = queries if n == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == i)
-        rows = part.select(F.col(query_id).cast("long"), F.transform(query_vec, lambda x: x.cast("double"))).collect()
-        if not rows or k < 1:
+        if k < 1:
+            continue
+        ids, q = asked_matrix(part, query_id, query_vec)
+        if not len(ids):
             continue
-        ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        q = np.divide(q, (length := np.linalg.norm(q, axis=1, keepdims=True)), out=np.zeros_like(q), where=length > 0)
 
         def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            best, step = Nearest(len(ids), k), max(1, CELLS // len(ids))
+            asked, all_ = code(q, True) if code else None, np.arange(len(ids))
             for b in batches:
-                own, v = b.column(0).to_numpy(), b.column(1)
-                m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-                m = np.divide(m, (size := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=size > 0)
-                sim = np.round(q @ m.T, 12)
-                # At least the k best of each query, and all that tie with the last of them.
-                least = np.partition(sim, max(0, sim.shape[1] - k), axis=1)[:, max(0, sim.shape[1] - k)]
-                r, c = np.nonzero(sim >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(own[c]), pa.array(sim[r, c])], ["query_id", "id", "similarity"])
+                own, m = b.column(0).to_numpy(), _matrix(b.column(1))
+                width = min(q.shape[1], m.shape[1])
+                for at in range(0, len(m), step):
+                    piece = m[at : at + step]
+                    ok = shared_codes(asked, code(piece, False)) if code else None
+                    best.add(all_, own[at : at + step], np.round(q[:, :width] @ piece[:, :width].T, 12), ok)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.id), pa.array(best.sim)], ["query_id", "id", "similarity"])
 
         src = base.filter(usable(F.col(vec), 1)).select(F.col(key).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
-        one = src.mapInArrow(run, "query_id long, id long, similarity double")
+        one = few_tasks(src).mapInArrow(run, "query_id long, id long, similarity double")
         out = one if out is None else out.unionByName(one)
     if out is None:
         return queries.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
@@ -114,6 +159,15 @@ def knn_matrix(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def shared_codes(asked: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of queries' codes (n, tables, probes) and rows' codes (m, tables): which pairs have one in common."""
+    ok = np.zeros((len(asked), len(own)), bool)
+    for t in range(own.shape[1]):
+        for p in range(asked.shape[2]):
+            ok |= asked[:, t, p, None] == own[None, :, t]
+    return ok
+
+
 def knn_blocks(queries: DataFrame, base: DataFrame, k: int | None, *, on: str = "agent", query_id: str = "query_id", query_vec: str = "query_vec", key: str = "id", vec: str = "vec", block: int = BLOCK) -> DataFrame:
     """(query_id, id, similarity) of the base rows of each query's group: the k nearest of every block, ties by id (k None: all).
 
@@ -159,6 +213,9 @@ class Cells:
         """At most `n` cells of (key, vec) rows, learnt from SAMPLE rows by the hash of their key; vectors without length do not count."""
         if n <= 1:
             return cls(np.zeros((1, 1)))
+        if (share := 1.5 * cls.SAMPLE / max(1, vectors.filter(~is_zero(F.col(vec))).count())) < 1:
+            # Of a large table only what may be among the sample is sorted: the same rows by far less than all.
+            vectors = vectors.filter(F.xxhash64(key) <= int(-(1 << 63) + share * (1 << 64)))
         got = vectors.filter(~is_zero(F.col(vec))).orderBy(F.xxhash64(key), key).limit(cls.SAMPLE).select(F.transform(vec, lambda x: F.nanvl(x.cast("double"), F.lit(0.0))).alias("v"))
         m = _matrix(got.toArrow()["v"])
         if not len(m):
@@ -171,7 +228,8 @@ class Cells:
             far = np.minimum(far, 1 - m @ pick)
         c = np.array(centres)
         for _ in range(rounds):
-            own = np.argmax(m @ c.T, axis=1)
+            step = max(1, CELLS // len(c))
+            own = np.concatenate([np.argmax(m[at : at + step] @ c.T, axis=1) for at in range(0, len(m), step)])
             total = np.zeros_like(c)
             np.add.at(total, own, m)
             size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -188,6 +246,16 @@ class Cells:
         width = min(unit.shape[1], self.centres.shape[1])
         return np.arccos(np.clip(unit[:, :width] @ self.centres[:, :width].T, -1, 1))
 
+    def pieces(self, unit: np.ndarray) -> Iterator[np.ndarray]:
+        """`angles` of some rows after the other, of at most CELLS entries each."""
+        step = max(1, CELLS // len(self.centres))
+        for at in range(0, len(unit), step):
+            yield self.angles(unit[at : at + step])
+
+    def own(self, unit: np.ndarray) -> np.ndarray:
+        """The nearest centre of each row."""
+        return np.concatenate([np.zeros(0, np.int64), *(far.argmin(axis=1) for far in self.pieces(unit))])
+
 
 def _matrix(col: pa.Array | pa.ChunkedArray, unit: bool = True) -> np.ndarray:
     """Lists of numbers as the rows of a matrix, filled up with zeros; as unit vectors unless they have no length."""
@@ -336,23 +404,25 @@ class LshIndex:
     def planes(self) -> np.ndarray:
         return np.random.default_rng(self.seed).standard_normal((self.tables, self.bits, self.dimensions))
 
-    def buckets(self, vec: Column, probes: int = 0) -> Column:
-        """(pos, bucket) of a vector, where bucket holds the table in its upper bits: a row a table and probed bucket."""
-        planes, tables, bits = self.planes().reshape(-1, self.dimensions).T, self.tables, self.bits
+    def codes(self, m: np.ndarray, probing: bool = False) -> np.ndarray:
+        """The bucket of each row (rows, tables); of rows that ask also those of their least certain signs flipped (rows, tables, 1 + probes)."""
+        side = (m @ self.planes().reshape(-1, self.dimensions).T[: m.shape[1]]).reshape(len(m), self.tables, self.bits)
+        power = np.int64(1) << np.arange(self.bits, dtype=np.int64)
+        own = (side > 0) @ power
+        if not probing:
+            return own
+        near = np.argsort(np.abs(side), axis=2)[:, :, : self.probes]
+        return np.concatenate([own[:, :, None], own[:, :, None] ^ power[near]], axis=2)
+
+    def buckets(self, vec: Column, probing: bool = False) -> Column:
+        """(table, bucket) of a vector, where bucket holds the table in its upper bits: a row a table and probed bucket."""
+        tables = self.tables
 
         @F.arrow_udf("array<long>")
         def signs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for b in batches:
-                m = b.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
-                side = (m @ planes).reshape(len(b), tables, bits)
-                power = np.int64(1) << np.arange(bits, dtype=np.int64)
-                own = ((side > 0) @ power) | (np.arange(tables, dtype=np.int64) << 32)
-                out = [own[:, :, None]]
-                if probes:
-                    near = np.argsort(np.abs(side), axis=2)[:, :, :probes]
-                    out.append(own[:, :, None] ^ power[near])
-                codes = np.concatenate(out, axis=2).reshape(len(b), -1)
-                yield pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, max(1, codes.shape[1]), dtype=np.int32)), pa.array(codes.ravel()))
+                codes = self.codes(_matrix(b, unit=False), probing).reshape(len(b), tables, -1)
+                yield _lists(list((codes | (np.arange(tables, dtype=np.int64) << 32)[:, None]).reshape(len(b), -1)), pa.int64())
 
         return F.posexplode(signs(vec)).alias("table", "bucket")
 
@@ -362,14 +432,15 @@ class LshIndex:
     def candidates(self, queries: DataFrame, base: DataFrame) -> DataFrame:
         """(query_id, id): the rows that share a bucket with a query."""
         b = base.select("id", self.buckets(F.col("vec")))
-        q = queries.select("query_id", self.buckets(F.col("query_vec"), self.probes))
+        q = queries.select("query_id", self.buckets(F.col("query_vec"), True))
         return q.select("query_id", "bucket").join(b.select("id", "bucket"), "bucket").select("query_id", "id").distinct()
 
     def search(self, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-        """Approximate knn: rows that share a bucket with the query in some table, ranked exactly."""
-        full = self.candidates(queries, base).join(queries, "query_id").join(base, "id").withColumn("similarity", cosine(F.col("query_vec"), F.col("vec")))
-        w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-        return full.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+        """Approximate knn: rows that share a bucket with the query in some table, ranked exactly.
+
+        Candidates are found and ranked where the rows are, so no pair of a query and a row that shares a bucket is written.
+        """
+        return knn_matrix(queries, base, k, code=self.codes)
 
 
 @dataclass(frozen=True)
