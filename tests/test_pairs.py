@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from recollect.operators import graph as G
 from recollect.operators import vectors as V
 
 
@@ -67,3 +69,38 @@ def test_empty_and_short(spark):
     assert V.similar_pairs(none, 0.5).count() == 0
     odd = spark.createDataFrame([(1, "x", None), (2, "x", [1.0]), (3, "x", [1.0, 0.0]), (4, "x", [2.0, 0.0, 0.0]), (5, None, [1.0, 0.0])], "id long, agent string, vec array<double>")
     assert [(r.a, r.b) for r in V.similar_pairs(odd, 0.5).collect()] == [(3, 4)]
+
+
+def test_a_large_group_is_stored_once_and_read_block_by_block(spark, monkeypatch):
+    """No row is shuffled once a block: what is written for the comparison has each row once."""
+    m = _clustered(500, 9)
+    df = spark.createDataFrame([(int(i), "x", v.tolist()) for i, v in enumerate(m)], "id long, agent string, vec array<double>")
+    written: list = []
+    keep = V.Scratch.write_parts
+    monkeypatch.setattr(V.Scratch, "write_parts", lambda self, rows, name, *by: written.append(rows.count()) or keep(self, rows, name, *by))
+    pairs = V.similar_pairs(df, 0.7, block=40)
+    assert {(r.a, r.b) for r in pairs.collect()} == set(_want(m, np.zeros(500), 0.7))
+    assert len(written) == 1 and written[0] <= 500
+
+
+def test_neighbours_of_copies_share_a_list(spark):
+    """Ten copies each of some vectors: of each row the nearest by similarity and id, its own copies first."""
+    r = np.random.default_rng(8)
+    m = np.repeat(np.round(r.normal(size=(20, 6)) * 4), 10, axis=0)
+    df = spark.createDataFrame([(i, "x", v.tolist()) for i, v in enumerate(m)], "id long, agent string, vec array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    for limit, block in ((4, 2048), (15, 7)):
+        got: dict = {}
+        for x in V.neighbours(df, 0.3, limit, block=block).orderBy("a", "rank").collect():
+            got.setdefault(x.a, []).append(x.b)
+        assert got == {a: [b for _, b in sorted((-s[a, b], b) for b in range(200) if b != a and s[a, b] >= 0.3)[:limit]] for a in range(200)}
+
+
+def test_conflicts_carry_no_texts(spark):
+    rows = [(1, "x", "we never go", "fact", [1.0, 0.0]), (2, "x", "we go", "fact", [1.0, 0.1]), (3, "x", None, "correction", [1.0, 0.2]), (4, "x", "we go", None, [1.0, 0.05])]
+    df = spark.createDataFrame(rows, "id long, agent string, content string, category string, vec array<double>").withColumn("invalid_at", F.lit(None).cast("timestamp"))
+    out = G.semantic_conflicts(df)
+    got = {(r.memory_id_a, r.memory_id_b): r.signal for r in out.collect()}
+    assert got == {(1, 2): "never", (1, 4): "never", (1, 3): "correction_category", (2, 3): "correction_category", (3, 4): "correction_category"}
+    assert "content" not in out._jdf.queryExecution().optimizedPlan().toString()
