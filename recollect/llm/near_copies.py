@@ -23,6 +23,8 @@ AGREE = 0.66
 ROUNDS = 3
 #: Shingles whose minima are taken at once (a cache's worth), and pairs whose texts travel in one Arrow batch; both bound memory.
 CHUNK, PAIR_ROWS = 512, 100
+#: Rows of one bucket that a task compares with each other; a larger one is dealt into parts, each pair of parts to a task.
+PART = 2048
 #: Bytes of texts whose shingles a task keeps while it compares pairs.
 KEPT_BYTES = 4 << 20
 _rng = np.random.default_rng(5)
@@ -75,6 +77,35 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AGREE)) if b.num_rows else b.select(["a", "b"])
 
 
+def _alike(t: pa.Table) -> pa.Table:
+    """Of the rows of two parts of a bucket, or of one, the pairs (k before k2) of which at least AGREE of the minima agree."""
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    dk, th, own = (t[c].to_numpy() for c in ("dk", "th", "own"))
+    y = np.flatnonzero(own == j)
+    found = []
+    for x in np.flatnonzero(own == i):
+        later = y[y > x] if i == j else y
+        found += [(x, z) for z in later[(sig[later] == sig[x]).mean(axis=1) >= AGREE]]
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    swap = (dk[a] > dk[b]) | ((dk[a] == dk[b]) & (th[a] > th[b]))
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return pa.table({"da": dk[a], "a": th[a], "db": dk[b], "b": th[b]})
+
+
+def _bucket_pairs(left: DataFrame, found: DataFrame) -> DataFrame:
+    """(k, k2), k < k2, of the rows of one bucket or another whose minima agree. All pairs of a bucket are compared, in the
+    tasks that hold its rows, and only those that agree become rows."""
+    n = left.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART // 2)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
+    sigs = found.select(F.struct("dk", "th").alias("k"), "sig")
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least("own", p).alias("i"), F.greatest("own", p).alias("j"))))
+    rows = left.join(n, "h").join(sigs, "k").withColumn("own", own).select("h", "k.dk", "k.th", "sig", "own", cells.alias("c"))
+    rows = rows.select("h", "dk", "th", "sig", "own", "c.i", "c.j")
+    out = rows.groupBy("h", "i", "j").applyInArrow(_alike, "da long, a long, db long, b long").distinct()
+    return out.select(F.struct(F.col("da").alias("dk"), F.col("a").alias("th")).alias("k"), F.struct(F.col("db").alias("dk"), F.col("b").alias("th")).alias("k2"))
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: dict[bytes, np.ndarray] = {}
     size = 0
@@ -155,8 +186,7 @@ def without_near_copies(docs: DataFrame, kept: DataFrame) -> DataFrame:
         scratch.drop(f"met{i}", f"left{i}")
         if left.isEmpty():
             break
-    pairs = left.alias("x").join(left.select(F.col("k").alias("k2"), "h"), "h").filter("k < k2").select("k", "k2").distinct()
-    pairs = scratch.write(pairs, "pairs")
+    pairs = scratch.write(_bucket_pairs(left, found), "pairs")
     edges = _verified(rows, found, pairs.select(F.col("k.th").alias("a"), F.col("k2.th").alias("b")), scratch, "rest")
     named = edges.join(pairs.select(F.col("k.th").alias("a"), F.col("k").alias("ka"), F.col("k2.th").alias("b"), F.col("k2").alias("kb")), ["a", "b"])
     lost.append(_losers(scratch.write(named, "links"), scratch))

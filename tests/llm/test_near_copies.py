@@ -85,3 +85,27 @@ def test_groups_against_a_plain_loop(spark):
         if not any(jaccard(t, x) >= 0.8 for _, x in stays):
             stays.append((i, t))
     assert _keep(spark, rows) == {i for i, _ in stays} and 1 < len(stays) < 60
+
+
+def test_of_a_bucket_only_pairs_that_agree_become_rows(spark, monkeypatch):
+    """Many texts alike but far under 0.8 in one bucket: compared where they are, whatever the parts."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for p in rnd.sample(range(120), 4):
+            t[p] = f"n{i}x{p}"
+        rows.append((i, " ".join(t)))
+    rows.append((60, rows[40][1] + " end"))
+    written: dict = {}
+    keep = N.Scratch.write
+    monkeypatch.setattr(N.Scratch, "write", lambda self, df, name, **k: (out := keep(self, df, name, **k), written.__setitem__(name, out.count()))[0])
+    monkeypatch.setattr(N, "ROUNDS", 1)
+    monkeypatch.setattr(N, "PART", 16)
+    stays: list = []
+    for i, t in rows:
+        if not any(jaccard(t, x) >= 0.8 for _, x in stays):
+            stays.append((i, t))
+    assert _keep(spark, rows) == {i for i, _ in stays} and len(stays) > 40
+    assert written["pairs"] < 100
