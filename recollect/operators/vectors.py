@@ -22,6 +22,8 @@ from .blocks import BROADCAST_ROWS, per_block
 BLOCK = 2048
 #: Entries of one matrix product; bounds the memory of a task.
 CELLS = 2_000_000
+#: Pairs whose products are taken again in doubles at once.
+PAIRS = 16_384
 #: Whole numbers by column for unit rows: (rows, columns), or (rows, columns, probes) if they ask.
 Codes = Callable[[np.ndarray, bool], np.ndarray]
 
@@ -98,16 +100,26 @@ class Nearest:
         at = max(0, sim.shape[1] - self.k)
         least = np.maximum(self.least[q], np.partition(sim, at, axis=1)[:, at] if at else -np.inf)
         r, c = np.nonzero((sim >= least[:, None] - 2e-12) & (sim > -np.inf))
-        if not len(r):
+        self.merge(q[r], ids[c], sim[r, c])
+
+    def merge(self, q: np.ndarray, ids: np.ndarray, sim: np.ndarray) -> None:
+        """Single similarities of queries q (places) and ids; only what is held of these queries is sorted again."""
+        if not len(q):
             return
-        q, ids, sim = np.r_[self.q, q[r]], np.r_[self.id, ids[c]], np.r_[self.sim, sim[r, c]]
+        asked = np.zeros(self.n, bool)
+        asked[q] = True
+        old = asked[self.q]
+        q, ids, sim = np.r_[self.q[old], q], np.r_[self.id[old], ids], np.r_[self.sim[old], sim]
         order = np.lexsort((ids, -np.round(sim, 12), q))
         q, ids, sim = q[order], ids[order], sim[order]
         keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k
-        self.q, self.id, self.sim = q[keep], ids[keep], sim[keep]
-        n = np.bincount(self.q, minlength=self.n)
+        q, ids, sim = q[keep], ids[keep], sim[keep]
+        n = np.bincount(q, minlength=self.n)
         full = np.flatnonzero(n >= self.k)
-        self.least[full] = self.sim[np.cumsum(n)[full] - 1]
+        self.least[full] = sim[np.cumsum(n)[full] - 1]
+        q, ids, sim = np.r_[self.q[~old], q], np.r_[self.id[~old], ids], np.r_[self.sim[~old], sim]
+        order = np.argsort(q, kind="stable")
+        self.q, self.id, self.sim = q[order], ids[order], sim[order]
 
 
 def asked_matrix(part: DataFrame, query_id: str, query_vec: str) -> tuple[np.ndarray, np.ndarray]:
@@ -202,24 +214,38 @@ class Cells:
 
     They are chosen by k-means++ and moved by k-means on a bounded sample; each is as far from those before it as chance
     allows, so that the first few divide a small set as all of them do a large one.
+
+    With `axes` (orthonormal columns) a row is seen as its places along them and the length of what they leave of it.
+    Two such views are never farther apart than the rows, so bounds by angles hold, and in few dimensions cells are small.
     """
 
     centres: np.ndarray
+    axes: np.ndarray | None = None
 
     SAMPLE: ClassVar[int] = 20_000
     MOST: ClassVar[int] = 256
+    #: Cells of pairwise comparisons, and how many axes are tried.
+    MOST_PAIRED: ClassVar[int] = 512
+    AXES: ClassVar[tuple[int, ...]] = (3, 8)
 
     @classmethod
-    def fit(cls, vectors: DataFrame, n: int, vec: str = "v", key: str = "k", seed: int = 11, rounds: int = 8) -> Cells:
-        """At most `n` cells of (key, vec) rows, learnt from SAMPLE rows by the hash of their key; vectors without length do not count."""
-        if n <= 1:
-            return cls(np.zeros((1, 1)))
+    def sample(cls, vectors: DataFrame, vec: str = "v", key: str = "k") -> np.ndarray:
+        """SAMPLE (key, vec) rows by the hash of their key, as unit vectors; vectors without length do not count."""
         if (share := 1.5 * cls.SAMPLE / max(1, vectors.filter(~is_zero(F.col(vec))).count())) < 1:
             # Of a large table only what may be among the sample is sorted: the same rows by far less than all.
             vectors = vectors.filter(F.xxhash64(key) <= int(-(1 << 63) + share * (1 << 64)))
         got = vectors.filter(~is_zero(F.col(vec))).orderBy(F.xxhash64(key), key).limit(cls.SAMPLE).select(F.transform(vec, lambda x: F.nanvl(x.cast("double"), F.lit(0.0))).alias("v"))
-        m = _matrix(got.toArrow()["v"])
-        if not len(m):
+        return _matrix(got.toArrow()["v"])
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, n: int, vec: str = "v", key: str = "k", seed: int = 11, rounds: int = 8) -> Cells:
+        """At most `n` cells of (key, vec) rows, learnt from a sample of them."""
+        return cls.among(cls.sample(vectors, vec, key), n, seed, rounds) if n > 1 else cls(np.zeros((1, 1)))
+
+    @classmethod
+    def among(cls, m: np.ndarray, n: int, seed: int = 11, rounds: int = 8) -> Cells:
+        """At most `n` cells of unit vectors."""
+        if n <= 1 or not len(m):
             return cls(np.zeros((1, 1)))
         r = np.random.default_rng(seed)
         centres, far = [m[0]], 1 - m @ m[0]
@@ -237,13 +263,44 @@ class Cells:
             c = np.where(size > 0, total / np.where(size > 0, size, 1), c)
         return cls(c)
 
+    @classmethod
+    def apart(cls, vectors: DataFrame, n: int, reach: float) -> Cells:
+        """The cells, of whole (k, v) rows or of their views along some axes, that let the most pairs at an angle beyond `reach` go."""
+        m = cls.sample(vectors) if n > 1 else np.zeros((0, 0))
+        best = cls.among(m, n)
+        if not len(m):
+            return best
+        axes = np.linalg.eigh(m.T @ m)[1][:, ::-1]
+        tried = [best]
+        for p in cls.AXES:
+            if p < m.shape[1] - 1:
+                view = cls(np.zeros((0, p + 1)), axes[:, :p])
+                tried.append(cls(cls.among(view.seen(m), n).centres, view.axes))
+        return min(tried, key=lambda c: c.left(m, reach))
+
+    def left(self, unit: np.ndarray, reach: float) -> float:
+        """The share of the pairs of rows that lie no farther apart than `reach` allows, by the cells of one of them."""
+        own, size, radius = self.own(unit), np.zeros(len(self.centres)), np.zeros(len(self.centres))
+        np.add.at(size, own, 1)
+        np.maximum.at(radius, own, np.concatenate([far.min(axis=1) for far in self.pieces(unit)]))
+        return float(np.mean((self.angles(unit[: CELLS // len(size)]) <= reach + radius) @ size)) / len(unit)
+
+    def seen(self, unit: np.ndarray) -> np.ndarray:
+        """Unit rows as the cells see them."""
+        if self.axes is None:
+            return unit
+        width = min(unit.shape[1], len(self.axes))
+        along = unit[:, :width] @ self.axes[:width]
+        return np.column_stack([along, np.sqrt(np.clip(1 - (along * along).sum(axis=1), 0, None))])
+
     def in_line(self) -> Cells:
         """The same cells in the order of their place along the direction in which they differ most."""
         middle = self.centres - self.centres.mean(axis=0)
         return Cells(self.centres[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")])
 
     def angles(self, unit: np.ndarray) -> np.ndarray:
-        """The angles of unit rows and all centres; a row without length is at a right angle to all."""
+        """The angles of unit rows and all centres; a row without length is at a right angle to all that is seen whole."""
+        unit = self.seen(unit)
         width = min(unit.shape[1], self.centres.shape[1])
         return np.arccos(np.clip(unit[:, :width] @ self.centres[:, :width].T, -1, 1))
 
@@ -272,25 +329,134 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), kind))
 
 
-def _close_pairs(rows: DataFrame, threshold: float, scratch: Scratch, block: int, keep: int | None) -> DataFrame:
-    """(g, a, b, similarity) of pairs of different rows (g, k, v) of a group with cosine >= threshold, once or (`keep`) the best of each a.
+@dataclass(frozen=True)
+class _Side:
+    """Rows of one side of a comparison: their unit vectors in doubles and singles, and how many rows each stands for."""
+
+    ids: np.ndarray
+    unit: np.ndarray
+    single: np.ndarray
+    stands: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.Table) -> _Side:
+        unit = _matrix(t["v"])
+        return cls(t["k"].to_numpy(), unit, unit.astype(np.float32), t["stands"].to_numpy())
+
+    def take(self, x: np.ndarray) -> _Side:
+        return self if len(x) == len(self.ids) else _Side(self.ids[x], self.unit[x], self.single[x], self.stands[x])
+
+    def products(self, other: _Side, same: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, float]]:
+        """Products in singles of all rows and some of the other's from a place on, and how far they may be from the exact ones.
+
+        Where the other's places of the rows themselves are given (`same`), such a product counts as less than any.
+        """
+        step, width = max(1, CELLS // 2 // max(1, len(self.ids))), min(self.unit.shape[1], other.unit.shape[1])
+        for at in range(0, len(other.ids), step):
+            sim = self.single[:, :width] @ other.single[at : at + step, :width].T
+            if same is not None:
+                own = np.flatnonzero((same >= at) & (same < at + step))
+                sim[own, same[own] - at] = -np.inf
+            yield at, sim, (width + 8) * 2.0**-23
+
+    def exact(self, other: _Side, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The products in doubles of pairs of places: of all between them if these are not many times as many."""
+        width, out = min(self.unit.shape[1], other.unit.shape[1]), np.zeros(len(r))
+        if len(r) and 20 * len(r) > len(self.ids) * ((end := c.max() + 1) - (start := c.min())):
+            return (self.unit[:, :width] @ other.unit[start:end, :width].T)[r, c - start]
+        for at in range(0, len(r), PAIRS):
+            part = slice(at, at + PAIRS)
+            out[part] = np.einsum("ij,ij->i", self.unit[r[part], :width], other.unit[c[part], :width])
+        return out
+
+
+class _AllPairs:
+    """Every pair at the threshold, once."""
+
+    kind, names, twice = "a long, b long, similarity double", ("a", "b", "similarity"), False
+
+    def __init__(self, side: _Side, threshold: float):
+        self.side, self.threshold = side, threshold
+
+    def needed(self) -> np.ndarray:
+        """The similarity from which on another row matters to each row; infinite if none does any more."""
+        return np.full(len(self.side.ids), self.threshold)
+
+    def add(self, x: np.ndarray, other: _Side | None) -> Iterator[tuple[np.ndarray, ...]]:
+        """Compares the rows at places x with other rows, or (None) with the side's own; what is found at once."""
+        left, right = self.side.take(x), other or self.side
+        for at, sim, off in left.products(right, x if other is None else None):
+            hot = np.flatnonzero(sim.max(axis=1) >= (least := np.float32(self.threshold - off)))
+            r, c = np.nonzero(sim[hot] >= least)
+            r = hot[r]
+            if other is None:
+                once = left.ids[r] < right.ids[at + c]
+                r, c = r[once], c[once]
+            s = left.exact(right, r, c + at)
+            ok = s >= self.threshold - 1e-12
+            a, b = left.ids[r[ok]], right.ids[at + c[ok]]
+            yield np.minimum(a, b), np.maximum(a, b), s[ok]
+
+    def result(self) -> Iterator[tuple[np.ndarray, ...]]:
+        yield from ()
+
+
+class _BestPairs(_AllPairs):
+    """The `keep` best of each row at the threshold, ties by id."""
+
+    twice = True
+
+    def __init__(self, side: _Side, threshold: float, keep: int):
+        super().__init__(side, threshold)
+        self.best = Nearest(len(side.ids), keep)
+
+    def needed(self) -> np.ndarray:
+        return np.maximum(self.threshold, self.best.least - 2e-12)
+
+    def add(self, x: np.ndarray, other: _Side | None) -> Iterator[tuple[np.ndarray, ...]]:
+        left, right, k = self.side.take(x), other or self.side, self.best.k
+        for at, sim, off in left.products(right, x if other is None else None):
+            least = (self.needed()[x] - off).astype(np.float32)
+            if not len(hot := np.flatnonzero(sim.max(axis=1) >= least)):
+                continue
+            sim, least = sim[hot], least[hot]
+            ok = sim >= least[:, None]
+            # Rows with many candidates first learn what their k best of these come to at least.
+            if len(many := np.flatnonzero(np.count_nonzero(ok, axis=1) > 2 * k)):
+                part = sim[many]
+                kth = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k]
+                ok[many] = part >= np.maximum(least[many], kth - np.float32(2 * off))[:, None]
+            r, c = np.nonzero(ok)
+            r = hot[r]
+            s = left.exact(right, r, c + at)
+            good = s >= self.threshold - 1e-12
+            self.best.merge(x[r[good]], right.ids[at + c[good]], s[good])
+        yield from ()
+
+    def result(self) -> Iterator[tuple[np.ndarray, ...]]:
+        yield self.side.ids[self.best.q], self.best.id, self.best.sim
+
+
+def _close_pairs(rows: DataFrame, threshold: float, scratch: Scratch, block: int, find: Callable[[_Side], _AllPairs], what: type[_AllPairs]) -> DataFrame:
+    """(g, ...) of what `find` (a `what` for the rows of a side) tells of the different rows (g, k, v, stands) of a group.
 
     A group of at most one block is one task. A larger one is divided into cells and stored once, a folder for at most
-    about a block of a cell; a task holds one block and reads the group's others one after the other, so the disk in use
-    is that of the rows and memory that of two blocks, however large a group is. A row can only be as close as the
-    threshold asks to rows of a cell whose centre is no farther from it than the threshold's angle and the cell's radius
-    together; a block that no row can match is not read, and only rows that either side may match are compared.
+    about a block of a cell; a task holds one block and reads the group's others one after the other, nearest first, so
+    the disk in use is that of the rows and memory that of two blocks, however large a group is. A row can only be as
+    close as it needs to rows of a cell whose centre is no farther from it than the needed similarity's angle and the
+    cell's radius together; a block that no row can match is not read, and only rows that either side may match are
+    compared. What a row needs rises with what was found for it. Products are taken in singles, and again in doubles
+    where these do not decide.
     """
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    kind = f"g {rows.schema['g'].dataType.simpleString()}, a long, b long, similarity double"
+    kind = f"g {rows.schema['g'].dataType.simpleString()}, {what.kind}"
     sizes = scratch.write(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "sizes")
     largest = sizes.agg(F.max("n")).first()[0] or 0
     few = rows if largest <= block else rows.join(sizes.filter(F.col("n") <= block), "g", "left_semi")
 
     def whole(t: pa.Table) -> pa.Table:
-        found = list(_matches(t["k"].to_numpy(), _matrix(t["v"]), None, threshold, keep))
-        a, b, s = (np.concatenate([np.zeros(0, d), *(f[i] for f in found)]) for i, d in enumerate((np.int64, np.int64, float)))
-        return pa.table({"g": pa.array([t["g"][0].as_py()] * len(a), t.schema.field("g").type), "a": a, "b": b, "similarity": s})
+        f = find(_Side.of(t))
+        g = pa.array([t["g"][0].as_py()], t.schema.field("g").type)
+        return pa.Table.from_batches([_found_batch(g, what, x) for x in (*f.add(np.arange(len(t)), None), *f.result())])
 
     out = few.filter(F.col("g").isNotNull()).groupBy("g").applyInArrow(whole, kind)
     if largest <= block:
@@ -298,80 +464,66 @@ def _close_pairs(rows: DataFrame, threshold: float, scratch: Scratch, block: int
     big = sizes.filter(F.col("n") > block).withColumn("gid", F.row_number().over(Window.orderBy("g")))
     big = scratch.write(big, "big")
     rows = rows.join(big, "g")
-    cells = Cells.fit(rows, min(Cells.MOST, -(-largest // block)))
+    cells = Cells.apart(rows, min(Cells.MOST_PAIRED, -(-largest // block)), _angle(threshold))
     used = F.least(F.lit(len(cells.centres)), F.ceil(F.col("n") / block)).cast("int").alias("used")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             far = cells.angles(_matrix(b.column(2)))
-            out = np.arange(far.shape[1]) >= b.column(3).to_numpy()[:, None]
+            out = np.arange(far.shape[1]) >= b.column(4).to_numpy()[:, None]
             cell = np.argmin(np.where(out, np.inf, far), axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["gid", "k", "v", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["gid", "k", "v", "stands", "cell", "far"])
 
-    placed = scratch.write(rows.select("gid", "k", "v", used).mapInArrow(place, "gid int, k long, v array<double>, cell int, far double"), "placed")
-    per = scratch.write(placed.groupBy("gid", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("subs"), F.max("far").alias("radius")), "per")
-    stored = placed.join(per, ["gid", "cell"]).withColumn("sub", F.pmod(F.xxhash64("k"), F.col("subs")).cast("int")).select("gid", "cell", "sub", "k", "v")
-    root = scratch.write_parts(stored, "blocks", "gid", "cell", "sub")
+    placed = scratch.write(rows.select("gid", "k", "v", "stands", used).mapInArrow(place, "gid int, k long, v array<double>, stands long, cell int, far double"), "placed")
+    subs = placed.groupBy("gid", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("subs"))
+    dealt = placed.join(subs, ["gid", "cell"]).withColumn("sub", F.pmod(F.xxhash64("k"), F.col("subs")).cast("int"))
+    per = scratch.write(dealt.groupBy("gid", "cell", "sub").agg(F.max("far").alias("radius")), "per")
+    root = scratch.write_parts(dealt.select("gid", "cell", "sub", "k", "v", "stands"), "blocks", "gid", "cell", "sub")
     scratch.drop("placed")
-    items = per.select("gid", "cell", "radius", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    items = items.join(per.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("cell", "subs", "radius"))).alias("cells")), "gid").join(big.select("gid", "g"), "gid")
-    items = items.select("g", "gid", "cell", "sub", "radius", "cells")
-    count = per.agg(F.sum("subs")).first()[0]
+    items = per.join(per.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("cell", "sub", "radius"))).alias("blocks")), "gid").join(big.select("gid", "g"), "gid")
+    items = items.select("g", "gid", "cell", "sub", "radius", "blocks")
+    count = per.count()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for item in b.to_pylist():
-                g, gid, cell, sub, radius = (item[c] for c in ("g", "gid", "cell", "sub", "radius"))
-                ids, m = _block(root, gid, cell, sub)
-                far = np.concatenate([np.zeros((0, len(cells.centres))), *cells.pieces(m)])
-                others = ((c["cell"], s, c["radius"]) for c in item["cells"] for s in range(c["subs"]))
-                best = Nearest(len(ids), keep) if keep is not None else None
+            for i, item in enumerate(b.to_pylist()):
+                gid, cell, sub, radius = (item[c] for c in ("gid", "cell", "sub", "radius"))
+                side = _block(root, gid, cell, sub)
+                g, f = b.column(0).slice(i, 1), find(side)
+                far = np.concatenate([np.zeros((0, len(cells.centres))), *cells.pieces(side.unit)])
+                own = Cells(cells.centres[cell : cell + 1], cells.axes)
+                # The rows' own block, then the others by how near their cells are to the rows.
+                middle = far.mean(axis=0)
+                others = sorted((tuple(o.values()) for o in item["blocks"]), key=lambda o: (o[:2] != (cell, sub), o[0] != cell, middle[o[0]], o[1]))
                 for c, s, r in others:
+                    reach = _angle(f.needed())
                     x = np.flatnonzero(far[:, c] <= reach + r)
-                    if not len(x) or keep is None and (c, s) < (cell, sub):
+                    if not len(x) or not what.twice and (c, s) < (cell, sub):
                         continue
-                    if (c, s) == (cell, sub):
-                        right = None
-                    else:
-                        other, n = _block(root, gid, c, s)
-                        width = min(n.shape[1], cells.centres.shape[1])
-                        y = np.arccos(np.clip(n[:, :width] @ cells.centres[cell, :width], -1, 1)) <= reach + radius
-                        right = other[y], n[y]
-                    for found in _matches(ids[x], m[x], right, threshold, keep, best, x):
-                        yield _pairs_batch(g, b.schema.field("g").type, *found)
-                if best is not None:
-                    yield _pairs_batch(g, b.schema.field("g").type, ids[best.q], best.id, best.sim)
+                    other = None
+                    if (c, s) != (cell, sub):
+                        other = _block(root, gid, c, s)
+                        other = other.take(np.flatnonzero(own.angles(other.unit)[:, 0] <= reach[x].max() + radius))
+                    for found in f.add(x, other):
+                        yield _found_batch(g, what, found)
+                for found in f.result():
+                    yield _found_batch(g, what, found)
 
     return out.unionByName(items.repartition(max(1, min(count, 20_000))).mapInArrow(compare, kind))
 
 
-def _pairs_batch(g: object, kind: pa.DataType, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([g] * len(a), kind), pa.array(a), pa.array(b), pa.array(s)], ["g", "a", "b", "similarity"])
+def _angle(similarity: float | np.ndarray) -> np.ndarray:
+    """The angle that rows of at least this similarity lie within, a little more for rounding; less than any for infinity."""
+    s = np.asarray(similarity, float)
+    return np.where(s < np.inf, np.arccos(np.clip(s, -1, 1)) + 1e-6, -np.inf)
 
 
-def _block(root: str, gid: int, cell: int, sub: int) -> tuple[np.ndarray, np.ndarray]:
-    t = read_folder(f"{root}/gid={gid}/cell={cell}/sub={sub}", ["k", "v"])
-    return t["k"].to_numpy(), _matrix(t["v"])
+def _found_batch(g: pa.Array, what: type[_AllPairs], found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([g.take(pa.array(np.zeros(len(found[0]), np.int64))), *map(pa.array, found)], ["g", *what.names])
 
 
-def _matches(ids: np.ndarray, m: np.ndarray, right: tuple[np.ndarray, np.ndarray] | None, threshold: float, keep: int | None, best: Nearest | None = None, at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, similarity) of pairs of rows at the threshold, of one set or of two, once; with `keep` the best b of each a, added to `best` if that is given."""
-    others, n = (ids, m) if right is None else right
-    at, own = np.arange(len(ids)) if at is None else at, best
-    best = Nearest(len(ids), keep) if keep is not None and best is None else best
-    step, width = max(1, CELLS // max(1, len(ids))), min(m.shape[1], n.shape[1])
-    for i in range(0, len(others), step):
-        b = others[i : i + step]
-        sim = m[:, :width] @ n[i : i + step, :width].T
-        ok = sim >= threshold - 1e-12
-        if best is not None:
-            best.add(at, b, sim, ok & (ids[:, None] != b[None, :]))
-            continue
-        r, c = np.nonzero(ok & (ids[:, None] < b[None, :]) if right is None else ok)
-        if len(r):
-            yield np.minimum(ids[r], b[c]), np.maximum(ids[r], b[c]), sim[r, c]
-    if keep is not None and own is None:
-        yield ids[best.q], best.id, best.sim
+def _block(root: str, gid: int, cell: int, sub: int) -> _Side:
+    return _Side.of(read_folder(f"{root}/gid={gid}/cell={cell}/sub={sub}", ["k", "v", "stands"]))
 
 
 def _classes(df: DataFrame, threshold: float, scratch: Scratch, group: str, key: str, vec: str) -> tuple[DataFrame, DataFrame | None]:
@@ -396,7 +548,7 @@ def similar_pairs(df: DataFrame, threshold: float, *, group: str = "agent", key:
     """
     scratch = Scratch(df.sparkSession)
     single, members = _classes(df, threshold, scratch, group, key, vec)
-    out = _close_pairs(single, threshold, scratch, block, None)
+    out = _close_pairs(single.withColumn("stands", F.lit(1).cast("long")), threshold, scratch, block, lambda side: _AllPairs(side, threshold), _AllPairs)
     if members is not None:
         pairs = scratch.write(out, "pairs")
         left = members.select("g", F.col("rep").alias("a"), F.col("k").alias("ka"))
@@ -418,7 +570,8 @@ def neighbours(df: DataFrame, threshold: float, limit: int, *, group: str = "age
     """
     scratch = Scratch(df.sparkSession)
     single, members = _classes(df, threshold, scratch, group, key, vec)
-    pairs = scratch.write(_close_pairs(single, threshold, scratch, block, limit + 1), "pairs")
+    single = single.withColumn("stands", F.lit(1).cast("long"))
+    pairs = scratch.write(_close_pairs(single, threshold, scratch, block, lambda side: _BestPairs(side, threshold, limit + 1), _BestPairs), "pairs")
     w = Window.partitionBy("g", "a").orderBy(F.round("similarity", 12).desc(), "b")
     rank = F.row_number().over(w)
     if members is None:
