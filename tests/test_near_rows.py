@@ -1,6 +1,7 @@
 """Nearest rows and their counts: how little is compared for them, against all products."""
 
 import numpy as np
+from recollect.operators import graph as G
 from recollect.operators import vectors as V
 from pyspark.sql import functions as F
 
@@ -51,3 +52,25 @@ def test_best_of_pieces_are_those_of_all_products():
     for a, b, x in zip(*next(f.result()), strict=True):
         got[int(a)].append((-round(float(x), 12), int(b)))
     assert {a: [b for _, b in v] for a, v in want.items()} == {a: [b for _, b in sorted(v)] for a, v in got.items()}
+
+
+def test_rows_with_enough_are_not_compared_again():
+    m = np.array([[1.0, 0.0], [0.9, np.sqrt(0.19)], [0.0, 1.0], [-1.0, 0.0]])
+    f = V._Counts(_side(m, np.arange(4), np.array([1, 1, 4, 1])), 0.7, 3)
+    list(f.add(np.arange(4), None))
+    assert f.n.tolist() == [1, 1, 3, 0]
+    assert (f.needed() < np.inf).tolist() == [True, True, False, True]
+    # 0.7 of row 0 exactly, as doubles have it.
+    list(f.add(np.array([0, 1, 3]), _side(np.array([[0.7, -np.sqrt(0.51)]]), np.array([9]), np.array([5]))))
+    assert next(f.result())[1].tolist() == [3, 1, 3, 0]
+
+
+def test_counts_are_those_of_the_neighbours(spark):
+    m = np.round(_voices(500, 7) * 3)  # whole numbers, so that some rows are equal and some without length
+    m[:60] = m[0]
+    for block in (2048, 30):
+        df = _frame(spark, m)
+        near = {(r.agent, r.a): r["count"] for r in V.neighbours(df, 0.7, 6, block=block).groupBy("agent", "a").count().collect()}
+        got = {(r.agent, r.a): r.n for r in V.neighbour_counts(df, 0.7, 6, block=block).collect()}
+        assert {k: n for k, n in got.items() if n} == near and len(near) > 100
+        assert G.edge_counts(df, 0.7, 6).first().edges == sum(near.values())
